@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, sharding, simhash
+from . import bpe, media, mixing, secrets, sharding, simhash, token_counts
 from .common import table, utf8_crc32
 
 
@@ -27,6 +27,21 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
+    return made.select(
+        F.col("key").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_audio(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.read_audio(stored, keep_pcm=False).withColumnRenamed("key", "doc_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select(
@@ -34,7 +49,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_secret_scan, op3_source_mix, op7_simhash)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_secret_scan, op3_source_mix, op4_byte_pairs, op5_telephony_audio, op7_simhash, op10_token_counts)}
 
 # Columns and rules are those of the Spark queries; texts hold no letters that fold outside ASCII.
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
