@@ -22,8 +22,8 @@ from .vocabulary import Vocabulary
 # Fixed value: the byte-level vocabulary's pattern of words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their tokens, in each Python worker; beyond, all are dropped and met anew.
-MOST_WORDS = 400_000
-#: Longer words are not kept.
+MOST_WORDS = 700_000
+#: Longer words are not looked up again.
 KEPT_LENGTH = 48
 NEVER = np.iinfo(np.int32).max
 
@@ -56,18 +56,21 @@ class Encoder:
     def forget(self) -> None:
         self.place: dict[str | int, int] = {}
         self.pool = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.starts: list[int] = []
+        self.used = self.words = 0
+        self.starts = np.zeros(1 << 16, np.int64)
         for i in self.special.values():
             self.keep(i, [i])
 
     def keep(self, word: str | int, tokens: list[int]) -> None:
         if self.used + len(tokens) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(tokens)), np.int32)))
-        self.place[word] = len(self.starts)
-        self.starts.append(self.used)
+        if self.words + 1 == len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+        self.place[word] = self.words
+        self.words += 1
         self.pool[self.used : self.used + len(tokens)] = tokens
         self.used += len(tokens)
+        self.starts[self.words] = self.used
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
@@ -153,7 +156,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and their offsets."""
-        if len(self.place) > MOST_WORDS:
+        if self.words > MOST_WORDS:
             self.forget()
         words: list[str | int] = []
         counts = []
@@ -169,12 +172,13 @@ class Encoder:
         if new:
             self.learn(new)
         where = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        starts = np.array([*self.starts, self.used], np.int64)
-        lengths = starts[where + 1] - starts[where]
-        ids = self.pool[batches.ragged(lengths, starts[where])]
+        starts = self.starts[where]
+        lengths = self.starts[where + 1] - starts
+        ids = self.pool[batches.ragged(lengths, starts)]
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
-        if any(len(w) > KEPT_LENGTH for w in new):
-            self.forget() if len(self.place) > MOST_WORDS else [self.place.pop(w) for w in new if len(w) > KEPT_LENGTH]
+        for w in new:
+            if len(w) > KEPT_LENGTH:
+                del self.place[w]
         return ids, ends
 
     def decode(self, ids: list[int]) -> str:

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or one made where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = made.get() if made.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder that all executors share, with its lineage cut there.
 
@@ -25,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -41,5 +50,3 @@ def utf8_bytes(text: str | Column = "text") -> Column:
 def utf8_crc32(text: str | Column = "text") -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; a null text has no bytes."""
     return F.crc32(whole(text).cast("binary"))
-
-

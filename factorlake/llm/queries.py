@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, secrets, sharding, simhash, token_counts
+from . import bpe, media, mixing, neighbours, pages, quality, secrets, sharding, simhash, token_counts
 from .common import table, utf8_crc32
 
 
@@ -42,6 +42,10 @@ def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_audio(stored, keep_pcm=False).withColumnRenamed("key", "doc_id")
 
 
+def op6_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select(
@@ -49,11 +53,37 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, net, keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pages.extract_text(table(spark, sf_dir, "pages"))
+    return made.select(F.col("key").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_secret_scan, op3_source_mix, op4_byte_pairs, op5_telephony_audio, op7_simhash, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_histogram_shards,
+        op2_secret_scan,
+        op3_source_mix,
+        op4_byte_pairs,
+        op5_telephony_audio,
+        op6_graph_neighbours,
+        op7_simhash,
+        op8_quality,
+        op9_page_text,
+        op10_token_counts,
+    )
+}
 
 # Columns and rules are those of the Spark queries; texts hold no letters that fold outside ASCII.
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""

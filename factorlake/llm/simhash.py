@@ -24,6 +24,8 @@ SEGMENTS, SEGMENT_BITS, MOST_BITS, SEED = 8, 8, 2, 42
 #: Fingerprints with a key in common are compared pair by pair up to this many; larger groups are linked
 #: through shared neighbours, which loses no link either.
 PAIRWISE = 24
+#: Keys of removed rows are broadcast up to this many bytes.
+BROADCAST_BYTES = 32 << 20
 #: Shingles hashed at once: bounds a task's memory for texts of any length.
 CHUNK = 1 << 16
 
@@ -52,15 +54,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def add_fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """(key, fp long) of every row of `df`; null texts count as empty."""
+    """(key, mark, fp long) of every row of `df`: mark is a hash of the text. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(t, shingle) if t else 0 for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["key", "fp"])
+            made = [fingerprint(t, shingle) if t else 0 for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.int64())], names=["key", "mark", "fp"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    slim = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).cast("string").alias("text"))
+    return slim.mapInArrow(run, f"key {kind}, mark long, fp long")
 
 
 def rotated(fp: Column, start: int) -> Column:
@@ -139,7 +142,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """For each row of `df`: key, fp and component (the smallest key that links reach, its own included).
+    """For each row of `df`: key, mark (a hash of its text), fp and component (the smallest key that links reach, its own included).
 
     Null and empty texts, and texts of white space, have fingerprint 0 and link like any others. Fewer than
     `shingle` words make one shingle. Null keys are never the smallest; a component of null keys alone has a
@@ -152,13 +155,25 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     least = full.join(fps, "fp").groupBy("root").agg(F.min("least").alias("component"))
     owned = full.join(least, "root").select("fp", "component")
     classes = fps.join(owned, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return rows.join(classes, "fp").select("key", "fp", "component")
+    return rows.join(classes, "fp").select("key", "mark", "fp", "component")
 
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """`df` with one row of each component: of the rows with the component's key one, by text. A component
-    whose keys are all null keeps one row by fingerprint."""
-    found = near_duplicates(df, text, key, shingle)
-    kept = found.filter(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("__key")).distinct()
-    own = df.join(kept, df[key].eqNullSafe(kept["__key"]), "left_semi")
-    return own.dropDuplicates([key])
+    """`df` with one row of each component: that of the smallest key, and of the rows that share it that of
+    the smallest mark. Rows with a null key, which can't be told from each other, are in no component and all
+    stay.
+
+    The rest is removed by key and mark. Where what is removed fits BROADCAST_BYTES (16 bytes a row, by exact
+    count) it is broadcast, else the join shuffles.
+    """
+    found = cut(near_duplicates(df.filter(F.col(key).isNotNull()), text, key, shingle).select("key", "mark", "component"))
+    kept = found.groupBy("component").agg(F.min(F.struct("key", "mark")).alias("k")).select("k.key", "k.mark")
+    gone = cut(found.join(kept, ["key", "mark"], "left_anti").select("key", "mark").distinct())
+    few = gone.count() * 16 <= BROADCAST_BYTES
+    gone = gone.select(F.col("key").alias("__key"), F.col("mark").alias("__mark"))
+    stay = df.withColumn("__hash", F.xxhash64(text))
+    stay = stay.join(F.broadcast(gone) if few else gone, (stay[key] == gone["__key"]) & (stay["__hash"] == gone["__mark"]), "left_anti")
+    if found.join(kept, ["key", "mark"], "left_semi").groupBy("key", "mark").count().filter("count > 1").limit(1).count():
+        named = stay.filter(F.col(key).isNotNull()).dropDuplicates([key, "__hash"])
+        stay = named.unionByName(stay.filter(F.col(key).isNull()))
+    return stay.drop("__hash")
