@@ -35,7 +35,7 @@ def with_source(df: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     if few:
         own = sources.withColumnRenamed("source", "__s")
         return df.join(F.broadcast(own), df["source"].eqNullSafe(own["__s"])).drop("__s")
-    own = sources.withColumnRenamed("source", "__s").withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(255))).cast("long"))
+    own = sources.withColumnRenamed("source", "__s").withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))))
     return df.join(own, df["source"].eqNullSafe(own["__s"]) & (F.shiftright("place", HASH_BITS - 8) == own["__b"])).drop("__s", "__b")
 
 

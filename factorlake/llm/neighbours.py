@@ -159,11 +159,16 @@ def index_vectors(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFram
             "vectors": pa.array([vectors.tobytes()], pa.binary()), "links": pa.array([links.astype("<i4").tobytes()], pa.binary()), "sizes": pa.array([sizes], pa.list_(pa.int32())),
         })
 
-    return distinct.withColumn("shard", shard.cast("long")).groupBy("dim", "shard").applyInArrow(build, "shard long, dim int, numbers array<long>, vectors binary, links binary, sizes array<int>")
+    dealt = distinct.withColumn("shard", shard.cast("long")).repartition(max(1, sum(shards.values())), "dim", "shard")
+    return dealt.groupBy("dim", "shard").applyInArrow(build, "shard long, dim int, numbers array<long>, vectors binary, links binary, sizes array<int>")
 
 
 def answers(index: DataFrame, blocks: DataFrame, k: int, ef: int = EF) -> DataFrame:
-    """(query number, number): each shard's `k` best for each query of each block."""
+    """(query number, number): each shard's `k` best for each query of each block.
+
+    Every block is sent to every shard, and a shard takes blocks one after another: a task's memory is one
+    shard's graph and one block.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -177,7 +182,10 @@ def answers(index: DataFrame, blocks: DataFrame, k: int, ef: int = EF) -> DataFr
                 keep = found.ravel() >= 0
                 yield pa.RecordBatch.from_arrays([pa.array(asked[keep]), pa.array(numbers[found.ravel()[keep]])], names=["asked", "number"])
 
-    joined = index.join(blocks.withColumnRenamed("dim", "__dim"), F.col("dim") == F.col("__dim")).drop("__dim")
+    places = index.groupBy("dim").agg((F.max("shard") + 1).alias("shards"))
+    sent = blocks.join(F.broadcast(places), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    n = max(1, index.count())
+    joined = index.repartition(n, "dim", "shard").join(sent.repartition(n, "dim", "shard"), ["dim", "shard"])
     return joined.select("dim", "numbers", "vectors", "links", "sizes", "asked", "queries").mapInArrow(run, "asked long, number long")
 
 
