@@ -1,0 +1,139 @@
+"""Page text, nearest neighbours and the pipeline."""
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from factorlake.llm import neighbours, pages, queries
+
+from .conftest import rows_of
+
+PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p><article>";</script></head>
+<body class="ad-free"><header><p>Site</p></header><nav><ul><li><a href="/x">Menu</a></ul></nav><!-- <p>old</p> --><div class="cookie-notice">We use cookies</div>
+<article><h1>A &amp; B</h1><p><b>One   two</b>
+three<br>four<p>Five &lt;six&gt; &eacute;&#233;<ul><li>item 1<li>item 2</ul><aside>side</aside><form><input>Subscribe</form><p>Seven</article>
+<section id="comments"><p>first!</p></section><footer>&copy; all</footer></body></html>"""
+
+
+def test_blocks_of_a_page():
+    assert [t for k, t in pages.blocks_of(PAGE) if k == 0] == ["A & B", "One two three four", "Five <six> éé", "item 1", "item 2", "Seven"]
+    assert [t for k, t in pages.blocks_of(PAGE) if k == 1] == []
+    assert pages.blocks_of("") == [] and pages.blocks_of("plain  text") == [(1, "plain text")]
+    assert pages.blocks_of("<p>cut &am") == [(1, "cut &am")] and pages.blocks_of("<article><p>cut <b") == [(0, "cut")]
+    assert pages.blocks_of("<div>a<script>x</div><p>b</p>") == [(1, "a")]
+    assert pages.blocks_of("<main><header><h1>Title</h1></header><p>x</p></main>") == [(0, "Title"), (0, "x")]
+
+
+def slow_cover(tokens, page, run, least):
+    n, seen = len(tokens), {}
+    for i in range(n - run + 1):
+        if page[i] == page[i + run - 1]:
+            seen.setdefault(tuple(tokens[i : i + run]), []).append(i)
+    hit = np.zeros(n, bool)
+    for at in seen.values():
+        if len({page[i] for i in at}) >= least:
+            for i in at:
+                hit[i : i + run] = True
+    return hit
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_covered_tokens_by_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    shared = rng.integers(0, 3, 12)
+    parts, page = [], []
+    for p in range(12):
+        own = np.concatenate([rng.integers(0, 3, rng.integers(0, 9)), shared if rng.random() < 0.5 else rng.integers(0, 3, 3)])
+        parts.append(own)
+        page += [p] * len(own)
+    tokens, page = np.concatenate(parts), np.array(page)
+    for run, least in ((4, 2), (8, 3)):
+        assert (pages.covered_tokens(tokens, page, run, least) == slow_cover(tokens, page, run, least)).all()
+
+
+def test_host_boilerplate_goes_where_markup_does_not_say(spark):
+    menu = " ".join(f"menu{i}" for i in range(20))
+    rows = [(i, f"http://h.example/{i}", f"<div>{menu}</div><div>story {i} " + " ".join(f"w{i}x{j}" for j in range(30)) + "</div>") for i in range(6)]
+    rows += [(10, "http://h.example/a", f"<article><p>{menu}</p></article><div>{menu}</div>"), (11, None, f"<p>{menu}"), (12, "http://h.example/e", None), (None, None, ""), (12, "http://h.example/e", None)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string")
+    got = rows_of(pages.extract_text(df))
+    assert len(got) == len(rows)
+    by = {r["key"]: r for r in got}
+    assert all(by[i]["text"] == rows[i][2].split("<div>")[2].removesuffix("</div>") for i in range(6))
+    assert by[10]["text"] == menu and by[10]["n_repeated"] == 20 and by[11]["text"] == menu and by[12]["text"] == "" and by[None]["text"] == ""
+    assert pages.extract_text(df.filter("false")).count() == 0
+
+
+def test_every_page_has_its_article(spark, sf_dir):
+    got = rows_of(queries.op9_page_text(spark, sf_dir))
+    table = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert sorted(r["page_id"] for r in got) == sorted(table)
+    for r in got:
+        assert r["n_chars"] == len(r["text"]) and "<p>" not in r["text"] and "track(" not in r["text"]
+        assert bool(r["text"]) == ("<article>" in table[r["page_id"]])
+
+
+def exact(rows, k, every):
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    out = {}
+    for q, v in good:
+        if q % every == 0:
+            near = sorted({(-float(v @ w), i) for i, w in good if i != q and len(w) == len(v)})[:k]
+            out[q] = [(i, -s) for s, i in near]
+    return out
+
+
+def test_neighbours_by_brute_force(spark, sf_dir):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    want = exact(rows, 20, 20)
+    got = rows_of(queries.op6_graph_neighbours(spark, sf_dir))
+    found = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(found) == set(want)
+    hits = sum(len({i for i, _ in found[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.95 * sum(map(len, want.values()))
+    truth = {i: np.array(v, float) for i, v in rows}
+    for q, near in found.items():
+        assert len(near) == 20 and near == sorted(near, key=lambda x: (-x[1], x[0]))
+        assert all(abs(s - truth[q] @ truth[i]) < 1e-9 for i, s in near)
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    rows += [(i, [1.0] * 8) for i in range(100, 160)] + [(200, None), (201, [0.0] * 8), (202, [1.0, None] * 4), (203, [float("nan")] * 8), (204, [float("inf")] * 8), (None, [1.0] * 8), (220, [1.0, 2.0]), (221, [2.0, 2.0]), (5, rows[5][1]), (240, [])]
+    df = spark.createDataFrame([(i, v, 1.0) for i, v in rows], "vec_id long, embedding array<double>, score double")
+    want = exact(rows, 20, 20)
+    got = {}
+    for r in rows_of(neighbours.nearest(df).orderBy("query_id", "rank")):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    assert got == {q: [(i, round(s, 9)) for i, s in near] for q, near in want.items()}
+    assert neighbours.nearest(df.filter("false")).count() == 0
+
+
+def test_many_shards_reach_recall(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 400)
+    made = spark.range(3000).selectExpr("id AS vec_id", "transform(sequence(0, 31), x -> cast(sin(cast(xxhash64(id, x) AS double)) AS float)) AS embedding")
+    rows = [(r["vec_id"], r["embedding"]) for r in made.collect()]
+    want = exact(rows, 20, 20)
+    hits = sum((r["vec_id"], True) in {(i, True) for i, _ in want[r["query_id"]]} for r in rows_of(neighbours.nearest(made)))
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, sf_dir).cache()
+        sizes.append(docs.count())
+        if name != names[-1]:
+            assert docs.columns == before.columns
+    assert 0 < sizes[1] <= sizes[0] and sizes[2] == sizes[1] and sizes[4] == sizes[3]
+    assert set(docs.columns) == {"doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"}
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert sorted(map(tuple, got.select("doc_id", "ids_sha256").collect())) == sorted(map(tuple, docs.select("doc_id", "ids_sha256").collect()))
