@@ -42,15 +42,17 @@ class Network:
         return [self.filters, self.bias, self.out, self.out_bias]
 
 
-def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Half chunks (rows of 32 bytes) of all texts one after another, each chunk's first half, and each text's
-    first chunk. A text of n bytes has max(1, ceil((n - 32) / 32)) chunks; bytes past its end are 0."""
+def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Half chunks (rows of 32 bytes) of all texts one after another, whether each begins a text, each chunk's
+    first half, and each text's first chunk. A text of n bytes has max(1, ceil((n - 32) / 32)) chunks; bytes past its end are 0."""
     lengths = np.diff(offsets)
     count = np.maximum(1, -(-(lengths - (CHUNK - STRIDE)) // STRIDE))
     start = np.cumsum(count + 1) - (count + 1)
     padded = np.zeros(int((count + 1).sum()) * STRIDE, np.uint8)
     padded[batches.ragged(lengths, start * STRIDE)] = data
-    return padded.reshape(-1, STRIDE), batches.ragged(count, start), np.cumsum(count) - count
+    begins = np.zeros(len(padded) // STRIDE, bool)
+    begins[start] = True
+    return padded.reshape(-1, STRIDE), begins, batches.ragged(count, start), np.cumsum(count) - count
 
 
 def seen(halves: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -65,10 +67,11 @@ def seen(halves: np.ndarray, before: np.ndarray) -> np.ndarray:
     return out
 
 
-def inputs(halves: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """What filters see of the chunks that begin at the given half chunks."""
+def inputs(halves: np.ndarray, begins: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """What filters see of the chunks that begin at the given half chunks; nothing stands before a text."""
     lo, hi = (int(rows[0]), int(rows[-1]) + 2) if len(rows) else (0, 0)
-    before = halves[lo - 1 : hi - 1] if lo else np.vstack((np.zeros_like(halves[:1]), halves[: hi - 1]))
+    before = halves[lo - 1 : hi - 1].copy() if lo else np.vstack((np.zeros_like(halves[:1]), halves[: hi - 1]))
+    before[begins[lo:hi]] = 0
     own = seen(halves[lo:hi], before)
     return (own[rows - lo] + own[rows - lo + 1]) / CHUNK
 
@@ -81,11 +84,11 @@ def respond(net: Network, x: np.ndarray) -> np.ndarray:
 
 def score_flat(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A probability for each text."""
-    halves, rows, first = chunked(data, offsets)
+    halves, begins, rows, first = chunked(data, offsets)
     top = np.full((len(offsets) - 1, FILTERS), 0, np.float32)
     owner = np.searchsorted(first, np.arange(len(rows)), "right") - 1
     for a in range(0, len(rows), 1 << 13):
-        made = respond(net, inputs(halves, rows[a : a + (1 << 13)]))
+        made = respond(net, inputs(halves, begins, rows[a : a + (1 << 13)]))
         own = owner[a : a + (1 << 13)]
         begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         part = np.maximum.reduceat(made, begin)
@@ -111,8 +114,8 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int
         own, order = order[:BATCH], order[BATCH:]
         data = np.frombuffer(b"".join(texts[i] for i in own), np.uint8)
         offsets = np.concatenate(([0], np.cumsum([len(texts[i]) for i in own])))
-        halves, rows, first = chunked(data, offsets)
-        x = inputs(halves, rows)
+        halves, begins, rows, first = chunked(data, offsets)
+        x = inputs(halves, begins, rows)
         made = respond(net, x)
         ends = np.concatenate((first[1:], [len(made)]))
         best = np.stack([s + made[s:e].argmax(axis=0) for s, e in zip(first, ends, strict=True)])
