@@ -24,7 +24,10 @@ SEGMENTS, SEGMENT_BITS, MOST_BITS, SEED = 8, 8, 2, 42
 #: Fingerprints with a key in common are compared pair by pair up to this many; larger groups are linked
 #: through shared neighbours, which loses no link either.
 PAIRWISE = 24
-#: Keys of removed rows are broadcast up to this many bytes.
+#: A fingerprint of so many rows doesn't shuffle them: such fingerprints, few by nature, are broadcast with their
+#: component, where they fit BROADCAST_BYTES.
+HOT_ROWS = 1000
+#: What is broadcast, by exact count of rows of 16 bytes: hot fingerprints, and keys of removed rows.
 BROADCAST_BYTES = 32 << 20
 #: Shingles hashed at once: bounds a task's memory for texts of any length.
 CHUNK = 1 << 16
@@ -149,13 +152,17 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     null component. Repeated rows are given as often as they come; an empty table gives an empty result.
     """
     rows = cut(add_fingerprints(df, text, key, shingle))
-    fps = cut(rows.groupBy("fp").agg(F.min("key").alias("least")))
+    fps = cut(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
     linked = components(near_pairs(fps.select("fp")))
     full = linked.select(F.col("node").alias("fp"), "root").union(linked.select(F.col("root").alias("fp"), "root").distinct())
-    least = full.join(fps, "fp").groupBy("root").agg(F.min("least").alias("component"))
+    least = full.join(fps.drop("n"), "fp").groupBy("root").agg(F.min("least").alias("component"))
     owned = full.join(least, "root").select("fp", "component")
-    classes = fps.join(owned, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return rows.join(classes, "fp").select("key", "mark", "fp", "component")
+    classes = fps.join(owned, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component"))
+    hot = cut(classes.filter(F.col("n") >= HOT_ROWS).drop("n"))
+    if hot.count() * 16 > BROADCAST_BYTES:
+        return rows.join(classes, "fp").select("key", "mark", "fp", "component")
+    others = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(classes.filter(F.col("n") < HOT_ROWS), "fp")
+    return others.select("key", "mark", "fp", "component").union(rows.join(F.broadcast(hot), "fp").select("key", "mark", "fp", "component"))
 
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:

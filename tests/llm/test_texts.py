@@ -203,6 +203,17 @@ def test_near_duplicates_by_brute_force(spark, sf_dir, edge, empty, monkeypatch)
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [-1, 32 << 20])
+def test_hot_fingerprints(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 3)
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", limit)
+    texts = ["same words here and there"] * 5 + ["other words"] * 3 + ["one more", "one more", None, ""]
+    df = spark.createDataFrame([(10 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    prints = [(10 - i, plain_fingerprint(t)) for i, t in enumerate(texts)]
+    want = sorted((k, c) for (k, _), c in zip(prints, classes(prints), strict=True))
+    assert sorted((r["key"], r["component"]) for r in simhash.near_duplicates(df).collect()) == want
+
+
 @pytest.mark.parametrize("pairwise", [2, 24, 10_000])
 def test_links_of_crowded_fingerprints(spark, monkeypatch, pairwise):
     """Many fingerprints within a few bits: the same components, whichever way a crowded key is linked."""
