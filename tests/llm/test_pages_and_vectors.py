@@ -20,6 +20,7 @@ three<br>four<p>Five &lt;six&gt; &eacute;&#233;<ul><li>item 1<li>item 2</ul><asi
 def test_blocks_of_a_page():
     assert [t for k, t in pages.blocks_of(PAGE) if k == 0] == ["A & B", "One two three four", "Five <six> éé", "item 1", "item 2", "Seven"]
     assert [t for k, t in pages.blocks_of(PAGE) if k == 1] == []
+    assert pages.blocks_of('<div class="page-header">Top</div><article><div class="article-header"><h1>T</h1></div><p style="display: none">x<p>a&nbsp;b</article>') == [(0, "T"), (0, "a b")]
     assert pages.blocks_of("") == [] and pages.blocks_of("plain  text") == [(1, "plain text")]
     assert pages.blocks_of("<p>cut &am") == [(1, "cut &am")] and pages.blocks_of("<article><p>cut <b") == [(0, "cut")]
     assert pages.blocks_of("<div>a<script>x</div><p>b</p>") == [(1, "a")]
