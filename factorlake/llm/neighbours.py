@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SHARD_ROWS, BLOCK_ROWS = 4096, 512
-LINKS, WIDER, EF, RATIO = 16, 64, 96, 16
+LINKS, WIDER, EF, RATIO = 24, 64, 64, 16
 
 
 def usable(vector: str) -> Column:
