@@ -107,7 +107,7 @@ def statement_rows(s: SparkSession, d: str) -> DataFrame:
     lines = adapter.table(s, d, "lineitem")
     end = F.last_day(F.add_months(F.trunc("l_shipdate", "quarter"), 2))
     q = lines.groupBy(F.col("l_suppkey").alias("s"), end.alias("end_date")).agg(
-        F.round(F.sum("l_extendedprice"), 2).alias("a"), F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("b"), F.round(F.sum(F.col("l_extendedprice") * F.col("l_tax")), 2).alias("c"), F.sum("l_quantity").alias("v")
+        F.round(F.sum("l_extendedprice"), 2).alias("a"), adapter.exact_sum("l_extendedprice", "l_discount").alias("b"), adapter.exact_sum("l_extendedprice", "l_tax").alias("c"), F.sum("l_quantity").alias("v")
     )
     q = q.withColumns({k: F.col(k).cast("decimal(24,4)") for k in "abcv"})
     year = Window.partitionBy("s", F.year("end_date")).orderBy("end_date")
@@ -126,8 +126,8 @@ def statement_rows(s: SparkSession, d: str) -> DataFrame:
     return base.union(again).union(clash).drop("s")
 
 
-_ROWS = f"""q AS (SELECT l_suppkey AS s, last_day((date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH)::DATE) AS end_date, round(sum(l_extendedprice), 2)::DECIMAL(24,4) AS a, round(sum(l_extendedprice * l_discount), 2)::DECIMAL(24,4) AS b,
-  round(sum(l_extendedprice * l_tax), 2)::DECIMAL(24,4) AS c, sum(l_quantity)::DECIMAL(24,4) AS v FROM lineitem GROUP BY ALL),
+_ROWS = f"""q AS (SELECT l_suppkey AS s, last_day((date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH)::DATE) AS end_date, round(sum(l_extendedprice), 2)::DECIMAL(24,4) AS a, sum(l_extendedprice::DECIMAL(14,2) * l_discount::DECIMAL(6,2))::DECIMAL(24,4) AS b,
+  sum(l_extendedprice::DECIMAL(14,2) * l_tax::DECIMAL(6,2))::DECIMAL(24,4) AS c, sum(l_quantity)::DECIMAL(24,4) AS v FROM lineitem GROUP BY ALL),
 raw AS (SELECT s, end_date, sum(a) OVER w AS revenue, sum(b) OVER w AS operate_profit, sum(c) OVER w AS n_income, sum(c - v) OVER w AS n_income_attr_p, sum(b - c) OVER w AS n_cashflow_act, sum(v * 10 - 1500) OVER w AS capex,
   a * 3 AS total_assets, a AS total_liab, a * 2 AS total_cur_assets, b AS total_cur_liab, c AS money_cap, b AS accounts_receiv, v AS goodwill, c AS st_borr, v * 2 AS lt_borr
   FROM q WINDOW w AS (PARTITION BY s, year(end_date) ORDER BY end_date)),

@@ -5,7 +5,7 @@ Symbols are suppliers, sessions are 14-day buckets of ship dates, prices are uni
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIRST_DAY, SESSION_DAYS = "1995-01-02", 14
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact_sum(a: str, b: str) -> Column:
+    """Sum of products of two columns of two decimals, exactly."""
+    return F.sum(F.col(a).cast("decimal(14,2)") * F.col(b).cast("decimal(6,2)"))
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each symbol and session with lines: open, high, low, close, volume and amount."""
     lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 0 AND l_shipdate IS NOT NULL")
@@ -82,11 +87,11 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     quarter_end = F.last_day(F.add_months(F.trunc("l_shipdate", "quarter"), 2))
     totals = lines.groupBy(F.col("l_suppkey").alias("s"), quarter_end.alias("end_date")).agg(
-        F.round(F.sum("l_extendedprice"), 2).alias("revenue"), F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("cost")
+        F.round(F.sum("l_extendedprice"), 2).alias("revenue"), exact_sum("l_extendedprice", "l_discount").cast("double").alias("cost")
     )
     code = F.concat(F.lit("S"), F.col("s").cast("string")).alias("ts_code")
     first = totals.select(code, F.date_add("end_date", 30).alias("ann_date"), "end_date", "revenue", "cost")
-    again = totals.filter("s % 7 = 0").select(code, F.date_add("end_date", 60).alias("ann_date"), "end_date", F.round(F.col("revenue") * 1.01, 2).alias("revenue"), F.when(F.col("s") % 14 != 0, F.col("cost")).alias("cost"))
+    again = totals.filter("s % 7 = 0").select(code, F.date_add("end_date", 60).alias("ann_date"), "end_date", (F.col("revenue") + 100).alias("revenue"), F.when(F.col("s") % 14 != 0, F.col("cost")).alias("cost"))
     return first.union(again)
 
 
@@ -138,10 +143,10 @@ memberships AS (
 REPORTS_SQL = """
 totals AS (
   SELECT l_suppkey AS s, last_day((date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH)::DATE) AS end_date,
-         round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice * l_discount), 2) AS cost FROM lineitem GROUP BY ALL),
+         round(sum(l_extendedprice), 2) AS revenue, sum(l_extendedprice::DECIMAL(14,2) * l_discount::DECIMAL(6,2))::DOUBLE AS cost FROM lineitem GROUP BY ALL),
 reports AS (
   SELECT 'S' || s AS ts_code, end_date + 30 AS ann_date, end_date, revenue, cost FROM totals
-  UNION ALL SELECT 'S' || s, end_date + 60, end_date, round(revenue * 1.01, 2), CASE WHEN s % 14 <> 0 THEN cost END FROM totals WHERE s % 7 = 0)"""
+  UNION ALL SELECT 'S' || s, end_date + 60, end_date, revenue + 100, CASE WHEN s % 14 <> 0 THEN cost END FROM totals WHERE s % 7 = 0)"""
 
 CONTEXT_SQL = """
 context AS (
