@@ -22,7 +22,7 @@ from .vocabulary import Vocabulary
 # Fixed value: the byte-level vocabulary's pattern of words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their tokens, in each Python worker; beyond, all are dropped and met anew.
-MOST_WORDS = 700_000
+MOST_WORDS = 250_000
 #: Longer words are not looked up again.
 KEPT_LENGTH = 48
 NEVER = np.iinfo(np.int32).max
