@@ -26,7 +26,7 @@ SEGMENTS, SEGMENT_BITS, MOST_BITS, SEED = 8, 8, 2, 42
 PAIRWISE = 24
 #: A fingerprint of so many rows doesn't shuffle them: such fingerprints, few by nature, are broadcast with their
 #: component, where they fit BROADCAST_BYTES.
-HOT_ROWS = 1000
+HOT_ROWS = 200
 #: What is broadcast, by exact count of rows of 16 bytes: hot fingerprints, and keys of removed rows.
 BROADCAST_BYTES = 32 << 20
 #: Shingles hashed at once: bounds a task's memory for texts of any length.
