@@ -6,10 +6,15 @@ up to three segments in none, chains of up to seven in at most one. So from that
 equal, and of the next four segments the first two or the last two are equal as well. Each of the eight
 starts thus gives two keys of 40 bits, and only fingerprints that share a key are compared: first their
 chain of seven, then all 64 bits.
+
+keep_similar() keeps one of the texts whose sets of shingles have a Jaccard similarity of at least 0.8. Fingerprints
+of such texts often differ in far more than 2 bits, so its candidates share a shingle of their sets' prefixes, which
+no such pair can fail to do, and all are confirmed on the whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,6 +36,14 @@ HOT_ROWS = 200
 BROADCAST_BYTES = 32 << 20
 #: Shingles hashed at once: bounds a task's memory for texts of any length.
 CHUNK = 1 << 16
+#: Words in a shingle and least Jaccard similarity of near copies.
+WORDS, SIMILARITY = 5, 0.8
+#: Texts whose shingles are counted to find common ones, how often such a one occurs there, and how many are told
+#: to the tasks. This only sets the order of shingles; all orders find the same pairs.
+SAMPLE_TEXTS, COMMON, MOST_COMMON = 20_000, 8, 200_000
+#: Bits of a set's sketch: the parity of its shingles in so many buckets. Two sketches differ in no more bits than
+#: their sets in shingles, so pairs are ruled out by them without a loss.
+PARITY = 2048
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -153,9 +166,14 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     """
     rows = cut(add_fingerprints(df, text, key, shingle))
     fps = cut(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
-    linked = components(near_pairs(fps.select("fp")))
+    return with_components(rows, fps, near_pairs(fps.select("fp")))
+
+
+def with_components(rows: DataFrame, fps: DataFrame, links: DataFrame) -> DataFrame:
+    """`rows` (key, mark, fp) with their component; `fps` has each fp's least key and number of rows."""
+    linked = components(links)
     full = linked.select(F.col("node").alias("fp"), "root").union(linked.select(F.col("root").alias("fp"), "root").distinct())
-    least = full.join(fps.drop("n"), "fp").groupBy("root").agg(F.min("least").alias("component"))
+    least = full.join(fps.select("fp", "least"), "fp").groupBy("root").agg(F.min("least").alias("component"))
     owned = full.join(least, "root").select("fp", "component")
     classes = fps.join(owned, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component"))
     hot = cut(classes.filter(F.col("n") >= HOT_ROWS).drop("n"))
@@ -173,7 +191,12 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     The rest is removed by key and mark. Where what is removed fits BROADCAST_BYTES (16 bytes a row, by exact
     count) it is broadcast, else the join shuffles.
     """
-    found = cut(near_duplicates(df.filter(F.col(key).isNotNull()), text, key, shingle).select("key", "mark", "component"))
+    return keep_least(df, near_duplicates(df.filter(F.col(key).isNotNull()), text, key, shingle), text, key)
+
+
+def keep_least(df: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
+    """`df` with one row of each component of `found` (key, mark, component)."""
+    found = cut(found.select("key", "mark", "component"))
     kept = found.groupBy("component").agg(F.min(F.struct("key", "mark")).alias("k")).select("k.key", "k.mark")
     gone = cut(found.join(kept, ["key", "mark"], "left_anti").select("key", "mark").distinct())
     few = gone.count() * 16 <= BROADCAST_BYTES
@@ -184,3 +207,138 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
         named = stay.filter(F.col(key).isNotNull()).dropDuplicates([key, "__hash"])
         stay = named.unionByName(stay.filter(F.col(key).isNull()))
     return stay.drop("__hash")
+
+
+def shingle_set(text: str, shingle: int = WORDS) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of the lower-cased words; fewer words make one shingle."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().encode().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    return np.sort(np.fromiter((xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)).view(np.int64))
+
+
+def add_sets(df: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
+    """(key, mark, hashes) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                made = pa.array([shingle_set(t or "", shingle) for t in part.column(2).to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made], names=["key", "mark", "hashes"])
+
+    kind = df.schema[key].dataType.simpleString()
+    slim = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).cast("string").alias("text"))
+    return slim.mapInArrow(run, f"key {kind}, mark long, hashes array<long>")
+
+
+def add_prefixes(df: DataFrame, text: str, key: str, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(key, mark, fp, n, prefix, sketch) of every row: fp tells equal sets, n is the set's size. Two sets as similar as
+    asked share one of the first n - ceil(similarity * n) + 1 shingles in any order; here common ones come last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                fps, sizes, prefixes, sketches = [], [], [], []
+                for t in part.column(2).to_pylist():
+                    found = shingle_set(t or "", shingle)
+                    n = len(found)
+                    late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(n, bool)
+                    fp = xxh64_intdigest(found.tobytes(), SEED)
+                    fps.append(fp - (1 << 64) if fp >> 63 else fp)
+                    sizes.append(n)
+                    prefixes.append(np.concatenate((found[~late], found[late]))[: n - math.ceil(similarity * n - 1e-9) + 1])
+                    sketches.append(np.packbits((np.bincount(found & (PARITY - 1), minlength=PARITY) & 1).astype(bool)).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                    names=["key", "mark", "fp", "n", "prefix", "sketch"],
+                )
+
+    kind = df.schema[key].dataType.simpleString()
+    slim = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).cast("string").alias("text"))
+    return slim.mapInArrow(run, f"key {kind}, mark long, fp long, n int, prefix array<long>, sketch array<long>")
+
+
+def similar_texts(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, mark, fp, component) of each row of `df`: texts are linked if the Jaccard similarity of their sets of
+    shingles is at least `similarity`. Texts without words are equal.
+
+    Sets that share a prefix's shingle are compared pair by pair up to PAIRWISE of them. Of larger groups all are
+    first compared with two of them, and after that only those in different components, so a group of near copies
+    is linked without all its pairs, and no component is cut.
+    """
+    rate = max(1, df.count() // SAMPLE_TEXTS)
+    sample = df.filter(F.pmod(F.xxhash64(text, F.lit(SEED)), F.lit(rate)) == 0)
+    counts = add_sets(sample, text, key, shingle).select(F.explode("hashes").alias("h")).groupBy("h").count().filter(F.col("count") >= COMMON)
+    common = np.array([r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").collect()], np.int64)
+    common.sort()
+    made = cut(add_prefixes(df, text, key, shingle, similarity, common))
+    rows = made.select("key", "mark", "fp")
+    fps = cut(rows.groupBy("fp").agg(F.min("key").alias("least"), F.min(F.struct("key", "mark")).alias("owner"), F.count("*").alias("n")))
+
+    # Of rows of equal sets one is dealt out: the owner, told by key and mark.
+    owners = cut(fps.filter("n > 1").select("fp", "owner.key", "owner.mark"))
+    few = owners.count() * 24 <= BROADCAST_BYTES
+    owned = made.join(F.broadcast(owners) if few else owners, ["fp", "key", "mark"], "left_semi").dropDuplicates(["fp"])
+    single = made.join(F.broadcast(owners.select("fp")) if few else owners.select("fp"), "fp", "left_anti")
+    slim = [d.select("fp", "n", F.posexplode("prefix").alias("pos", "h")) for d in (single, owned.select("fp", "n", "prefix"))]
+    posted = slim[0].unionByName(slim[1]).repartition("h")
+    groups = posted.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1")
+    posted = cut(posted.join(groups, "h"))
+    item = F.struct("fp", "n", "pos")
+    share = similarity / (1 + similarity)
+
+    def few_rows(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() * 24 <= BROADCAST_BYTES else rows
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Of (a, b) those that sizes and places of the shared shingle allow, as (u, v)."""
+        size = (F.col("a.n") + F.col("b.n")) * share - 1e-9
+        rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+        allowed = pairs.filter("a.fp <> b.fp").filter(rest >= size).filter(F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * similarity - 1e-9)
+        return allowed.select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v")).distinct()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose whole sets are similar; texts of other pairs aren't read again."""
+        nodes = cut(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(fps, "fp").select("fp", "owner.key", "owner.mark"))
+        sketches = cut(made.join(few_rows(nodes), ["fp", "key", "mark"], "left_semi").select("fp", "n", "sketch").dropDuplicates(["fp"]))
+        marked = pairs.join(sketches.select(F.col("fp").alias("u"), F.col("n").alias("m"), F.col("sketch").alias("x")), "u")
+        marked = marked.join(sketches.select(F.col("fp").alias("v"), "n", F.col("sketch").alias("y")), "v")
+        differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
+        pairs = cut(marked.filter(differ <= (F.col("m") + F.col("n")) * (1 - 2 * share) + 1e-9).select("u", "v"))
+        needed = cut(nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp"))
+        one = few_rows(needed.select("fp", F.col("key").alias("__key"), F.col("mark").alias("__mark")))
+        texts = df.withColumn("__hash", F.xxhash64(text)).join(one, (F.col(key) == F.col("__key")) & (F.col("__hash") == F.col("__mark")), "left_semi")
+        if texts.count() > needed.count():  # rows that repeat
+            texts = texts.dropDuplicates([key, "__hash"])
+        sets = cut(add_sets(texts.select(key, text), text, key, shingle).join(few_rows(needed), ["key", "mark"]).select("fp", "hashes"))
+        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("y")), "v")
+        same = F.size(F.array_intersect("x", "y"))
+        return cut(both.filter(same >= (F.size("x") + F.size("y") - same) * similarity - 1e-9).select("u", "v"))
+
+    small = posted.filter(F.col("members") <= PAIRWISE)
+    mates = small.select("h", item.alias("a")).join(small.select("h", item.alias("b")), "h").filter("a.fp < b.fp")
+    large = posted.filter(F.col("members") > PAIRWISE)
+    firsts = [large.groupBy("h").agg(F.min_by(item, F.xxhash64("fp", F.lit(seed))).alias("b")) for seed in (1, 2)]
+    tries = [large.select("h", item.alias("a")).join(first, "h") for first in firsts]
+    links = confirmed(cut(reduce(DataFrame.unionByName, [possible(mates), *map(possible, tries)]).distinct()))
+    linked = components(links)
+    roots = linked.select(F.col("node").alias("fp"), "root").union(linked.select(F.col("root").alias("fp"), "root").distinct())
+    placed = cut(large.join(roots, "fp", "left").select("h", item.alias("a"), F.coalesce("root", "fp").alias("root")))
+    main = placed.groupBy("h").agg(F.min_by("root", F.xxhash64(F.col("a.fp"), F.lit(1))).alias("main"))
+    others = placed.join(main, "h").filter("root <> main").select("h", F.col("a").alias("b"), F.col("root").alias("other"))
+    rest = cut(possible(placed.join(others, "h").filter("root <> other")))
+    if rest.limit(1).count():
+        links = links.unionByName(confirmed(rest))
+    return with_components(rows, fps, links)
+
+
+def keep_similar(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """`df` with one row of each component of similar_texts, chosen as in keep_one."""
+    return keep_least(df, similar_texts(df.filter(F.col(key).isNotNull()), text, key, shingle, similarity), text, key)

@@ -11,6 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from factorlake.llm import batches, bpe, media, quality, queries, simhash, token_counts
 from factorlake.llm.vocabulary import Vocabulary, default_path
 
@@ -295,3 +296,64 @@ def test_runs_keep_rows_whole():
     assert [x for p in parts for x in p] == batch.column(0).to_pylist() and parts[0] == ["a" * 10, None, ""]
     data, offsets = batches.flat(batch.slice(2, 2).column(0))
     assert data.tobytes() == b"b" * 100 and offsets.tolist() == [0, 0, 100]
+
+
+def shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def plain_components(rows):
+    """Smallest key by row, of rows (key, text), by comparing all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), k), k)
+    return {k: least[find(i)] for i, (k, _) in enumerate(rows)}
+
+
+def similar_rows():
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = [None, "", " \n", "one", "One", "a b c", "a b c d"]
+    line = [word() for _ in range(12)]
+    for _ in range(30):
+        base = [word() for _ in range(rng.randrange(20, 150))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(3)):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    template = [word() for _ in range(80)]
+    for i in range(40):  # a chain's ends differ, its neighbours don't
+        template[i * 2] = word()
+        texts.append(" ".join(template))
+    texts += [" ".join(line + [word() for _ in range(rng.randrange(4))]) for _ in range(40)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_near_copies_by_brute_force(spark):
+    rows = similar_rows()
+    want = plain_components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["key"]: r["component"] for r in rows_of(simhash.similar_texts(df))}
+    assert got == want
+    kept = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert sorted(r["doc_id"] for r in rows_of(kept)) == sorted(set(want.values()))
+    few = simhash.keep_one(df).count()
+    assert kept.count() < few
+    assert corpus_pipeline.drop_near_copies(spark, df.filter("false"), "").count() == 0
