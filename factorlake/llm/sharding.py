@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from .common import cut, utf8_bytes
 
 KEY_BITS, FIRST_BITS, NEXT_BITS = 63, 15, 8
+#: Bytes of a piece, the rows that one task numbers, and how many pieces there are at most: their bounds are literals of
+#: the plan. Beyond, pieces grow; sorting them spills.
+PIECE_BYTES, MOST_PIECES = 64 << 20, 4096
 
 
 def sort_key(text: str = "text", key: str = "doc_id") -> Column:
@@ -82,18 +85,21 @@ def count_passed(bounds: list[int], key: str = "__k") -> Column:
     return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col(key)))
 
 
-def shard_rows(df: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id", pieces: int = 8, tolerance: float = 0.001) -> DataFrame:
+def shard_rows(df: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id", pieces: int | None = None, tolerance: float = 0.001) -> DataFrame:
     """All rows of `df` with size, shard (0 to shards-1) and slot (0, 1, ... within its shard).
 
     Law `bytes`: the shards' sums of size (UTF-8 bytes of the text plus 8) are near equal, as
-    find_splitters() says. Each shard is cut into `pieces` by further splitters, so that slots are numbered
-    by many tasks: a row's slot is the count of rows in its shard's earlier pieces plus its place in its
+    find_splitters() says. Each shard is cut into `pieces` by further splitters (as many as PIECE_BYTES and
+    MOST_PIECES ask for, if not given), so that slots are numbered by many tasks: a row's slot is the count of rows in its shard's earlier pieces plus its place in its
     piece, by key and then doc_id. A null text has size 8 and is a text of its own; a null doc_id is hashed
     like a value; rows that agree in both text and doc_id have one key and stay in one shard. An empty
     table gives an empty result. Input columns named size, shard or slot are replaced.
     """
     sized = df.withColumns({"size": utf8_bytes(text) + 8, "__k": sort_key(text, key)})
     keys = cut(sized.select(F.col("__k").alias("k"), "size"))
+    if pieces is None:
+        total = keys.agg(F.sum("size")).first()[0] or 0
+        pieces = max(1, min(-(-total // (shards * PIECE_BYTES)), MOST_PIECES // shards))
     cuts = find_splitters(keys, shards * pieces, tolerance)
     outer = cuts[pieces - 1 :: pieces]
     inner = [cuts[s * pieces : (s + 1) * pieces - 1] for s in range(shards)]
