@@ -95,31 +95,38 @@ def plan_mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     return state.select("source", "source_size", "target", "epochs", F.shiftleft(F.col("cell") + more, width).alias("threshold")), few
 
 
+#: Names of what add_mix() adds.
+SIZE, SOURCE, PLACE, SOURCE_SIZE, TARGET, COPIES = "__mix_size", "__mix_source", "__mix_place", "__mix_source_size", "__mix_target", "__mix_copies"
+
+
+def add_mix(df: DataFrame, weights: tuple[int, ...], most: int, text: str, key: str, source: str) -> DataFrame:
+    """`df` with a column for each of the names above; its own columns stay as they are."""
+    rows = df.withColumns({SIZE: word_count(text), SOURCE: F.col(source), PLACE: place_of(key)})
+    plan, few = plan_mix(cut(rows.select(F.col(SOURCE).alias("source"), F.col(PLACE).alias("place"), F.col(SIZE).alias("size"))), weights, most)
+    slim = rows.select(F.struct(*df.columns, SIZE, SOURCE).alias("__row"), F.col(SOURCE).alias("source"), F.col(PLACE).alias("place"))
+    copies = F.col("epochs") + F.when(F.col("place") < F.col("threshold"), 1).otherwise(0)
+    joined = with_source(slim, plan, few)
+    return joined.select("__row.*", F.col("place").alias(PLACE), F.col("source_size").alias(SOURCE_SIZE), F.col("target").alias(TARGET), F.least(copies, F.lit(most)).cast("long").alias(COPIES))
+
+
 def mix_sources(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """All rows of `df` with size (words), source_size, target, copies (how often the mix takes the row) and
     taken (copies times size).
 
-    A null text or one without words has size 0. A null source is a source, the last. Rows that share a
-    doc_id are taken alike. A source whose documents are few or large comes as near to its target as the run
-    of whole documents allows. If no text has words, targets are 0 and nothing is taken; an empty table
-    gives an empty result. Input columns with the names of the new ones are replaced.
+    A null text or one without words has size 0, and is copied `most` times at most like any other. A null source is a
+    source, the last. Rows that share a doc_id are taken alike. A source whose documents are few or large comes as near
+    to its target as the run of whole documents allows. If no text has words, targets are 0 and nothing is taken; an
+    empty table gives an empty result. Input columns with the names of the five new ones are replaced; all others,
+    whatever their names, stay.
     """
-    rows = df.drop("source_size", "target", "copies", "taken").withColumns({"size": word_count(text), "__source": F.col(source), "place": place_of(key)})
-    keys = cut(rows.select(F.col("__source").alias("source"), "place", "size"))
-    plan, few = plan_mix(keys, weights, most)
-    slim = rows.select(*[F.col(c).alias(f"__in_{c}") for c in rows.columns if c not in ("place", "__source")], F.col("__source").alias("source"), "place")
-    joined = with_source(slim, plan, few)
-    copies = (F.col("epochs") + F.when(F.col("place") < F.col("threshold"), 1).otherwise(0)).cast("long")
-    return joined.select(
-        *[F.col(f"__in_{c}").alias(c) for c in rows.columns if c not in ("place", "__source")],
-        "source_size",
-        "target",
-        copies.alias("copies"),
-        (copies * F.col("__in_size")).alias("taken"),
-    )
-
-
-def take_mix(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of `df`, each as often as the mix takes it."""
-    mixed = mix_sources(df, **options)
-    return mixed.withColumn("__n", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))).otherwise(F.array().cast("array<int>")))).select(df.columns)
+    made = add_mix(df, weights, most, text, key, source)
+    new = {"size": F.col(SIZE), "source_size": F.col(SOURCE_SIZE), "target": F.col(TARGET), "copies": F.col(COPIES), "taken": F.col(COPIES) * F.col(SIZE)}
+    return made.select(*[c for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+
+
+def take_mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The mix itself: the rows of `df`, with their own columns as they came, each as often as the mix takes it. Nulls,
+    ties, repeated rows and empty tables are as in mix_sources()."""
+    made = add_mix(df, weights, most, text, key, source)
+    times = F.when(F.col(COPIES) > 0, F.sequence(F.lit(1), F.col(COPIES).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return made.withColumn("__mix_n", F.explode(times)).select(df.columns)
