@@ -17,19 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one made where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, one is made if all
+    of Spark runs on this machine; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = made.get() if made.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if made.isDefined():
+            found = made.get()
+        elif spark.sparkContext.master.startswith("local"):
+            found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder that all executors share, with its lineage cut there.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests on one
-    machine, is a folder made here.
+    The folder is that of shared_folder().
     """
     spark = df.sparkSession
     context = spark.sparkContext

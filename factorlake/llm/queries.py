@@ -18,8 +18,9 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    spans = found.select("doc_id", *[secrets.count_kind(i).alias(f"n_{r.kind}") for i, r in enumerate(secrets.RULES)], secrets.spans_text().alias("spans"))
-    return spans.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans")
+    base = F.filter("secrets", lambda s: s["kind"] < len(secrets.BASE_RULES))
+    counts = [secrets.count_kind(i).alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE_RULES)]
+    return found.select("doc_id", *counts, F.sha2(secrets.spans_text(base).cast("binary"), 256).alias("base_sha256"), secrets.spans_text().alias("spans"))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def op4_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_audio(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return media.read_audio(stored, keep_pcm=False).withColumnRenamed("key", "doc_id")
+    return media.read_audio(stored).withColumnRenamed("key", "doc_id")
 
 
 def op6_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pages.extract_text(table(spark, sf_dir, "pages"))
-    return made.select(F.col("key").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
+    return made.select(F.col("key").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +89,15 @@ QUERIES = {
 # Columns and rules are those of the Spark queries; texts hold no letters that fold outside ASCII.
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
+_PUBLIC = {
+    "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "github": "gh[opsu]_[A-Za-z0-9]{36,}",
+    "slack": "xox[abprs]-[A-Za-z0-9-]{10,}",
+    "google": "AIza[A-Za-z0-9_-]{35,}",
+}
+_TEXT_SQL = "array_to_string(list_transform({x}, lambda x: ['assign', 'access', 'hex', 'pem', 'jwt', 'github', 'slack', 'google'][x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+
 
 def _spans_sql(name: str, pattern: str, group: int, least: int, order: int) -> str:
     """Spans of one kind: the lengths of the gaps between matches and of the matches give their places."""
@@ -108,13 +118,13 @@ ORACLES = {
     {_spans_sql("a", _ASSIGN, 2, 8, 0)},
     {_spans_sql("b", "AKIA[A-Z0-9]+", 0, 16, 1)},
     {_spans_sql("c", "[0-9a-f]{32,}", 0, 32, 2)},
+    {",".join(_spans_sql(n, p, 0, 1, 3 + i) for i, (n, p) in enumerate(_PUBLIC.items()))},
     whole AS (
       SELECT doc_id, len(a.spans) AS n_assign, len(b.spans) AS n_access, len(c.spans) AS n_hex,
-        array_to_string(list_transform(list_sort(list_transform(list_concat(list_concat(a.spans, b.spans), c.spans),
-          lambda x: {{'s': x.s::BIGINT, 'k': x.k::BIGINT, 'e': x.e::BIGINT}})),
-          lambda x: ['assign', 'access', 'hex'][x.k + 1] || ':' || x.s || ':' || x.e), ',') AS spans
-      FROM docs JOIN a USING (rid) JOIN b USING (rid) JOIN c USING (rid))
-    SELECT doc_id, n_assign::BIGINT AS n_assign, n_access::BIGINT AS n_access, n_hex::BIGINT AS n_hex, sha256(spans) AS base_sha256, spans FROM whole""",
+        list_sort(list_transform(flatten([a.spans, b.spans, c.spans, {", ".join(f"{n}.spans" for n in _PUBLIC)}]), lambda x: {{'s': x.s::BIGINT, 'k': x.k::BIGINT, 'e': x.e::BIGINT}})) AS spans
+      FROM docs JOIN a USING (rid) JOIN b USING (rid) JOIN c USING (rid) {" ".join(f"JOIN {n} USING (rid)" for n in _PUBLIC)}),
+    texts AS (SELECT *, {_TEXT_SQL.format(x="list_filter(spans, lambda x: x.k < 3)")} AS base, {_TEXT_SQL.format(x="spans")} AS every FROM whole)
+    SELECT doc_id, n_assign::BIGINT AS n_assign, n_access::BIGINT AS n_access, n_hex::BIGINT AS n_hex, sha256(base) AS base_sha256, every AS spans FROM texts""",
     "op3_source_mix": r"""
     WITH docs AS (
       SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

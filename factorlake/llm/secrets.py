@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, whole
 
-#: Candidate rows are broadcast up to this many bytes (24 a row, counted before); beyond, the join shuffles.
+#: Candidate rows are broadcast up to this many bytes (24 a row and 4 a rule, counted before); beyond, the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -32,11 +32,20 @@ class Rule:
 
 
 # The base rules.
-RULES = [
+BASE_RULES = [
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]{32,}"),
 ]
+# Public forms of keys and tokens.
+PUBLIC_RULES = [
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("github", r"gh[opsu]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
+]
+RULES = BASE_RULES + PUBLIC_RULES
 
 
 def exact_runs(parsed, most: int = 64) -> list[set[str]]:
@@ -113,20 +122,15 @@ def build_index(df: DataFrame, trigrams: list[str], text: str = "text", key: str
 
 
 def find_candidates(index: DataFrame, trigrams: list[str], queries: list[list[list[frozenset[str]]]]) -> DataFrame:
-    """Postings intersected by each query: key and a bit for each query that holds; keys without any are left out."""
+    """Postings intersected by each query: key and the places of the queries that hold; keys without any are left out."""
     place = {t: i for i, t in enumerate(trigrams)}
-    have = index.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, trigram)")).alias("have"))
+    have = index.groupBy("key").agg(F.collect_set("trigram").alias("have"))
 
     def holds(needed: frozenset[str]) -> Column:
-        bits = F.lit(sum(1 << place[t] for t in needed)).cast("long")
-        return F.col("have").bitwiseAND(bits) == bits
+        return F.size(F.array_intersect("have", F.array(*[F.lit(place[t]) for t in sorted(needed)]))) == len(needed)
 
-    rules = F.lit(0).cast("long")
-    for i, clauses in enumerate(queries):
-        if clauses:
-            met = reduce(Column.__and__, [reduce(Column.__or__, [holds(s) for s in sets]) for sets in clauses])
-            rules = rules + F.when(met, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return have.select("key", rules.alias("rules")).filter("rules <> 0")
+    met = [F.when(reduce(Column.__and__, [reduce(Column.__or__, [holds(s) for s in sets]) for sets in clauses]), F.lit(i)) for i, clauses in enumerate(queries) if clauses]
+    return have.select("key", F.array_compact(F.array(*met)).alias("rules")).filter(F.size("rules") > 0)
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -151,35 +155,33 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.when(F.size(found) == 0, start["spans"]).otherwise(F.aggregate(parts, start, step)["spans"])
 
 
-def find_secrets(df: DataFrame, rules: list[Rule] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All rows and columns of `df` with `secrets`: structs (start, kind, end), by start and then by the
+def find_secrets(df: DataFrame, rules: list[Rule] | None = None, text: str = "text", key: str = "doc_id", name: str = "secrets") -> DataFrame:
+    """All rows and columns of `df` with the column `name`: structs (start, kind, end), by start and then by the
     rules' order; kind is the rule's place, places are code points.
 
-    The candidates' table holds a key and a bit for each rule; where 24 bytes a row fit BROADCAST_BYTES by
+    The candidates' table holds a key and the rules that it is a candidate for; where that fits BROADCAST_BYTES by
     exact count it is broadcast, else both sides are shuffled by key. Keys may be null or repeat: candidates
     are then joined to all rows of that key, and the expression decides. A null or empty text has no
-    secrets; an empty table gives an empty result. An input column named secrets is replaced.
+    secrets; an empty table gives an empty result. An input column of that name is replaced, all others stay.
     """
     rules = RULES if rules is None else rules
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({t for clauses in queries for sets in clauses for s in sets for t in s})
-    if len(trigrams) > 62:
-        raise ValueError("the rules ask for more than 62 trigrams; scan them in several calls")
-    df = df.drop("secrets")
+    df = df.drop(name)
     if trigrams:
         found = cut(find_candidates(build_index(df, trigrams, text, key), trigrams, queries))
         found = found.select(F.col("key").alias("__key"), F.col("rules").alias("__rules"))
-        if found.count() * 24 <= BROADCAST_BYTES:
+        if found.count() * (24 + 4 * len(rules)) <= BROADCAST_BYTES:
             found = F.broadcast(found)
         rows = df.join(found, df[key].eqNullSafe(found["__key"]), "left").drop("__key")
     else:
-        rows = df.withColumn("__rules", F.lit(0).cast("long"))
+        rows = df.withColumn("__rules", F.array().cast("array<int>"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     each = []
     for i, (rule, clauses) in enumerate(zip(rules, queries, strict=True)):
         own = spans_of(whole(text), rule, i)
-        each.append(F.when(F.col("__rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0, own).otherwise(none) if clauses else own)
-    return rows.withColumn("secrets", F.array_sort(F.concat(*each))).drop("__rules")
+        each.append(F.when(F.array_contains("__rules", i), own).otherwise(none) if clauses else own)
+    return rows.withColumn(name, F.array_sort(F.concat(*each))).drop("__rules")
 
 
 def spans_text(secrets: str = "secrets", rules: list[Rule] | None = None) -> Column:
@@ -193,14 +195,16 @@ def count_kind(kind: int, secrets: str = "secrets") -> Column:
 
 
 def redact(df: DataFrame, rules: list[Rule] | None = None, text: str = "text", key: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
-    """`df` with every secret of every text replaced by `mark`; overlapping spans are replaced as one."""
-    found = find_secrets(df, rules, text, key)
+    """`df` with every secret of every text replaced by `mark`; overlapping spans are replaced as one. Null texts stay
+    null, and all other columns, whatever their names, stay as they came; rows that repeat are given each, and an empty
+    table gives an empty result."""
+    found = find_secrets(df, rules, text, key, "__secrets")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
         new = F.concat(acc["parts"], F.array(F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["parts"]).alias("parts"))
 
-    done = F.aggregate("secrets", start, step)
+    done = F.aggregate("__secrets", start, step)
     clean = F.concat(F.array_join(done["parts"], ""), F.substr(F.col(text), done["at"] + 1, F.char_length(text)))
-    return found.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text))).drop("secrets")
+    return found.withColumn(text, F.when(F.size("__secrets") > 0, clean).otherwise(F.col(text))).drop("__secrets")

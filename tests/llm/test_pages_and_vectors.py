@@ -1,6 +1,8 @@
 """Page text, nearest neighbours and the pipeline."""
 
+import html
 import random
+import re
 
 import numpy as np
 import pytest
@@ -17,31 +19,39 @@ three<br>four<p>Five &lt;six&gt; &eacute;&#233;<ul><li>item 1<li>item 2</ul><asi
 <section id="comments"><p>first!</p></section><footer>&copy; all</footer></body></html>"""
 
 
+def texts_of(page, kind):
+    return [b.text for b in pages.blocks_of(page) if b.kind == kind]
+
+
 def test_blocks_of_a_page():
-    assert [t for k, t in pages.blocks_of(PAGE) if k == 0] == ["A & B", "One two three four", "Five <six> éé", "item 1", "item 2", "Seven"]
-    assert [t for k, t in pages.blocks_of(PAGE) if k == 1] == []
-    assert pages.blocks_of('<div class="page-header">Top</div><article><div class="article-header"><h1>T</h1></div><p style="display: none">x<p>a&nbsp;b</article>') == [(0, "T"), (0, "a b")]
-    assert pages.blocks_of("") == [] and pages.blocks_of("plain  text") == [(1, "plain text")]
-    assert pages.blocks_of("<p>cut &am") == [(1, "cut &am")] and pages.blocks_of("<article><p>cut <b") == [(0, "cut")]
-    assert pages.blocks_of("<div>a<script>x</div><p>b</p>") == [(1, "a")]
-    assert pages.blocks_of("<main><header><h1>Title</h1></header><p>x</p></main>") == [(0, "Title"), (0, "x")]
-
-
-def slow_cover(tokens, page, run, least):
-    n, seen = len(tokens), {}
-    for i in range(n - run + 1):
+    assert texts_of(PAGE, pages.MAIN_TEXT) == ["A & B", "One two three four", "Five <six> éé", "item 1", "item 2", "Seven"]
+    assert texts_of(PAGE, pages.OPEN) == [] and "side" in texts_of(PAGE, pages.ASIDE)
+    assert texts_of('<div class="page-header">Top</div><article><div class="article-header"><h1>T</h1></div><p style="display: none">x<p>a&nbsp;b</article>', pages.MAIN_TEXT) == ["T", "a b"]
+    assert pages.blocks_of("") == [] and texts_of("plain  text", pages.OPEN) == ["plain text"]
+    assert texts_of("<p>cut &am", pages.OPEN) == ["cut &am"] and texts_of("<article><p>cut <b", pages.MAIN_TEXT) == ["cut"]
+    assert texts_of("<div>a<script>x</div><p>b</p>", pages.OPEN) == ["a"]
+    assert texts_of("<main><header><h1>Title</h1></header><p>x</p></main>", pages.MAIN_TEXT) == ["Title", "x"]
+    first, second, third = pages.blocks_of('<div class="x"><p>a<p>b</div><ul><li>c</ul>')
+    assert first.container == second.container != third.container and first.path == "div.x/p" and third.path == "ul/li"
+
+
+def test_slugs_in_articles_are_not_furniture():
+    page = """<article><h2 id="related-work">Related work</h2><h2 id="search-and-privacy">Search</h2><section id="social-impact"><p>Impact</section>
+    <p class="alert">Careful<li class="menu">Soup<blockquote class="comment">Said<p>body<div class="related-posts">More</div><div id="comments"><p>first!</div><section class="comments"><p>second!</section></article>"""
+    assert texts_of(page, pages.MAIN_TEXT) == ["Related work", "Search", "Impact", "Careful", "Soup", "Said", "body"]
+
+
+def slow_runs(tokens, page, run):
+    """Distinct runs within one page, and the pages that hold each."""
+    seen = {}
+    for i in range(len(tokens) - run + 1):
         if page[i] == page[i + run - 1]:
-            seen.setdefault(tuple(tokens[i : i + run]), []).append(i)
-    hit = np.zeros(n, bool)
-    for at in seen.values():
-        if len({page[i] for i in at}) >= least:
-            for i in at:
-                hit[i : i + run] = True
-    return hit
+            seen.setdefault(tuple(tokens[i : i + run]), set()).add(page[i])
+    return {r: len(p) for r, p in seen.items()}
 
 
 @pytest.mark.parametrize("seed", range(8))
-def test_covered_tokens_by_brute_force(seed):
+def test_repeated_runs_by_brute_force(seed):
     rng = np.random.default_rng(seed)
     shared = rng.integers(0, 3, 12)
     parts, page = [], []
@@ -49,31 +59,65 @@ def test_covered_tokens_by_brute_force(seed):
         own = np.concatenate([rng.integers(0, 3, rng.integers(0, 9)), shared if rng.random() < 0.5 else rng.integers(0, 3, 3)])
         parts.append(own)
         page += [p] * len(own)
-    tokens, page = np.concatenate(parts), np.array(page)
-    for run, least in ((4, 2), (8, 3)):
-        assert (pages.covered_tokens(tokens, page, run, least) == slow_cover(tokens, page, run, least)).all()
-
-
-def test_host_boilerplate_goes_where_markup_does_not_say(spark):
-    menu = " ".join(f"menu{i}" for i in range(20))
-    rows = [(i, f"http://h.example/{i}", f"<div>{menu}</div><div>story {i} " + " ".join(f"w{i}x{j}" for j in range(30)) + "</div>") for i in range(6)]
-    rows += [(10, "http://h.example/a", f"<article><p>{menu}</p></article><div>{menu}</div>"), (11, None, f"<p>{menu}"), (12, "http://h.example/e", None), (None, None, ""), (12, "http://h.example/e", None)]
+    tokens, page = np.concatenate(parts).astype(np.uint64), np.array(page)
+    for run in (4, 8, 16):
+        place, n = pages.repeated_runs(tokens, page, run)
+        assert {tuple(tokens[i : i + run]): k for i, k in zip(place, n, strict=True)} == slow_runs(tokens, page, run)
+        hashes = pages.run_hashes(tokens, run)[place] if len(place) else place
+        assert len(set(hashes.tolist())) == len(place)
+
+
+def page_rows():
+    """Pages without article element: a menu, a notice and a footer by the host, own stories with a licence line."""
+    words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    menu, notice, footer, licence = words("menu", 20), words("we", 18), words("foot", 24), words("licence", 17)
+    story = lambda i: f"story {i} " + words(f"w{i}x", 40)
+    rows, want = [], {}
+    for i in range(6):
+        rows.append((i, f"http://h.example/{i}", f"<div>{menu}</div><div><p>{story(i)}<p>{licence}</div><ul><li>{notice}</ul><p>{footer}"))
+        want[i] = f"{story(i)}\n\n{licence}"
+    rows.append((10, "http://h.example/a", f"<article><p>{menu}</p><p>{licence}</p></article><div>{menu}</div>"))
+    want[10] = f"{menu}\n\n{licence}"
+    for i in range(20, 24):  # copies of one page, and one row again
+        rows.append((i, "http://c.example/same", f"<div>{menu}</div><div><p>{story(77)}</div>"))
+        want[i] = f"{menu}\n\n{story(77)}"
+    for i in range(30, 34):  # near copies among the first host's pages
+        rows.append((i, f"http://h.example/n{i}", f"<div>{menu}</div><div><p>{story(88)} v{i}</div><p>{footer}"))
+        want[i] = f"{story(88)} v{i}"
+    rows += [(40, None, f"<p>{menu}"), (41, "http://h.example/e", None), (None, None, ""), (41, "http://h.example/e", None), (42, "no url", f"<div>{menu}</div>")]
+    want |= {40: menu, 41: "", None: "", 42: menu}
+    return rows, want
+
+
+@pytest.mark.parametrize("shard_bytes", [8 << 20, 700])
+def test_host_boilerplate_goes_where_markup_does_not_say(spark, monkeypatch, shard_bytes):
+    """However pages are dealt into shards, the same runs are repeated."""
+    monkeypatch.setattr(pages, "SHARD_BYTES", shard_bytes)
+    rows, want = page_rows()
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string")
     got = rows_of(pages.extract_text(df))
     assert len(got) == len(rows)
-    by = {r["key"]: r for r in got}
-    assert all(by[i]["text"] == rows[i][2].split("<div>")[2].removesuffix("</div>") for i in range(6))
-    assert by[10]["text"] == menu and by[10]["n_repeated"] == 20 and by[11]["text"] == menu and by[12]["text"] == "" and by[None]["text"] == ""
+    for r in got:
+        assert r["text"] == want[r["key"]], r["key"]
     assert pages.extract_text(df.filter("false")).count() == 0
 
 
-def test_every_page_has_its_article(spark, sf_dir):
-    got = rows_of(queries.op9_page_text(spark, sf_dir))
-    table = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    assert sorted(r["page_id"] for r in got) == sorted(table)
-    for r in got:
-        assert r["n_chars"] == len(r["text"]) and "<p>" not in r["text"] and "track(" not in r["text"]
-        assert bool(r["text"]) == ("<article>" in table[r["page_id"]])
+def plain_article(page):
+    """The article of the table's simple pages, read with a few expressions."""
+    found = re.search(r"<article>(.*?)</article>", page or "", re.S)
+    if not found:
+        return ""
+    parts = re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", re.sub(r"<br\s*/?>", " ", found[1]))
+    return "\n\n".join(t for t in (" ".join(html.unescape(re.sub(r"</?[a-z][^>]*>", "", x)).split()) for x in parts) if t)
+
+
+def test_pages_by_a_plain_reading(spark, sf_dir):
+    for folder in (sf_dir, "/root/testdata/sf0.01"):
+        table = {r["page_id"]: r for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+        got = rows_of(queries.op9_page_text(spark, folder))
+        assert sorted(r["page_id"] for r in got) == sorted(table)
+        for r in got:
+            assert (r["url"], r["text"], r["n_chars"]) == (table[r["page_id"]]["url"], plain_article(table[r["page_id"]]["html"]), len(r["text"]))
 
 
 def exact(rows, k, every):

@@ -279,10 +279,75 @@ def test_scores_see_the_whole_text_and_batches_dont_matter(edge, empty):
     assert quality.score(empty, net).count() == 0
 
 
+def slow_score(net, text):
+    """The network, place by place: filters over 8 bytes every 4, means of chunks of 256 bytes every 128, largest of units."""
+    step, stride = quality.STEP, quality.STRIDE
+    chunks = max(1, -(-(len(text) - stride) // stride))
+    data = text.ljust((chunks + 1) * stride + step, b"\0")
+    flat = net.filters.reshape(2 * step * quality.EMBED, quality.FILTERS).astype(float)
+    respond = lambda p: np.maximum(np.concatenate([net.embed[b] for b in data[p : p + 2 * step]]).astype(float) @ flat + net.bias, 0)
+    top = np.zeros(quality.UNITS)
+    for c in range(chunks):
+        mean = np.mean([respond(p) for p in range(c * stride, (c + 2) * stride, step)], axis=0)
+        top = np.maximum(top, mean @ net.units + net.unit_bias)
+    return 1 / (1 + np.exp(-(top @ net.out + net.out_bias[0])))
+
+
+@pytest.mark.parametrize("most", [1 << 19, 512])
+def test_scores_are_the_networks_by_a_slow_loop(most):
+    rng = random.Random(5)
+    net = quality.Network.start(3)
+    net.bias[:] = np.random.default_rng(1).standard_normal(quality.FILTERS) * 0.1
+    lengths = [0, 1, 7, 127, 128, 129, 255, 256, 257, 384, 385, 511, 512, 513, 600, 640, 641, 1500, 3000]
+    texts = [bytes(rng.randrange(1, 256) for _ in range(n)) for n in lengths]
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    got = quality.score_flat(net, np.frombuffer(b"".join(texts), np.uint8), offsets, most)
+    assert np.abs(got - [slow_score(net, t) for t in texts]).max() < 1e-5
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (5, 300, 700)]
+    labels, weights = np.array([1, 0, 1]), np.array([1.0, 2.0, 0.5])
+    net = quality.Network.start(4)
+    for name in net.__dataclass_fields__:
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    at = quality.Layout.of(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(list(map(len, texts))))))
+
+    def loss():
+        high = quality.pool(net, at, quality.convolve(net, at)[1])[1]
+        p = quality.probability(net, np.maximum.reduceat(high, at.first))
+        return float(-(weights * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() / len(labels))
+
+    for part, grad in zip(net.parts(), quality.gradients(net, at, labels, weights), strict=True):
+        place = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        before = part[place]
+        part[place] = before + 1e-5
+        up = loss()
+        part[place] = before - 1e-5
+        slope = (up - loss()) / 2e-5
+        part[place] = before
+        assert abs(slope - grad[place]) < 2e-2 * abs(slope) + 1e-5
+
+
+def test_long_texts_are_sampled_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PIECES", 5)
+    monkeypatch.setattr(quality, "PIECE", 10)
+    text = "".join(chr(97 + i % 26) for i in range(2000)) + "THE END..."
+    docs = spark.createDataFrame([(1, text), (5, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")
+    got = {r["__key"]: r["text"] for r in quality.sample_of(docs, labels).collect()}
+    if 1 in got:
+        assert len(got[1]) == 50 and got[1].startswith(text[:10]) and got[1].endswith("THE END...")
+    assert got.get(5, "short") == "short" and got
+
+
 def test_fit_without_labels(spark, edge):
     none = spark.createDataFrame([], "doc_id long, quality int")
     net = quality.fit(edge, none)
     assert (net.filters == quality.Network.start().filters).all()
+    alone = quality.train([b"good text"] * 3, np.array([1, 1, 1]), steps=60)
+    assert quality.score_flat(alone, np.frombuffer(b"good text", np.uint8), np.array([0, 9]))[0] > 0.5
     odd = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None), (4, 7), (5, 1)], "doc_id long, quality int")
     got = quality.sample_of(edge, odd).collect()
     assert {r["__key"] for r in got} <= {5}
