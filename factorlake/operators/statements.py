@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,45 +19,94 @@ UNIT_SCALES = {"CNY": 1, "CNY_1000": 1000, "CNY_10000": 10000}
 FLOWS = ["revenue", "operate_profit", "n_income", "n_income_attr_p", "n_cashflow_act", "capex"]
 POINTS = ["total_assets", "total_liab", "total_cur_assets", "total_cur_liab", "money_cap", "accounts_receiv", "goodwill", "st_borr", "lt_borr"]
 OUTFLOWS = {"capex"}
-COORDINATE = ["ts_code", "as_of", "field", "period_index", "scope", "basis"]
+FACT = ["ts_code", "field", "period_index", "scope", "basis"]
+
+
+class Legs:
+    """Columns of a state's legs, made of cells `<field>_<quarters back>` (value, reasons), and notes of what they need."""
+
+    def __init__(self, basis: str = "ytd"):
+        self.basis = basis
+        self.needs: list[tuple[str, int, Column]] = []
+        self.faults: list[Column] = []
+
+    def fact(self, field: str, back: int, needed: Column | None = None) -> Column:
+        self.needs.append((field, back, F.lit(True) if needed is None else needed))
+        return F.col(f"{field}_{back}")["value"]
+
+    def point(self, field: str, back: int = 0) -> Column:
+        return self.fact(field, back)
+
+    def average(self, field: str) -> Column:
+        """Mean of a balance now and a year before."""
+        return (self.fact(field, 0) + self.fact(field, 4)) / 2
+
+    def quarter(self, field: str, back: int = 0) -> Column:
+        """A single quarter: year-to-date values less those of the quarter before, but for the first; a negative
+        outflow is missing. Facts by quarter are taken as they are."""
+        own = self.fact(field, back)
+        if self.basis == "quarter":
+            return own
+        later = (F.col("period_index") - back) % 4 != 0
+        made = F.when(later, own - self.fact(field, back + 1, later)).otherwise(own)
+        if field not in OUTFLOWS:
+            return made
+        self.faults.append(F.when(made < 0, F.lit("NEGATIVE_DERIVED_OUTFLOW")))
+        return F.when(made >= 0, made)
+
+    def ttm(self, field: str, back: int = 0) -> Column:
+        """Four quarters in a row, all of them present."""
+        return sum((self.quarter(field, back + i) for i in range(1, 4)), self.quarter(field, back))
+
+    def over(self, top: Column, bottom: Column) -> Column:
+        self.faults.append(F.when(bottom <= 0, F.lit("DENOMINATOR_NONPOSITIVE")))
+        return F.when(bottom > 0, top.cast("double") / bottom.cast("double"))
+
+    def reasons(self) -> Column:
+        """Why the value is missing: what speaks against its facts, or that there is none."""
+        each = [F.when(needed, F.coalesce(F.col(f"{field}_{back}")["reasons"], F.array(F.lit("NO_AVAILABLE_FACT")))) for field, back, needed in self.needs]
+        return F.array_sort(F.array_distinct(F.concat(F.flatten(F.array_compact(F.array(*each))), F.array_compact(F.array(*self.faults or [F.lit(None).cast("string")])))))
 
 
 @dataclass(frozen=True)
-class StateRecipe:
-    """Legs are (kind, field, lag in quarters); the sum of top legs over the bottom one, less 1 for growth."""
+class State:
+    """A ratio of a company's statements at the newest known period of its anchor field."""
 
     anchor: str
-    top: tuple[tuple[str, str, int], ...]
-    bottom: tuple[str, str, int]
-    growth: bool = False
+    value: Callable[[Legs], Column]
 
 
-def _share(*fields: str) -> StateRecipe:
-    return StateRecipe("total_assets", tuple(("point", f, 0) for f in fields), ("point", "total_assets", 0))
+def share_of_assets(*fields: str) -> State:
+    return State("total_assets", lambda x: x.over(sum((x.point(f) for f in fields[1:]), x.point(fields[0])), x.point("total_assets")))
 
 
-def _margin(field: str) -> StateRecipe:
-    return StateRecipe("revenue", (("ttm", field, 0),), ("ttm", "revenue", 0))
+def margin(field: str) -> State:
+    return State("revenue", lambda x: x.over(x.ttm(field), x.ttm("revenue")))
 
 
+# Names, anchors and formulas of the states.
 STATES = {
-    "revenue_quarter_yoy": StateRecipe("revenue", (("quarter", "revenue", 0),), ("quarter", "revenue", 4), True),
-    "revenue_ttm_yoy": StateRecipe("revenue", (("ttm", "revenue", 0),), ("ttm", "revenue", 4), True),
-    "operating_margin": _margin("operate_profit"),
-    "parent_net_margin": _margin("n_income_attr_p"),
-    "cash_revenue_ratio": _margin("n_cashflow_act"),
-    "profit_cash_asset_gap": StateRecipe("n_income", (("ttm", "n_income", 0), ("-ttm", "n_cashflow_act", 0)), ("average", "total_assets", 0)),
-    "cash_assets_ratio": StateRecipe("n_cashflow_act", (("ttm", "n_cashflow_act", 0),), ("average", "total_assets", 0)),
-    "capex_revenue_ratio": _margin("capex"),
-    "cash_less_capex_assets": StateRecipe("n_cashflow_act", (("ttm", "n_cashflow_act", 0), ("-ttm", "capex", 0)), ("average", "total_assets", 0)),
-    "assets_yoy": StateRecipe("total_assets", (("point", "total_assets", 0),), ("point", "total_assets", 4), True),
-    "cash_asset_share": _share("money_cap"),
-    "current_coverage": StateRecipe("total_assets", (("point", "total_cur_assets", 0),), ("point", "total_cur_liab", 0)),
-    "liability_asset_share": _share("total_liab"),
-    "borrowings_asset_share": _share("st_borr", "lt_borr"),
-    "receivable_asset_share": _share("accounts_receiv"),
-    "goodwill_asset_share": _share("goodwill"),
+    "assets_yoy": State("total_assets", lambda x: x.over(x.point("total_assets"), x.point("total_assets", 4)) - 1),
+    "borrowings_asset_share": share_of_assets("st_borr", "lt_borr"),
+    "capex_revenue_ratio": margin("capex"),
+    "cash_asset_share": share_of_assets("money_cap"),
+    "cash_assets_ratio": State("n_cashflow_act", lambda x: x.over(x.ttm("n_cashflow_act"), x.average("total_assets"))),
+    "cash_less_capex_assets": State("n_cashflow_act", lambda x: x.over(x.ttm("n_cashflow_act") - x.ttm("capex"), x.average("total_assets"))),
+    "cash_revenue_ratio": margin("n_cashflow_act"),
+    "current_coverage": State("total_assets", lambda x: x.over(x.point("total_cur_assets"), x.point("total_cur_liab"))),
+    "goodwill_asset_share": share_of_assets("goodwill"),
+    "liability_asset_share": share_of_assets("total_liab"),
+    "operating_margin": margin("operate_profit"),
+    "parent_net_margin": margin("n_income_attr_p"),
+    "profit_cash_asset_gap": State("n_income", lambda x: x.over(x.ttm("n_income") - x.ttm("n_cashflow_act"), x.average("total_assets"))),
+    "receivable_asset_share": share_of_assets("accounts_receiv"),
+    "revenue_quarter_yoy": State("revenue", lambda x: x.over(x.quarter("revenue"), x.quarter("revenue", 4)) - 1),
+    "revenue_ttm_yoy": State("revenue", lambda x: x.over(x.ttm("revenue"), x.ttm("revenue", 4)) - 1),
 }
+#: Single legs of every field, as states.
+QUARTERS = {f: State(f, lambda x, f=f: x.quarter(f)) for f in FLOWS}
+TTMS = {f: State(f, lambda x, f=f: x.ttm(f)) for f in FLOWS}
+AVERAGES = {f: State(f, lambda x, f=f: x.average(f)) for f in POINTS}
 
 
 def period_index(date: str) -> Column:
@@ -101,93 +151,79 @@ def normalize_facts(rows: DataFrame, calendar: DataFrame, fields: list[str]) ->
     return long.withColumn("reasons", F.concat("reasons", blank)).withColumn("basis", F.when(F.col("field").isin(POINTS), "point").otherwise(F.col("basis")))
 
 
-def values_asof(facts: DataFrame, as_of: DataFrame) -> DataFrame:
-    """For each (ts_code, as_of) and coordinate: the value of the newest disclosure known by then.
-
-    Differing values in it, or any reason against one of its facts, make the value null with reasons.
-    """
-    known = facts.filter("available IS NOT NULL").join(as_of, "ts_code").filter(F.col("available") <= F.col("as_of"))
-    newest = known.withColumn("__r", F.rank().over(Window.partitionBy(*COORDINATE).orderBy(F.desc("disclosed")))).filter("__r = 1")
-    grouped = newest.groupBy(*COORDINATE).agg(
+def fact_versions(facts: DataFrame) -> DataFrame:
+    """One row for each value that a coordinate (FACT) has in turn: known from `available` until the day before `until`
+    (null: still). The newest disclosure counts; differing values in it, or any reason against one of its facts, make
+    the value null with reasons. No fact meets another one but its coordinate's next."""
+    each = facts.filter("available IS NOT NULL").groupBy(*FACT, "disclosed").agg(
+        F.min("available").alias("available"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"),
         (F.countDistinct("value") + F.max(F.col("value").isNull().cast("int"))).alias("n"),
         F.max("value").alias("value"),
     )
     reasons = F.when(F.col("n") > 1, F.array_union("reasons", F.array(F.lit("CONFLICTING_DISCLOSURES")))).otherwise(F.col("reasons"))
-    return grouped.withColumn("reasons", reasons).withColumn("value", F.when(F.size("reasons") == 0, F.col("value"))).drop("n")
-
-
-def latest_period(facts: DataFrame, as_of: DataFrame, field: str, scope: str = "consolidated", basis: str = "ytd") -> DataFrame:
-    own = facts.filter((F.col("field") == field) & (F.col("scope") == scope) & (F.col("basis") == basis) & F.col("available").isNotNull())
-    return own.join(as_of, "ts_code").filter(F.col("available") <= F.col("as_of")).groupBy("ts_code", "as_of").agg(F.max("period_index").alias("period_index"))
-
+    until = F.lead("available").over(Window.partitionBy(*FACT).orderBy("available", "disclosed"))
+    made = each.withColumn("reasons", reasons).withColumns({"value": F.when(F.size("reasons") == 0, F.col("value")), "until": until}).drop("n")
+    return made.filter("until IS NULL OR until > available")
 
-def _by_period() -> Window:
-    return Window.partitionBy("ts_code", "as_of", "field", "scope").orderBy("period_index")
 
+def known_then(as_of: str = "as_of") -> Column:
+    return (F.col("available") <= F.col(as_of)) & (F.col("until").isNull() | (F.col(as_of) < F.col("until")))
 
-def quarter_values(values: DataFrame) -> DataFrame:
-    """Single quarters from year-to-date values: the first quarter is its own, later ones need the quarter before;
-    a negative outflow is missing."""
-    flows = values.filter("basis = 'ytd'")
-    has_before = F.lag("period_index").over(_by_period()) == F.col("period_index") - 1
-    made = F.when(F.col("period_index") % 4 == 0, F.col("value")).when(has_before, F.col("value") - F.lag("value").over(_by_period()))
-    return flows.withColumn("quarter", made).withColumn("quarter", F.when(~(F.col("field").isin(*OUTFLOWS) & (F.col("quarter") < 0)), F.col("quarter"))).drop("value", "reasons", "basis")
 
+def values_asof(facts: DataFrame, as_of: DataFrame) -> DataFrame:
+    """For each (ts_code, as_of) and coordinate: the value known by then, and the reasons if there is none."""
+    return fact_versions(facts).join(as_of, "ts_code").filter(known_then()).select(*FACT, "as_of", "reasons", "value")
 
-def ttm_values(quarters: DataFrame) -> DataFrame:
-    """Sums of four quarters in a row, all of them present."""
-    four = _by_period().rangeBetween(-3, 0)
-    return quarters.withColumn("ttm", F.when(F.count("quarter").over(four) == 4, F.sum("quarter").over(four)))
 
+def latest_periods(facts: DataFrame, as_of: DataFrame, fields: list[str], scope: str = "consolidated", basis: str = "ytd") -> DataFrame:
+    """(ts_code, as_of, field, period_index): the newest period of which something is known by then; null for none.
+    A running maximum over what is disclosed and what is asked, by symbol and field."""
+    own = facts.filter((F.col("scope") == scope) & F.col("basis").isin(basis, "point") & F.col("field").isin(fields) & F.col("available").isNotNull())
+    news = own.select("ts_code", "field", F.col("available").alias("as_of"), "period_index", F.lit(False).alias("asked"))
+    asked = as_of.select("ts_code", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"), "as_of", F.lit(None).cast("int").alias("period_index"), F.lit(True).alias("asked")).distinct()
+    newest = F.max("period_index").over(Window.partitionBy("ts_code", "field").orderBy("as_of"))
+    return news.unionByName(asked).withColumn("period_index", newest).filter("asked").drop("asked")
 
-def average_points(values: DataFrame) -> DataFrame:
-    """Mean of a balance at a period's end and a year before."""
-    year = _by_period().rangeBetween(-4, -4)
-    points = values.filter("basis = 'point'")
-    return points.withColumn("average", (F.col("value") + F.max("value").over(year)) / 2)
 
+def latest_period(facts: DataFrame, as_of: DataFrame, field: str, scope: str = "consolidated", basis: str = "ytd") -> DataFrame:
+    return latest_periods(facts, as_of, [field], scope, basis).filter("period_index IS NOT NULL").select("ts_code", "as_of", "period_index")
 
-def legs_asof(facts: DataFrame, as_of: DataFrame, scope: str = "consolidated") -> DataFrame:
-    """All legs (kind, field) that states are made of, by symbol, date and period."""
-    values = values_asof(facts.filter(F.col("scope") == scope), as_of)
-    flows = ttm_values(quarter_values(values))
-    points = average_points(values)
-    keys = ["ts_code", "as_of", "period_index", "field"]
-    parts = [flows.select(*keys, F.lit("quarter").alias("kind"), F.col("quarter").cast("double").alias("x")), flows.select(*keys, F.lit("ttm").alias("kind"), F.col("ttm").cast("double").alias("x"))]
-    parts += [points.select(*keys, F.lit("point").alias("kind"), F.col("value").cast("double").alias("x")), points.select(*keys, F.lit("average").alias("kind"), F.col("average").cast("double").alias("x"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
+def state_ratios(facts: DataFrame, as_of: DataFrame, states: dict[str, State] | None = None, scope: str = "consolidated", basis: str = "ytd") -> DataFrame:
+    """(ts_code, as_of, state, period_index, value, reasons): each state at its anchor's newest period; the value is null,
+    with reasons, if a leg is missing or the denominator is not above 0. `basis` is that of the flows' facts.
 
-def state_ratios(facts: DataFrame, as_of: DataFrame, states: dict[str, StateRecipe] | None = None, scope: str = "consolidated") -> DataFrame:
-    """(ts_code, as_of, state, period_index, value): each state at its anchor's newest period, null if a leg is
-    missing or the bottom is not above 0."""
+    Facts meet dates by symbol and period, as far back as some leg looks, so the work doesn't grow with the length of
+    a symbol's history times its dates.
+    """
     states = states or STATES
-    needed = {f for s in states.values() for _, f, _ in [*s.top, s.bottom]} | {s.anchor for s in states.values()}
-    facts = facts.filter(F.col("field").isin(*sorted(needed)))
-    legs = legs_asof(facts, as_of, scope)
-    wanted = sorted({(k.lstrip("-"), f, lag) for s in states.values() for k, f, lag in [*s.top, s.bottom]})
-    wide = None
-    for lag in sorted({lag for _, _, lag in wanted}):
-        own = [(k, f) for k, f, at in wanted if at == lag]
-        part = legs.withColumn("period_index", F.col("period_index") + lag).groupBy("ts_code", "as_of", "period_index").agg(
-            *[F.max(F.when((F.col("kind") == k) & (F.col("field") == f), F.col("x"))).alias(f"{k}_{f}_{lag}") for k, f in own]
-        )
-        wide = part if wide is None else wide.join(part, ["ts_code", "as_of", "period_index"], "left")
-    out = None
-    for basis, anchors in (("ytd", FLOWS), ("point", POINTS)):
-        for anchor in sorted({s.anchor for s in states.values() if s.anchor in anchors}):
-            at = as_of.join(latest_period(facts, as_of, anchor, scope, basis), ["ts_code", "as_of"], "left")
-            rows = at.join(wide, ["ts_code", "as_of", "period_index"], "left")
-            made = []
-            for name, s in states.items():
-                if s.anchor == anchor:
-                    top = sum((-F.col(f"{k[1:]}_{f}_{lag}") if k[0] == "-" else F.col(f"{k}_{f}_{lag}") for k, f, lag in s.top[1:]), F.col(f"{s.top[0][0]}_{s.top[0][1]}_{s.top[0][2]}"))
-                    bottom = F.col("_".join(map(str, s.bottom)))
-                    made.append(F.struct(F.lit(name).alias("state"), (F.when(bottom > 0, top / bottom) - (1 if s.growth else 0)).alias("value")))
-            part = rows.select("ts_code", "as_of", "period_index", F.explode(F.array(*made)).alias("s")).select("ts_code", "as_of", "period_index", "s.*")
-            out = part if out is None else out.unionByName(part)
-    return out
+    built = {name: (s, Legs(basis)) for name, s in states.items()}
+    values = {name: s.value(legs) for name, (s, legs) in built.items()}
+    needed = sorted({(f, back) for _, legs in built.values() for f, back, _ in legs.needs})
+    anchors = sorted({s.anchor for s in states.values()})
+    used = facts.filter((F.col("scope") == scope) & F.col("basis").isin(basis, "point") & F.col("field").isin(sorted({f for f, _ in needed} | set(anchors))))
+    at = latest_periods(used, as_of, anchors, scope, basis).withColumnRenamed("field", "anchor")
+    wanted = at.filter("period_index IS NOT NULL").select("ts_code", "as_of", "period_index").distinct()
+    backs = F.explode(F.array(*[F.lit(b) for b in sorted({b for _, b in needed})]))
+    wanted = wanted.withColumn("back", backs).withColumn("at", F.col("period_index") - F.col("back"))
+    met = wanted.join(fact_versions(used).withColumnRenamed("period_index", "at"), ["ts_code", "at"]).filter(known_then())
+    cell = F.struct("value", "reasons")
+    wide = met.groupBy("ts_code", "as_of", "period_index").agg(*[F.max(F.when((F.col("field") == f) & (F.col("back") == b), cell)).alias(f"{f}_{b}") for f, b in needed])
+    rows = at.join(wide, ["ts_code", "as_of", "period_index"], "left")
+
+    def made(name: str) -> Column:
+        none = F.col("period_index").isNull()
+        value = values[name].cast("double")
+        why = F.when(none, F.array(F.lit("NO_AVAILABLE_ANCHOR_PERIOD"))).when(value.isNull(), built[name][1].reasons()).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.lit(name).alias("state"), value.alias("value"), why.alias("reasons"))
+
+    by_anchor = F.array(made(next(iter(states)))) if len(states) == 1 else None
+    if by_anchor is None:
+        for anchor in anchors:
+            own = F.array(*[made(n) for n, s in states.items() if s.anchor == anchor])
+            by_anchor = F.when(F.col("anchor") == anchor, own) if by_anchor is None else by_anchor.when(F.col("anchor") == anchor, own)
+    return rows.select("ts_code", "as_of", "period_index", F.explode(by_anchor).alias("s")).select("ts_code", "as_of", "s.state", "period_index", "s.value", "s.reasons")
 
 
 def transitions(facts: DataFrame) -> DataFrame:
@@ -212,3 +248,8 @@ def expand_intervals(intervals: DataFrame, calendar: DataFrame) -> DataFrame:
 
 def state_coverage(ratios: DataFrame) -> DataFrame:
     return ratios.groupBy("state").agg(F.count("value").alias("ok_rows"), F.count(F.when(F.col("value").isNull(), 1)).alias("missing_rows"))
+
+
+def state_reason_counts(ratios: DataFrame) -> DataFrame:
+    """(state, reason, n): how often each reason stands against a state."""
+    return ratios.select("state", F.explode("reasons").alias("reason")).groupBy("state", "reason").agg(F.count("*").alias("n"))

@@ -157,90 +157,111 @@ register(
 )
 
 
-def _dates(s: SparkSession, d: str) -> DataFrame:
-    """A date of study every thirteen sessions."""
-    return adapter.symbols(s, d).crossJoin(F.broadcast(sessions(s, d).filter("session_index % 13 = 7").select(F.col("trade_date").alias("as_of"))))
+def _asked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Facts, and each symbol's dates of study: all sessions on which something new is known of it."""
+    facts = facts_of(s, d)
+    return facts, statements.transitions(facts)
 
 
-_VALUES = """dates AS (SELECT ts_code, trade_date AS as_of FROM symbols CROSS JOIN calendar WHERE session_index % 13 = 7),
-newest AS (SELECT f.*, as_of FROM facts f JOIN dates USING (ts_code) WHERE available <= as_of AND scope = 'consolidated' QUALIFY rank() OVER (PARTITION BY ts_code, as_of, field, period_index, scope, basis ORDER BY disclosed DESC) = 1),
-vals AS (SELECT ts_code, as_of, field, period_index, scope, basis, CASE WHEN count(DISTINCT value) = 1 THEN max(value) END AS value, CASE WHEN count(DISTINCT value) > 1 THEN 'CONFLICTING_DISCLOSURES' ELSE '' END AS reasons FROM newest GROUP BY ALL)"""
+_VALUES = """dates AS (SELECT DISTINCT ts_code, available AS as_of FROM facts WHERE available IS NOT NULL),
+newest AS (SELECT f.*, as_of FROM facts f JOIN dates USING (ts_code) WHERE available <= as_of AND scope = 'consolidated' QUALIFY rank() OVER (PARTITION BY ts_code, as_of, field, period_index, basis ORDER BY disclosed DESC) = 1),
+vals AS (SELECT ts_code, as_of, field, period_index, basis, CASE WHEN count(DISTINCT value) = 1 THEN max(value) END AS value FROM newest GROUP BY ALL),
+latest AS (SELECT ts_code, as_of, field, max(period_index) AS period_index FROM vals GROUP BY ALL)"""
 _QUARTERS = """quarters AS (SELECT c.ts_code, c.as_of, c.field, c.period_index, CASE WHEN c.field = 'capex' AND x < 0 THEN NULL ELSE x END AS quarter FROM (
   SELECT v.*, CASE WHEN v.period_index % 4 = 0 THEN v.value ELSE v.value - b.value END AS x FROM vals v LEFT JOIN vals b ON b.ts_code = v.ts_code AND b.as_of = v.as_of AND b.field = v.field AND b.period_index = v.period_index - 1 AND b.basis = 'ytd' WHERE v.basis = 'ytd') c),
-ttms AS (SELECT a.ts_code, a.as_of, a.field, a.period_index, CASE WHEN count(b.quarter) = 4 THEN sum(b.quarter) END AS ttm FROM quarters a JOIN quarters b ON a.ts_code = b.ts_code AND a.as_of = b.as_of AND a.field = b.field AND b.period_index BETWEEN a.period_index - 3 AND a.period_index GROUP BY ALL),
-averages AS (SELECT a.ts_code, a.as_of, a.field, a.period_index, (a.value + b.value) / 2.0 AS average FROM vals a LEFT JOIN vals b ON a.ts_code = b.ts_code AND a.as_of = b.as_of AND a.field = b.field AND b.period_index = a.period_index - 4 AND b.basis = 'point' WHERE a.basis = 'point')"""
-
-
-def _consolidated(s: SparkSession, d: str) -> DataFrame:
-    return facts_of(s, d).filter("scope = 'consolidated'")
-
-
+ttms AS (SELECT *, CASE WHEN count(quarter) OVER w = 4 THEN sum(quarter) OVER w END AS ttm FROM quarters WINDOW w AS (PARTITION BY ts_code, as_of, field ORDER BY period_index RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)),
+averages AS (SELECT a.ts_code, a.as_of, a.field, a.period_index, a.value AS point, b.value AS year_before, (a.value + b.value) / 2.0 AS average FROM vals a LEFT JOIN vals b ON a.ts_code = b.ts_code AND a.as_of = b.as_of AND a.field = b.field AND b.period_index = a.period_index - 4 AND b.basis = 'point' WHERE a.basis = 'point')"""
 register(
     "statement_value_asof",
-    lambda s, d: statements.values_asof(_consolidated(s, d).filter("field IN ('revenue', 'total_assets')"), _dates(s, d)).select("ts_code", "as_of", "field", "period_index", "scope", "basis", F.col("value").cast("double").alias("value"), F.array_join("reasons", ",").alias("reasons")),
-    f"WITH {P}, {_ROWS}, {_VALUES} SELECT ts_code, as_of, field, period_index, scope, basis, value::DOUBLE AS value, reasons FROM vals WHERE field IN ('revenue', 'total_assets')",
-)
-register("latest_period", lambda s, d: statements.latest_period(facts_of(s, d), _dates(s, d), "revenue"), f"WITH {P}, {_ROWS}, {_VALUES} SELECT ts_code, as_of, max(period_index) AS period_index FROM facts JOIN dates USING (ts_code) WHERE field = 'revenue' AND scope = 'consolidated' AND basis = 'ytd' AND available <= as_of GROUP BY ALL")
-_COLS = ["ts_code", "as_of", "field", "period_index"]
-register(
-    "quarter_value",
-    lambda s, d: statements.quarter_values(statements.values_asof(_consolidated(s, d).filter("field IN ('revenue', 'capex')"), _dates(s, d))).select(*_COLS, F.col("quarter").cast("double").alias("quarter")),
-    f"WITH {P}, {_ROWS}, {_VALUES}, {_QUARTERS} SELECT ts_code, as_of, field, period_index, quarter::DOUBLE AS quarter FROM quarters WHERE field IN ('revenue', 'capex')",
-)
-register(
-    "ttm",
-    lambda s, d: statements.ttm_values(statements.quarter_values(statements.values_asof(_consolidated(s, d).filter("field IN ('revenue', 'capex')"), _dates(s, d)))).select(*_COLS, F.col("ttm").cast("double").alias("ttm")),
-    f"WITH {P}, {_ROWS}, {_VALUES}, {_QUARTERS} SELECT ts_code, as_of, field, period_index, ttm::DOUBLE AS ttm FROM ttms WHERE field IN ('revenue', 'capex')",
-)
-register(
-    "average_assets",
-    lambda s, d: statements.average_points(statements.values_asof(_consolidated(s, d).filter("field = 'total_assets'"), _dates(s, d))).select(*_COLS, rounded(F.col("average").cast("double"), 3).alias("average")),
-    f"WITH {P}, {_ROWS}, {_VALUES}, {_QUARTERS} SELECT ts_code, as_of, field, period_index, {rounded_sql('average::DOUBLE', 3)} AS average FROM averages WHERE field = 'total_assets'",
+    lambda s, d: statements.fact_versions(facts_of(s, d).filter("scope = 'consolidated'")).select(
+        "ts_code", "field", "period_index", "scope", "basis", F.col("available").alias("from_date"), F.date_sub("until", 1).alias("through_date"), F.col("value").cast("double").alias("value"), F.array_join("reasons", ",").alias("reasons")
+    ),
+    f"""WITH {P}, {_ROWS}, days AS (SELECT ts_code, field, period_index, scope, basis, disclosed, min(available) AS available, CASE WHEN count(DISTINCT value) = 1 THEN max(value) END AS value, CASE WHEN count(DISTINCT value) > 1 THEN 'CONFLICTING_DISCLOSURES' ELSE '' END AS reasons
+      FROM facts WHERE scope = 'consolidated' AND available IS NOT NULL GROUP BY ALL),
+    shown AS (SELECT * FROM days QUALIFY row_number() OVER (PARTITION BY ts_code, field, period_index, scope, basis, available ORDER BY disclosed DESC) = 1)
+    SELECT ts_code, field, period_index, scope, basis, available AS from_date, lead(available) OVER (PARTITION BY ts_code, field, period_index, scope, basis ORDER BY available) - 1 AS through_date, value::DOUBLE AS value, reasons FROM shown""",
 )
+register("latest_period", lambda s, d: statements.latest_period(*_asked(s, d), "revenue"), f"WITH {P}, {_ROWS}, {_VALUES} SELECT ts_code, as_of, period_index FROM latest WHERE field = 'revenue'")
+
+
+def _legs(states: dict[str, statements.State], column: str, digits: int = 4):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        made = statements.state_ratios(*_asked(s, d), states)
+        return made.filter("period_index IS NOT NULL").select("ts_code", "as_of", F.col("state").alias("field"), "period_index", rounded("value", digits).alias(column))
+
+    return query
+
+
+def _legs_sql(source: str, column: str, kind: str, digits: int = 4) -> str:
+    x = f"x.{column}::DOUBLE"
+    return f"WITH {P}, {_ROWS}, {_VALUES}, {_QUARTERS} SELECT l.ts_code, l.as_of, l.field, l.period_index, {rounded_sql(x, digits)} AS {column} FROM latest l LEFT JOIN {source} x ON x.ts_code = l.ts_code AND x.as_of = l.as_of AND x.field = l.field AND x.period_index = l.period_index WHERE l.field IN ({', '.join(repr(f) for f in kind)})"
+
+
+register("quarter_value", _legs(statements.QUARTERS, "quarter"), _legs_sql("quarters", "quarter", statements.FLOWS))
+register("ttm", _legs(statements.TTMS, "ttm"), _legs_sql("ttms", "ttm", statements.FLOWS))
+register("average_assets", _legs(statements.AVERAGES, "average", 3), _legs_sql("averages", "average", statements.POINTS, 3))
+
+_FLOW_CELLS = ", ".join(f"max(ttm) FILTER (field = '{f}')::DOUBLE AS t_{f}" for f in statements.FLOWS)
+_POINT_CELLS = ", ".join(f"max(point) FILTER (field = '{f}')::DOUBLE AS p_{f}" for f in statements.POINTS)
+_WIDE = f"""flows AS (SELECT ts_code, as_of, period_index, max(quarter) FILTER (field = 'revenue')::DOUBLE AS q_revenue, {_FLOW_CELLS} FROM ttms GROUP BY ALL),
+points AS (SELECT ts_code, as_of, period_index, max(average) FILTER (field = 'total_assets')::DOUBLE AS a_total_assets, max(year_before) FILTER (field = 'total_assets')::DOUBLE AS y_total_assets, {_POINT_CELLS} FROM averages GROUP BY ALL),
+wide AS (SELECT * FROM flows FULL JOIN points USING (ts_code, as_of, period_index)),
+years AS (SELECT w.*, b.q_revenue AS y_q_revenue, b.t_revenue AS y_t_revenue FROM wide w LEFT JOIN wide b ON b.ts_code = w.ts_code AND b.as_of = w.as_of AND b.period_index = w.period_index - 4)"""
+# Anchor, numerator, denominator and what is taken off, as the definitions say.
+_STATE_SQL = {
+    "revenue_quarter_yoy": ("revenue", "q_revenue", "y_q_revenue", 1),
+    "revenue_ttm_yoy": ("revenue", "t_revenue", "y_t_revenue", 1),
+    "operating_margin": ("revenue", "t_operate_profit", "t_revenue", 0),
+    "parent_net_margin": ("revenue", "t_n_income_attr_p", "t_revenue", 0),
+    "cash_revenue_ratio": ("revenue", "t_n_cashflow_act", "t_revenue", 0),
+    "profit_cash_asset_gap": ("n_income", "t_n_income - t_n_cashflow_act", "a_total_assets", 0),
+    "cash_assets_ratio": ("n_cashflow_act", "t_n_cashflow_act", "a_total_assets", 0),
+    "capex_revenue_ratio": ("revenue", "t_capex", "t_revenue", 0),
+    "cash_less_capex_assets": ("n_cashflow_act", "t_n_cashflow_act - t_capex", "a_total_assets", 0),
+    "assets_yoy": ("total_assets", "p_total_assets", "y_total_assets", 1),
+    "cash_asset_share": ("total_assets", "p_money_cap", "p_total_assets", 0),
+    "current_coverage": ("total_assets", "p_total_cur_assets", "p_total_cur_liab", 0),
+    "liability_asset_share": ("total_assets", "p_total_liab", "p_total_assets", 0),
+    "borrowings_asset_share": ("total_assets", "p_st_borr + p_lt_borr", "p_total_assets", 0),
+    "receivable_asset_share": ("total_assets", "p_accounts_receiv", "p_total_assets", 0),
+    "goodwill_asset_share": ("total_assets", "p_goodwill", "p_total_assets", 0),
+}
 
 
-def _leg_sql(leg: tuple[str, str, int], at: str = "p.period_index") -> str:
-    kind, name, lag = leg
-    source, column = {"quarter": ("quarters", "quarter"), "ttm": ("ttms", "ttm"), "point": ("vals", "value"), "average": ("averages", "average")}[kind.lstrip("-")]
-    return f"(SELECT x.{column}::DOUBLE FROM {source} x WHERE x.ts_code = p.ts_code AND x.as_of = p.as_of AND x.field = '{name}' AND x.period_index = {at} - {lag})"
+def _state_sql(name: str) -> str:
+    anchor, top, bottom, less = _STATE_SQL[name]
+    return f"SELECT d.ts_code, d.as_of, '{name}' AS state, l.period_index, CASE WHEN {bottom} > 0 THEN ({top}) / ({bottom}) END - {less} AS value FROM dates d LEFT JOIN (SELECT * FROM latest WHERE field = '{anchor}') l USING (ts_code, as_of) LEFT JOIN years y ON y.ts_code = l.ts_code AND y.as_of = l.as_of AND y.period_index = l.period_index"
 
 
-def _state_sql(name: str) -> str:
-    r = statements.STATES[name]
-    top = " ".join(("- " if k[0] == "-" else "+ ") + _leg_sql((k, f, lag)) for k, f, lag in r.top).lstrip("+ ")
-    basis = "ytd" if r.anchor in statements.FLOWS else "point"
-    return f"""SELECT ts_code, as_of, '{name}' AS state, period_index, CASE WHEN bottom > 0 THEN top / bottom END - {1 if r.growth else 0} AS value FROM (SELECT p.*, {top} AS top, {_leg_sql(r.bottom)} AS bottom FROM (
-      SELECT ts_code, as_of, (SELECT max(period_index) FROM facts f WHERE f.ts_code = dates.ts_code AND f.field = '{r.anchor}' AND f.scope = 'consolidated' AND f.basis = '{basis}' AND f.available <= dates.as_of) AS period_index FROM dates) p)"""
+_STATES = f"WITH {P}, {_ROWS}, {_VALUES}, {_QUARTERS}, {_WIDE}"
+_ALL_SQL = " UNION ALL ".join(_state_sql(n) for n in statements.STATES)
 
 
 def _ratios(s: SparkSession, d: str) -> DataFrame:
-    return statements.state_ratios(facts_of(s, d), _dates(s, d))
+    return statements.state_ratios(*_asked(s, d))
 
 
 for _name in statements.STATES:
     register(
         f"state_{_name}",
-        lambda s, d, n=_name: statements.state_ratios(facts_of(s, d), _dates(s, d), {n: statements.STATES[n]}).select("ts_code", "as_of", "state", "period_index", rounded("value").alias("value")),
-        f"WITH {P}, {_ROWS}, {_VALUES}, {_QUARTERS}, made AS ({_state_sql(_name)}) SELECT ts_code, as_of, state, period_index, {rounded_sql('value')} AS value FROM made",
+        lambda s, d, n=_name: statements.state_ratios(*_asked(s, d), {n: statements.STATES[n]}).select("ts_code", "as_of", "state", "period_index", rounded("value").alias("value")),
+        f"{_STATES}, made AS ({_state_sql(_name)}) SELECT ts_code, as_of, state, period_index, {rounded_sql('value')} AS value FROM made",
     )
-_TWO = {n: statements.STATES[n] for n in ("cash_asset_share", "operating_margin")}
-_TWO_SQL = " UNION ALL ".join(_state_sql(n) for n in _TWO)
-_CHANGES = _VALUES.replace("SELECT ts_code, trade_date AS as_of FROM symbols CROSS JOIN calendar WHERE session_index % 13 = 7", "SELECT DISTINCT ts_code, available AS as_of FROM facts WHERE available IS NOT NULL")
 
 
 def _intervals(s: SparkSession, d: str) -> DataFrame:
-    facts = facts_of(s, d)
-    return statements.state_intervals(statements.state_ratios(facts, statements.transitions(facts), _TWO), "2002-12-31")
+    return statements.state_intervals(_ratios(s, d), "2002-12-31")
 
 
-_INTERVALS = f"WITH {P}, {_ROWS}, {_CHANGES}, {_QUARTERS}, made AS ({_TWO_SQL}), intervals AS (SELECT ts_code, state, value, as_of AS from_date, coalesce(lead(as_of) OVER (PARTITION BY ts_code, state ORDER BY as_of) - 1, DATE '2002-12-31') AS through_date FROM made)"
+_INTERVALS = f"{_STATES}, made AS ({_ALL_SQL}), intervals AS (SELECT ts_code, state, value, as_of AS from_date, coalesce(lead(as_of) OVER (PARTITION BY ts_code, state ORDER BY as_of) - 1, DATE '2002-12-31') AS through_date FROM made)"
 register("state_intervals", lambda s, d: _intervals(s, d).withColumn("value", rounded("value")), f"{_INTERVALS} SELECT ts_code, state, from_date, through_date, {rounded_sql('value')} AS value FROM intervals")
 register(
     "expand_intervals_daily",
     lambda s, d: statements.expand_intervals(_intervals(s, d), sessions(s, d)).withColumn("value", rounded("value")),
     f"{_INTERVALS} SELECT ts_code, trade_date, state, {rounded_sql('value')} AS value, from_date AS available_date FROM intervals JOIN calendar ON trade_date BETWEEN from_date AND through_date",
 )
-register("state_coverage", lambda s, d: statements.state_coverage(_ratios(s, d)), f"WITH {P}, {_ROWS}, {_VALUES}, {_QUARTERS}, made AS ({' UNION ALL '.join(_state_sql(n) for n in statements.STATES)}) SELECT state, count(value) AS ok_rows, count(*) - count(value) AS missing_rows FROM made GROUP BY 1")
+register("state_coverage", lambda s, d: statements.state_coverage(_ratios(s, d)), f"{_STATES}, made AS ({_ALL_SQL}) SELECT state, count(value) AS ok_rows, count(*) - count(value) AS missing_rows FROM made GROUP BY 1")
+register("state_reason_counts", lambda s, d: statements.state_reason_counts(_ratios(s, d)))
 
 _PAIRS = [["industry"], ["exchange"], ["list_status"], ["industry", "exchange"], ["industry", "list_status"], ["exchange", "list_status"]]
 register(

@@ -7,11 +7,8 @@ import duckdb
 import pytest
 
 from factorlake import plans
-from factorlake.operators.statements import STATES
 
-#: Queries that are slow on one machine are compared by their fast relatives.
-SLOW = {"state_coverage", "expand_intervals_daily", *(f"state_{n}" for n in STATES if n not in ("assets_yoy", "profit_cash_asset_gap"))}
-NAMES = sorted(set(plans.oracles()) - SLOW)
+NAMES = sorted(plans.oracles())
 
 
 def plain(v):
