@@ -61,7 +61,7 @@ def test_windows_are_checked():
             f.ts_mean(f.field("close"), n)
     with pytest.raises(ValueError):
         f.clip(f.field("close"), 1, 1)
-    assert len(recipes.all_recipes()) == len(recipes.PRICE_RECIPES) * 8 + 3
+    assert len(recipes.all_recipes()) == len(recipes.PRICE_RECIPES) * 8 + 5 and len(recipes.daily_recipes()) == 12 * 5 + 18
     assert f.rank(f.field("a") + f.field("b")).fields == {"a", "b"}
 
 
