@@ -3,6 +3,8 @@ the complete grid: a missing session gives a null, never a bridge."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def asset_price_labels(grid: DataFrame, h: int) -> DataFrame:
 def legs(grid: DataFrame, targets: DataFrame) -> DataFrame:
     """Each target's legs on each session, with the number of legs that it has."""
     sized = targets.withColumn("n_legs", F.count("*").over(Window.partitionBy("target_id")))
-    return grid.join(F.broadcast(sized), "ts_code")
+    return grid.join(sized, "ts_code")
 
 
 def basket_state(grid: DataFrame, targets: DataFrame, past: int = 61) -> DataFrame:
@@ -104,22 +106,27 @@ def asset_return_response(grid: DataFrame, h: int, mode: str = "forecast") -> Da
     return grid.withColumn("response", made)
 
 
-def response_scale(grid: DataFrame, window: int, h: int) -> DataFrame:
-    """Sample deviation of `window` one-session returns times the root of h; null if not above 1e-8 times it."""
-    r = F.col("close") / F.lag("close", 1).over(by("ts_code")) - 1
+def response_scale(grid: DataFrame, window: int, h: int, mode: str = "forecast") -> DataFrame:
+    """Sample deviation of `window` one-session returns times the root of h, as of the start of the response's interval:
+    the origin for a forecast, h sessions before it for an association. Null if not above 1e-8 times the root."""
+    w = by("ts_code")
+    r = F.col("close") / F.lag("close", 1).over(w) - 1
     made = grid.withColumn("__r", r)
     scale = _full(F.col("__r"), F.stddev_samp, "ts_code", -(window - 1), 0, window) * F.sqrt(F.lit(float(h)))
-    return made.withColumn("scale", F.when(scale > 1e-8 * float(h) ** 0.5, scale)).drop("__r")
+    made = made.withColumn("scale", F.when(scale > 1e-8 * float(h) ** 0.5, scale)).drop("__r")
+    return made if mode == "forecast" else made.withColumn("scale", F.lag("scale", h).over(w))
 
 
-def invalid_reason(df: DataFrame, warm_up: int, features: list[str]) -> DataFrame:
-    """The first reason against a sample."""
+def invalid_reason(df: DataFrame, warm_up: int, features: list[str], reports: list[str] | None = None) -> DataFrame:
+    """The first reason against a sample. `reports` are the features made of statements, where the model needs one."""
+    lacking = lambda names: reduce(Column.__and__, [F.col(c).isNull() for c in names])
     reason = F.coalesce(
         F.when(F.col("session_index") < warm_up, F.lit("warm_up")),
         F.when(F.col("close").isNull(), F.lit("no_origin_price")),
         F.when(F.col("scale").isNull(), F.lit("no_normalizer")),
-        F.when(F.coalesce(*[F.col(c) for c in features]).isNull(), F.lit("no_factor")),
+        F.when(lacking(features), F.lit("no_factor")),
         F.when(~F.coalesce(F.col("event"), F.lit(False)), F.lit("no_event")),
+        F.when(lacking(reports), F.lit("no_report")) if reports else F.lit(None).cast("string"),
     )
     return df.withColumn("reason", reason)
 

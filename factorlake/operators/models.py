@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,10 @@ from .preprocess import drop_correlated
 from .validation import all_present, expanding_folds, in_folds, one_se_rule
 
 
+#: What a fit itself may fail with.
+FIT_ERRORS = (ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException)
+
+
 @dataclass(frozen=True)
 class ModelSpec:
     kind: str
@@ -28,16 +33,16 @@ class ModelSpec:
 
 
 def factor_score(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean of the day's percentile ranks of the factors that a row has."""
-    made = df
-    for c in columns:
-        own = made.filter(F.col(c).isNotNull())
-        ranked = own.select("trade_date", "ts_code", (average_rank(c, ["trade_date"])).alias("__r"), c)
-        share = ranked.groupBy("trade_date").agg(F.count("*").alias("__n"))
-        made = made.join(ranked.join(F.broadcast(share), "trade_date").select("trade_date", "ts_code", (F.col("__r") / F.col("__n")).alias(f"__p_{c}")), ["trade_date", "ts_code"], "left")
-    total = sum((F.coalesce(f"__p_{c}", F.lit(0.0)) for c in columns), F.lit(0.0))
-    count = sum((F.col(f"__p_{c}").isNotNull().cast("int") for c in columns), F.lit(0))
-    return made.withColumn("score", F.when(count > 0, total / count)).drop(*[f"__p_{c}" for c in columns])
+    """Mean of the day's percentile ranks (ties share theirs) of the factors that a row has. All ranks are windows within
+    a day: rows are dealt by day once."""
+    day = Window.partitionBy("trade_date")
+    made = df.withColumns({f"__n_{c}": F.count(c).over(day) for c in columns})
+    own = lambda c: Window.partitionBy("trade_date", F.col(c).isNotNull()).orderBy(c)
+    made = made.withColumns({f"__r_{c}": F.rank().over(own(c)) for c in columns} | {f"__t_{c}": F.count(c).over(Window.partitionBy("trade_date", c)) for c in columns})
+    share = {c: F.when(F.col(c).isNotNull(), (F.col(f"__r_{c}") + (F.col(f"__t_{c}") - 1) / 2) / F.col(f"__n_{c}")) for c in columns}
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in share.values()), F.lit(0.0))
+    count = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+    return made.withColumn("score", F.when(count > 0, total / count)).drop(*[f"__{k}_{c}" for c in columns for k in "nrt"])
 
 
 def no_change(df: DataFrame) -> DataFrame:
@@ -199,15 +204,30 @@ def restore_levels(df: DataFrame) -> DataFrame:
     return df.withColumns({"level": F.col("state") + F.col("scale") * F.col("prediction"), "expected_return": F.col("prediction") * F.col("scale") / F.col("state"), "expected_price": F.col("state") * (1 + F.col("prediction") * F.col("scale") / F.col("state"))})
 
 
-def state_effect(df: DataFrame, fits: DataFrame, columns: list[str], state: str, keys: list[str]) -> DataFrame:
-    """Mean change of predictions when one column goes from its lower to its upper quartile."""
-    ends = df.agg(F.percentile(state, F.lit(0.25)).alias("__lo"), F.percentile(state, F.lit(0.75)).alias("__hi"))
-    both = df.crossJoin(F.broadcast(ends))
-    low = score_linear(both.withColumn(state, F.col("__lo")), fits, columns, keys).select("trade_date", "ts_code", F.col("prediction").alias("a"))
-    high = score_linear(both.withColumn(state, F.col("__hi")), fits, columns, keys).select("trade_date", "ts_code", F.col("prediction").alias("b"))
+def state_effect(train: DataFrame, fits: DataFrame, columns: list[str], state: str, keys: list[str], rows: int = 128) -> DataFrame:
+    """Mean change of predictions when one column goes from its lower to its upper quartile of the train rows, over at most
+    `rows` train rows, evenly placed by date and symbol."""
+    ends = train.agg(F.percentile(state, F.lit(0.25)).alias("__lo"), F.percentile(state, F.lit(0.75)).alias("__hi"))
+    some = evenly_placed(train, rows, ["trade_date", "ts_code"]).crossJoin(F.broadcast(ends))
+    low = score_linear(some.withColumn(state, F.col("__lo")), fits, columns, keys).select("trade_date", "ts_code", F.col("prediction").alias("a"))
+    high = score_linear(some.withColumn(state, F.col("__hi")), fits, columns, keys).select("trade_date", "ts_code", F.col("prediction").alias("b"))
     return low.join(high, ["trade_date", "ts_code"]).agg(F.avg(F.col("b") - F.col("a")).alias("effect"), F.count(F.col("b") - F.col("a")).alias("n"))
 
 
+def evenly_placed(df: DataFrame, rows: int, order: list[str]) -> DataFrame:
+    """The rows at places floor(i * (n - 1) / (m - 1)) in the order of (date, ...) , both ends included, m = min(rows, n). Places
+    are counted by date first, so no task sees more than a date's rows."""
+    days = df.groupBy(order[0]).agg(F.count("*").alias("__rows"))
+    before = days.withColumn("__before", F.sum("__rows").over(Window.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)))
+    total = days.agg(F.sum("__rows").alias("__total"))
+    place = F.coalesce("__before", F.lit(0)) + F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:])) - 1
+    placed = df.join(F.broadcast(before), order[0]).crossJoin(F.broadcast(total)).withColumn("__place", place)
+    steps = F.greatest(F.least(F.col("__total"), F.lit(rows)) - 1, F.lit(1))
+    nearest = F.ceil(F.col("__place") * steps / F.greatest(F.col("__total") - 1, F.lit(1)))
+    kept = placed.filter((nearest <= steps) & (F.floor(nearest * (F.col("__total") - 1) / steps) == F.col("__place")))
+    return kept.drop("__rows", "__before", "__total", "__place")
+
+
 def cross_validate(samples: DataFrame, columns: list[str], label: str, specs: list[ModelSpec], folds: DataFrame) -> DataFrame:
     """(id, fold, score, status): each candidate's mean over dates of the day's squared error in each fold. A candidate
     that can't be fit is kept with its failure."""
@@ -222,7 +242,7 @@ def cross_validate(samples: DataFrame, columns: list[str], label: str, specs: li
                 daily = made.filter(all_present(["prediction", label])).groupBy("trade_date").agg(F.avg((F.col("prediction") - F.col(label)) ** 2).alias("e"))
                 score = daily.agg(F.avg("e")).first()[0]
                 rows.append((spec.name, k, score, "valid" if score is not None else "no_rows"))
-            except Exception as e:  # a candidate's own failure is a result
+            except FIT_ERRORS as e:  # a candidate's own failure is a result; a lost executor or a full disk is not
                 rows.append((spec.name, k, None, type(e).__name__))
     roles.unpersist()
     return spark.createDataFrame(rows, "id string, fold int, score double, status string")

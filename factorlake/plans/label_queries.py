@@ -88,10 +88,18 @@ for _mode, _x in (("forecast", f"lead(close, 3) OVER {W} / close - 1"), ("associ
     )
 _SCALE_SQL = f"r AS (SELECT *, close / lag(close) OVER {W} - 1 AS r FROM grid), w AS (SELECT *, count(r) OVER q AS n, stddev_samp(r) OVER q AS sd FROM r WINDOW q AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), scaled AS (SELECT *, CASE WHEN n = 5 AND sd > 1e-8 THEN sd * sqrt(3.0) END AS scale FROM w)"
 register("response_scale", lambda s, d: select_round(labels.response_scale(grid_of(s, d), 5, 3), K, ("scale",)), f"WITH {P}, {_SCALE_SQL} SELECT ts_code, trade_date, {rounded_sql('scale')} AS scale FROM scaled")
+register(
+    "response_scale_association",
+    lambda s, d: select_round(labels.response_scale(grid_of(s, d), 5, 3, "association"), K, ("scale",)),
+    f"WITH {P}, {_SCALE_SQL}, t AS (SELECT ts_code, trade_date, lag(scale, 3) OVER {W} AS scale FROM scaled) SELECT ts_code, trade_date, {rounded_sql('scale')} AS scale FROM t",
+)
 register(
     "invalid_reason",
-    lambda s, d: labels.invalid_reason(labels.response_scale(f.evaluate(grid_of(s, d), {"mom": f.returns(f.field("close"), 9)}), 5, 3).withColumn("event", F.col("vol") > 60), 12, ["mom"]).select(*K, "reason"),
-    f"""WITH {P}, {_SCALE_SQL}, t AS (SELECT *, close / lag(close, 9) OVER {W} - 1 AS mom FROM scaled) SELECT ts_code, trade_date, CASE WHEN session_index < 12 THEN 'warm_up' WHEN close IS NULL THEN 'no_origin_price' WHEN scale IS NULL THEN 'no_normalizer' WHEN mom IS NULL THEN 'no_factor' WHEN NOT coalesce(vol > 60, false) THEN 'no_event' END AS reason FROM t""",
+    lambda s, d: labels.invalid_reason(
+        labels.response_scale(f.evaluate(grid_of(s, d), {"mom": f.returns(f.field("close"), 9)}), 5, 3).withColumns({"event": F.col("vol") > 60, "report": F.when(number() % 4 != 1, F.col("mom"))}), 12, ["mom", "report"], ["report"]
+    ).select(*K, "reason"),
+    f"""WITH {P}, {_SCALE_SQL}, t AS (SELECT *, close / lag(close, 9) OVER {W} - 1 AS mom FROM scaled) SELECT ts_code, trade_date, CASE WHEN session_index < 12 THEN 'warm_up' WHEN close IS NULL THEN 'no_origin_price' WHEN scale IS NULL THEN 'no_normalizer' WHEN mom IS NULL THEN 'no_factor' WHEN NOT coalesce(vol > 60, false) THEN 'no_event'
+      WHEN substr(ts_code, 2)::BIGINT % 4 = 1 THEN 'no_report' END AS reason FROM t""",
 )
 for _k, _x in ((2, "lead"), (-2, "lag")):
     register(f"input_offset_{_x}", lambda s, d, k=_k: labels.input_offset(grid_of(s, d), "vol", k).select(*K, "vol"), f"WITH {P} SELECT ts_code, trade_date, {_x}(vol, 2) OVER {W} AS vol FROM grid")

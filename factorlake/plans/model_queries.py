@@ -75,7 +75,7 @@ register(
     lambda s, d: select_round(models.score_linear(tame(s, d), s.createDataFrame([(0.01, [0.5, -0.25, 0.125])], "intercept double, coefficients array<double>"), COLS, []), K, ("prediction",)),
     f"WITH {TAME_SQL} SELECT ts_code, trade_date, {rounded_sql('0.01 + 0.5 * mom - 0.25 * vola + 0.125 * surge')} AS prediction FROM tame",
 )
-for _kind, _params in {"elastic_net": {"alpha": 1e-3, "l1_ratio": 0.5}, "gradient_boosting": {"rounds": 10}, "random_forest": {"trees": 16}, "huber": {}, "bayesian_ridge": {}}.items():
+for _kind, _params in {"elastic_net": {"alpha": 1e-3, "l1_ratio": 0.5}, "gradient_boosting": {}, "random_forest": {}, "huber": {}, "bayesian_ridge": {}}.items():
     register(f"model_{_kind}", lambda s, d, m=ModelSpec(_kind, _params): models.fit_predict(*split(s, d), COLS, "label", m).select(*K, "prediction"))
 register("model_polynomial_ridge", lambda s, d: models.fit_predict(*split(s, d), COLS, "label", ModelSpec("ridge", {"alpha": 10.0, "degree": 2})).select(*K, "prediction"))
 register("model_factorwise_basis", lambda s, d: models.factorwise_basis(*split(s, d), COLS, "label").select(*K, "prediction"))
@@ -94,15 +94,15 @@ register(
 
 
 def _effect(s: SparkSession, d: str) -> DataFrame:
-    train, test = split(s, d)
+    train = split(s, d)[0]
     fits = models.ridge_fits(train, _TWO, "label", 10.0, [])
-    return models.state_effect(test.filter("surge IS NOT NULL AND mom IS NOT NULL"), fits, _TWO, "mom", []).select("n", rounded("effect", 5).alias("effect"))
+    return models.state_effect(train.filter("surge IS NOT NULL AND mom IS NOT NULL"), fits, _TWO, "mom", []).select("n", rounded("effect", 5).alias("effect"))
 
 
 register(
     "state_effect",
     _effect,
-    f"WITH {TAME_SQL}, {_POOLED}, q AS (SELECT quantile_cont(mom, 0.75) - quantile_cont(mom, 0.25) AS q, count(mom) AS n_rows FROM test WHERE surge IS NOT NULL) SELECT q.n_rows AS n, {rounded_sql('w1 * q.q', 5)} AS effect FROM q, fits",
+    f"WITH {TAME_SQL}, {_POOLED}, q AS (SELECT quantile_cont(mom, 0.75) - quantile_cont(mom, 0.25) AS q, least(count(mom), 128) AS n_rows FROM train WHERE surge IS NOT NULL AND mom IS NOT NULL) SELECT q.n_rows AS n, {rounded_sql('w1 * q.q', 5)} AS effect FROM q, fits",
 )
 
 register("holdout_split", lambda s, d: validation.holdout_split(sessions(s, d), 0.2), f"WITH {_P} SELECT trade_date, session_index >= floor(count(*) OVER () * 0.8) AS is_holdout FROM calendar")
@@ -125,9 +125,9 @@ register(
     lambda s, d: validation.train_window(samples(s, d), CUT, 12).select(*K),
     f"WITH {SAMPLES_SQL}, m AS (SELECT * FROM samples WHERE trade_date < DATE '{CUT}' AND label_end < DATE '{CUT}') SELECT ts_code, trade_date FROM m WHERE trade_date IN (SELECT DISTINCT trade_date FROM m ORDER BY 1 DESC LIMIT 12)",
 )
-_SPECS = [ModelSpec("no_change"), ModelSpec("historical_drift"), ModelSpec("per_target_ridge", {"alpha": 10.0})]
+_SPECS = [ModelSpec("no_change"), ModelSpec("historical_drift"), ModelSpec("ridge", {"alpha": 10.0}), ModelSpec("per_target_ridge", {"alpha": 10.0}), ModelSpec("elastic_net", {"alpha": 1e-3, "l1_ratio": 0.5})]
 register("cross_validate", lambda s, d: models.cross_validate(tame(s, d), COLS, "label", _SPECS, folds(s, d)))
-register("nested_selection", lambda s, d: models.nested_selection(tame(s, d), COLS, "label", _SPECS[:2], folds(s, d).filter("fold > 0")))
+register("nested_selection", lambda s, d: models.nested_selection(tame(s, d), COLS, "label", [_SPECS[1], _SPECS[2], _SPECS[4]], folds(s, d)))
 register("freeze_candidates", lambda s, d: models.freeze_candidates(split(s, d)[0], COLS, "label", _SPECS))
 TRIALS_SQL = "trials AS (SELECT industry AS id, avg(s_acctbal) AS score, stddev_samp(s_acctbal) / sqrt(count(*)) AS se, count(*) AS complexity, CASE WHEN count(*) > 1 THEN 'valid' ELSE 'failed' END AS status, min(s_suppkey) AS place FROM (SELECT *, 'I' || s_nationkey % 7 AS industry FROM supplier) GROUP BY 1)"
 

@@ -25,7 +25,8 @@ def log_returns(s: SparkSession, d: str) -> DataFrame:
 
 
 def _fits(s: SparkSession, d: str) -> DataFrame:
-    dates = sessions(s, d).filter("session_index IN (90, 150)").select(F.col("trade_date").alias("fit_date"), F.date_sub("trade_date", 14 * 85).alias("start_date"))
+    """A fit of every basket on each session from the 86th on, over the 85 sessions before."""
+    dates = sessions(s, d).filter("session_index >= 85").select(F.col("trade_date").alias("fit_date"), F.date_sub("trade_date", 14 * 85).alias("start_date"))
     return log_returns(s, d).select("basket_id").distinct().crossJoin(F.broadcast(dates))
 
 
@@ -34,6 +35,16 @@ def matrix(s: SparkSession, d: str) -> DataFrame:
 
 
 register("pca_residual_basket", matrix)
+register(
+    "basket_refusals",
+    lambda s, d: portfolio.basket_refusals(log_returns(s, d), _window(s, d), 1, 9),
+    f"""WITH {P}, rets AS (SELECT 'B' || floor((substr(ts_code, 2)::BIGINT - 1) / 10.0)::BIGINT AS basket_id, ts_code, trade_date FROM (SELECT *, lag(close) OVER {W} AS before FROM grid) WHERE close / before > 0)
+    SELECT basket_id, DATE '2001-01-01' AS fit_date, count(DISTINCT ts_code) AS legs, CASE WHEN count(DISTINCT ts_code) > 9 THEN 'too_many_legs' ELSE 'too_few_legs' END AS reason FROM rets WHERE trade_date >= DATE '1998-06-01' AND trade_date < DATE '2001-01-01' GROUP BY 1 HAVING count(DISTINCT ts_code) > 9 OR count(DISTINCT ts_code) < 3""",
+)
+
+
+def _window(s: SparkSession, d: str) -> DataFrame:
+    return log_returns(s, d).select("basket_id").distinct().select("basket_id", F.lit("2001-01-01").cast("date").alias("fit_date"), F.lit("1998-06-01").cast("date").alias("start_date"))
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
@@ -47,11 +58,11 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
 
 _R = f"""{P}, rets AS (SELECT 'B' || floor((substr(ts_code, 2)::BIGINT - 1) / 10.0)::BIGINT AS basket_id, ts_code, trade_date, least(greatest(ln(close / before), -1.0), 1.0) AS r FROM (SELECT *, lag(close) OVER {W} AS before FROM grid) WHERE close / before > 0),
 legs AS (SELECT DISTINCT basket_id, ts_code FROM rets), mx AS (SELECT a.basket_id, a.ts_code, b.ts_code AS with_code, (CASE WHEN a.ts_code = b.ts_code THEN 1.0 ELSE 0.0 END) - 1.0 / count(*) OVER (PARTITION BY a.basket_id, a.ts_code) AS weight FROM legs a JOIN legs b USING (basket_id)),
-levels AS (SELECT basket_id, ts_code, trade_date, sum(x) OVER (PARTITION BY basket_id, ts_code ORDER BY trade_date) AS level FROM (SELECT m.basket_id, m.ts_code, trade_date, sum(weight * r) AS x FROM mx m JOIN rets r ON r.basket_id = m.basket_id AND r.ts_code = m.with_code WHERE trade_date < DATE '2001-01-01' GROUP BY ALL))"""
+levels AS (SELECT basket_id, ts_code, trade_date, sum(x) OVER (PARTITION BY basket_id, ts_code ORDER BY trade_date) AS level FROM (SELECT m.basket_id, m.ts_code, trade_date, sum(weight * r) AS x FROM mx m JOIN rets r ON r.basket_id = m.basket_id AND r.ts_code = m.with_code WHERE trade_date >= DATE '1998-06-01' AND trade_date < DATE '2001-01-01' GROUP BY ALL))"""
 
 
 def _levels(s: SparkSession, d: str) -> DataFrame:
-    return portfolio.residual_levels(log_returns(s, d), _pairs(s, d))
+    return portfolio.residual_levels(log_returns(s, d), _pairs(s, d), _window(s, d))
 
 
 _B = ("basket_id", "ts_code")
@@ -69,8 +80,12 @@ register(
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
+    """Scores of each symbol, and whether the slope of the last twenty on those before means a half-life of at most three sessions."""
     made = f.evaluate(grid_of(s, d), {"z": f.zscore(f.log(f.field("close") / f.ts_mean(f.field("close"), 5)))}, mask=False)
-    return made.select(*K, "z", F.lit(True).alias("ok"))
+    w = portfolio.by()
+    slope = F.regr_slope("z", "before").over(w.rowsBetween(-19, 0))
+    half_life = F.when((slope > 0) & (slope < 1), -F.log(F.lit(2.0)) / F.log(slope))
+    return made.withColumn("before", F.lag("z").over(w)).select(*K, "z", F.coalesce(half_life <= 3, F.lit(False)).alias("ok"))
 
 
 def signals(s: SparkSession, d: str) -> DataFrame:
@@ -130,18 +145,19 @@ register(
 )
 
 
-def _covariance(s: SparkSession, d: str) -> DataFrame:
-    dates = sessions(s, d).filter("session_index IN (60, 120)").select(F.col("trade_date").alias("as_of"), F.date_sub("trade_date", 14 * 40).alias("start_date"))
-    return portfolio.risk_covariance(log_returns(s, d), dates, 30)
-
-
-register("risk_covariance", _covariance)
+register("risk_covariance", lambda s, d: portfolio.risk_covariance(log_returns(s, d), sessions(s, d), 30))
 register(
     "factor_exposure",
-    lambda s, d: select_round(portfolio.factor_exposure(grid_of(s, d), _top(s, d), "close"), ("trade_date", "n"), ("exposure",)),
-    f"""WITH {_TOP}, z AS (SELECT ts_code, trade_date, CASE WHEN stddev_pop(close) OVER q > 1e-12 THEN (close - avg(close) OVER q) / stddev_pop(close) OVER q END AS z FROM grid WINDOW q AS (PARTITION BY trade_date)), l AS (SELECT ts_code, trade_date, lag(z) OVER {W} AS z FROM z),
-    t AS (SELECT trade_date, sum(weight * z) AS exposure, count(z) AS n FROM top JOIN l USING (ts_code, trade_date) GROUP BY 1) SELECT trade_date, n, {rounded_sql('exposure')} AS exposure FROM t""",
+    lambda s, d: select_round(portfolio.factor_exposure(portfolio.mark_last_close(grid_of(s, d)), _top(s, d), "mark"), ("trade_date", "n"), ("exposure",)),
+    f"""WITH {_TOP}, m AS (SELECT ts_code, trade_date, last_value(close IGNORE NULLS) OVER {W} AS mark FROM grid), z AS (SELECT ts_code, trade_date, CASE WHEN count(mark) OVER q = count(*) OVER q AND stddev_pop(mark) OVER q > 1e-12 THEN (mark - avg(mark) OVER q) / stddev_pop(mark) OVER q END AS z FROM m WINDOW q AS (PARTITION BY trade_date)), l AS (SELECT ts_code, trade_date, lag(z) OVER {W} AS z FROM z),
+    t AS (SELECT trade_date, CASE WHEN count(z) = count(*) THEN sum(weight * z) END AS exposure, count(z) AS n FROM top JOIN l USING (ts_code, trade_date) GROUP BY 1) SELECT trade_date, n, {rounded_sql('exposure')} AS exposure FROM t""",
 )
+
+
+def _daily_risk(s: SparkSession, d: str, x: str, where: str) -> DataFrame:
+    return grid_of(s, d).filter(where).groupBy("trade_date").agg(F.max(F.expr(x)).alias("x"))
+
+
 _RB = ("gross", "net", "largest")
 register(
     "risk_breaches",
@@ -149,11 +165,20 @@ register(
     f"""WITH {P}, t AS (SELECT trade_date, sum(abs((vol - 90) / 1000)) AS gross, sum((vol - 90) / 1000) AS net, max(abs((vol - 90) / 1000)) AS largest FROM grid WHERE vol IS NOT NULL GROUP BY 1), u AS (SELECT *, gross > 0.5 AS gross_breach, abs(net) > 0.2 AS net_breach, largest > 0.1 AS single_breach FROM t)
     SELECT trade_date, gross_breach, net_breach, single_breach, {round_sql(_RB)} FROM u WHERE gross_breach OR net_breach OR single_breach""",
 )
+register(
+    "risk_breaches_all",
+    lambda s, d: portfolio.risk_breaches(
+        _top(s, d), 0.8, 0.95, 0.4, _daily_risk(s, d, "vol / 1000", "vol > 50").withColumnRenamed("x", "volatility"), 0.2, _daily_risk(s, d, "(vol - 90) / 100", "vol > 20").withColumnRenamed("x", "exposure"), 0.5
+    ).select("trade_date", "gross_breach", "net_breach", "single_breach", "volatility_breach", "exposure_breach"),
+    f"""WITH {_TOP}, w AS (SELECT trade_date, sum(abs(weight)) AS gross, sum(weight) AS net, max(abs(weight)) AS largest FROM top GROUP BY 1), v AS (SELECT trade_date, max(vol / 1000) AS x FROM grid WHERE vol > 50 GROUP BY 1), e AS (SELECT trade_date, max((vol - 90) / 100) AS x FROM grid WHERE vol > 20 GROUP BY 1),
+    t AS (SELECT w.trade_date, gross > 0.8 AS gross_breach, abs(net) > 0.95 AS net_breach, largest > 0.4 AS single_breach, gross > 1e-10 AND coalesce(v.x > 0.2, true) AS volatility_breach, gross > 1e-10 AND coalesce(abs(e.x) > 0.5, true) AS exposure_breach FROM w LEFT JOIN v USING (trade_date) LEFT JOIN e USING (trade_date))
+    SELECT * FROM t WHERE gross_breach OR net_breach OR single_breach OR volatility_breach OR exposure_breach""",
+)
 register(
     "buy_and_hold_benchmark",
     lambda s, d: select_round(portfolio.buy_and_hold_benchmark(grid_of(s, d), 100.0), ("trade_date",), ("benchmark",)),
-    f"""WITH {P}, m AS (SELECT ts_code, trade_date, open, last_value(close IGNORE NULLS) OVER {W} AS mark, count(*) OVER (PARTITION BY trade_date) AS n, min(trade_date) OVER () AS f FROM grid), b AS (SELECT *, max(CASE WHEN trade_date = f AND open > 0 THEN open END) OVER (PARTITION BY ts_code) AS start FROM m),
-    t AS (SELECT trade_date, sum(CASE WHEN start IS NOT NULL THEN 100.0 / n / start * coalesce(mark, start) ELSE 100.0 / n END) AS benchmark FROM b GROUP BY 1) SELECT trade_date, {rounded_sql('benchmark')} AS benchmark FROM t""",
+    f"""WITH {P}, f AS (SELECT ts_code, close AS start FROM grid WHERE trade_date = (SELECT min(trade_date) FROM grid) AND close IS NOT NULL AND vol > 0), m AS (SELECT ts_code, trade_date, last_value(close IGNORE NULLS) OVER {W} AS mark FROM grid), n AS (SELECT count(DISTINCT ts_code) AS n FROM grid),
+    t AS (SELECT trade_date, sum(CASE WHEN start IS NULL THEN 100.0 / n ELSE 100.0 / n * mark / start END) AS benchmark FROM m LEFT JOIN f USING (ts_code), n GROUP BY 1) SELECT trade_date, {rounded_sql('benchmark')} AS benchmark FROM t""",
 )
 register(
     "mark_last_close",

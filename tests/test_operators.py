@@ -198,7 +198,7 @@ def test_signals_by_hand(spark):
     df = spark.createDataFrame([("A", DAY0 + dt.timedelta(days=i), v, True) for i, v in enumerate(z)], "ts_code string, trade_date date, z double, ok boolean")
     got = [(r["state"], r["reason"]) for r in portfolio.residual_signal_states(df, 1.0, 0.2, 3.0, 3).orderBy("trade_date").collect()]
     assert [s for s, _ in got] == [0, -1, -1, 0, 1, 0, 0, -1, 0, -1, -1, -1, 0, -1, -1]
-    assert [r for _, r in got][:10] == ["flat", "enter", "hold", "converged", "enter", "stop", "flat", "enter", "invalid", "enter"] and got[12][1] == "time"
+    assert [r for _, r in got][:10] == ["flat", "enter", "hold", "converged", "enter", "stop", "mean_reversion_not_established", "enter", "invalid_mean_reversion", "enter"] and got[12][1] == "time_exit"
 
 
 def test_fingerprint_ignores_order(spark, golden):
