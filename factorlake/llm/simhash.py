@@ -38,9 +38,11 @@ BROADCAST_BYTES = 32 << 20
 CHUNK = 1 << 16
 #: Words in a shingle and least Jaccard similarity of near copies.
 WORDS, SIMILARITY = 5, 0.8
-#: Texts whose shingles are counted to find common ones, how often such a one occurs there, and how many are told
-#: to the tasks. This only sets the order of shingles; all orders find the same pairs.
-SAMPLE_TEXTS, COMMON, MOST_COMMON = 20_000, 8, 200_000
+#: One text in so many, by its hash, has its prefix's shingles counted; one met so often there is common, and at most so
+#: many of them are told to the tasks. This only sets the order of shingles; all orders find the same pairs.
+SAMPLE, COMMON, MOST_COMMON = 4, 6, 500_000
+#: Sets that share a prefix's shingle are compared pair by pair up to this many; of more, with two of them first.
+MATES = 4
 #: Bits of a set's sketch: the parity of its shingles in so many buckets. Two sketches differ in no more bits than
 #: their sets in shingles, so pairs are ruled out by them without a loss.
 PARITY = 2048
@@ -238,10 +240,12 @@ def add_sets(df: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
 def add_prefixes(df: DataFrame, text: str, key: str, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
     """(key, mark, fp, n, prefix, sketch) of every row: fp tells equal sets, n is the set's size. Two sets as similar as
     asked share one of the first n - ceil(similarity * n) + 1 shingles in any order; here common ones come last."""
+    held = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        common = held.value
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -269,14 +273,17 @@ def similar_texts(df: DataFrame, text: str = "text", key: str = "doc_id", shingl
     """(key, mark, fp, component) of each row of `df`: texts are linked if the Jaccard similarity of their sets of
     shingles is at least `similarity`. Texts without words are equal.
 
-    Sets that share a prefix's shingle are compared pair by pair up to PAIRWISE of them. Of larger groups all are
+    Sets that share a prefix's shingle are compared pair by pair up to MATES of them. Of larger groups all are
     first compared with two of them, and after that only those in different components, so a group of near copies
-    is linked without all its pairs, and no component is cut.
+    is linked without all its pairs, and no component is cut. Shingles that many prefixes hold come late in the order of
+    all sets, so that sets meet in them only where they are made of little else.
     """
-    rate = max(1, df.count() // SAMPLE_TEXTS)
-    sample = df.filter(F.pmod(F.xxhash64(text, F.lit(SEED)), F.lit(rate)) == 0)
-    counts = add_sets(sample, text, key, shingle).select(F.explode("hashes").alias("h")).groupBy("h").count().filter(F.col("count") >= COMMON)
-    common = np.array([r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").collect()], np.int64)
+    sample = df.filter(F.pmod(F.xxhash64(text, F.lit(SEED)), F.lit(SAMPLE)) == 0).withColumn("__hash", F.xxhash64(text))
+    copied = cut(sample.groupBy("__hash").count().filter("count > 1").select("__hash"))  # copies would count as many texts
+    sample = sample.join(F.broadcast(copied) if copied.count() * 8 <= BROADCAST_BYTES else copied, "__hash", "left_anti")
+    first = add_prefixes(sample, text, key, shingle, similarity, np.zeros(0, np.int64))
+    counts = first.select(F.explode("prefix").alias("h")).groupBy("h").count().filter(F.col("count") >= COMMON)
+    common = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
     common.sort()
     made = cut(add_prefixes(df, text, key, shingle, similarity, common))
     rows = made.select("key", "mark", "fp")
@@ -322,9 +329,9 @@ def similar_texts(df: DataFrame, text: str = "text", key: str = "doc_id", shingl
         same = F.size(F.array_intersect("x", "y"))
         return cut(both.filter(same >= (F.size("x") + F.size("y") - same) * similarity - 1e-9).select("u", "v"))
 
-    small = posted.filter(F.col("members") <= PAIRWISE)
+    small = posted.filter(F.col("members") <= MATES)
     mates = small.select("h", item.alias("a")).join(small.select("h", item.alias("b")), "h").filter("a.fp < b.fp")
-    large = posted.filter(F.col("members") > PAIRWISE)
+    large = posted.filter(F.col("members") > MATES)
     firsts = [large.groupBy("h").agg(F.min_by(item, F.xxhash64("fp", F.lit(seed))).alias("b")) for seed in (1, 2)]
     tries = [large.select("h", item.alias("a")).join(first, "h") for first in firsts]
     links = confirmed(cut(reduce(DataFrame.unionByName, [possible(mates), *map(possible, tries)]).distinct()))

@@ -411,7 +411,10 @@ def similar_rows():
     return rows
 
 
-def test_near_copies_by_brute_force(spark):
+@pytest.mark.parametrize(("mates", "common"), [(4, 6), (2, 1), (1000, 6)])
+def test_near_copies_by_brute_force(spark, monkeypatch, mates, common):
+    monkeypatch.setattr(simhash, "MATES", mates)
+    monkeypatch.setattr(simhash, "COMMON", common)
     rows = similar_rows()
     want = plain_components(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
