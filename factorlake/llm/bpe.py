@@ -29,9 +29,10 @@ NEVER = np.iinfo(np.int32).max
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, most_words: int | None = None):
         import regex
 
+        self.most_words = MOST_WORDS if most_words is None else most_words
         self.find = regex.compile(PATTERN).findall
         self.bytes = vocabulary.tokens
         self.special = vocabulary.special
@@ -156,7 +157,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and their offsets."""
-        if self.words > MOST_WORDS:
+        if self.words > self.most_words:
             self.forget()
         words: list[str | int] = []
         counts = []
@@ -188,24 +189,25 @@ class Encoder:
 _made: dict[int, Encoder] = {}
 
 
-def encoder_of(key: int, shared) -> Encoder:
+def encoder_of(key: int, shared, most_words: int | None = None) -> Encoder:
     if key not in _made:
         _made.clear()
-        _made[key] = Encoder(shared.value)
+        _made[key] = Encoder(shared.value, most_words)
     return _made[key]
 
 
-def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
-    """(key, ids) of every row of `df`, over whole texts; with `decoded` also the text that the ids decode to.
+def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", decoded: bool = False, most_words: int | None = None) -> DataFrame:
+    """(key, ids) of every row of `df`, over whole texts; with `decoded` also the text that the ids decode to. A Python
+    worker keeps up to `most_words` words with their tokens (MOST_WORDS, if not given): fewer take less memory and more time.
 
     Special tokens in a text are single tokens. A null text is empty and has no ids. Rows that repeat are
     encoded each; an empty table gives an empty result.
     """
     held = df.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
-    number = hash(path or "")
+    number = hash((path or "", most_words))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(number, held)
+        encoder = encoder_of(number, held, most_words)
         for whole in rows:
             for batch in batches.runs(whole, 1, batches.RUN_BYTES // 2):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -224,7 +226,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", key: str = "key") -> DataFrame:
     """(key, decoded) of rows of token ids; bytes that are no UTF-8 decode to U+FFFD. Null ids decode to ''."""
     held = df.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
-    number = hash(path or "")
+    number = hash((path or "", None))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(number, held)

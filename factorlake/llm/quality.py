@@ -93,7 +93,7 @@ def probability(net: Network, top: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def score_flat(net: Network, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+def score_flat(net: Network, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 17) -> np.ndarray:
     """A probability for each text. Texts go through in runs of about `most` bytes, a longer text in overlapping
     windows of whole chunks, so memory is bounded for texts of any length."""
     lengths = np.diff(offsets)
