@@ -168,6 +168,16 @@ def test_many_shards_reach_recall(spark, monkeypatch):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, edge, empty):
+    """Nulls, repeated rows, an empty table, and columns whose names the operators use: defined results, own columns untouched."""
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
+        got = stage(spark, edge, sf_dir)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == edge.columns
+            assert {(r["size"], r["shard"], r["key"], r["fp"], r["place"], r["score"]) for r in rows_of(got)} <= {(7.5, "x", -1, "y", 3, None)}
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
