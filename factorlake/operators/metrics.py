@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 TINY = 1e-12
 
 
@@ -79,10 +81,11 @@ def high_correlation_pairs(df: DataFrame, columns: list[str], threshold: float =
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, moments and exact quantiles of each column."""
     points = {"q01": 0.01, "q25": 0.25, "median": 0.5, "q75": 0.75, "q99": 0.99}
+    found = quantiles(df, {f"{n} {c}": (c, p) for c in columns for n, p in points.items()})
     own = lambda c: F.struct(
-        F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.var_samp(c).alias("variance"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *[F.percentile(c, F.lit(p)).alias(n) for n, p in points.items()], F.max(c).alias("max")
+        F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.var_samp(c).alias("variance"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *[F.first(f"{n} {c}").alias(n) for n in points], F.max(c).alias("max")
     )
-    return df.agg(F.array(*[own(c) for c in columns]).alias("d")).select(F.explode("d").alias("d")).select("d.*")
+    return df.select(*columns).crossJoin(F.broadcast(found)).agg(F.array(*[own(c) for c in columns]).alias("d")).select(F.explode("d").alias("d")).select("d.*")
 
 
 def missing_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -114,7 +117,8 @@ def joint_histogram(df: DataFrame, development: DataFrame, a: str, b: str, bins:
     """Counts and shares of the cells of two columns; edges are quantiles of the development rows, and what lies
     beyond them is in the outer bins."""
     inner = [i / bins for i in range(1, bins)]
-    edges = development.agg(F.percentile(a, F.array(*[F.lit(p) for p in inner])).alias("__ea"), F.percentile(b, F.array(*[F.lit(p) for p in inner])).alias("__eb"))
+    found = quantiles(development, {f"{c}{i}": (column, p) for c, column in (("a", a), ("b", b)) for i, p in enumerate(inner)})
+    edges = found.select(*[F.array(*[f"{c}{i}" for i in range(len(inner))]).alias(f"__e{c}") for c in "ab"])
     rows = both_present(df, a, b).crossJoin(F.broadcast(edges))
     place = lambda c, e: F.size(F.filter(e, lambda x: x < F.col(c)))
     cells = rows.select(place(a, "__ea").alias("bin_a"), place(b, "__eb").alias("bin_b")).groupBy("bin_a", "bin_b").agg(F.count("*").alias("n"))

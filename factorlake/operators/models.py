@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .metrics import average_rank
 from .preprocess import drop_correlated
+from .quantiles import quantiles
 from .validation import all_present, expanding_folds, in_folds, one_se_rule
 
 
@@ -207,7 +208,7 @@ def restore_levels(df: DataFrame) -> DataFrame:
 def state_effect(train: DataFrame, fits: DataFrame, columns: list[str], state: str, keys: list[str], rows: int = 128) -> DataFrame:
     """Mean change of predictions when one column goes from its lower to its upper quartile of the train rows, over at most
     `rows` train rows, evenly placed by date and symbol."""
-    ends = train.agg(F.percentile(state, F.lit(0.25)).alias("__lo"), F.percentile(state, F.lit(0.75)).alias("__hi"))
+    ends = quantiles(train, {"__lo": (state, 0.25), "__hi": (state, 0.75)})
     some = evenly_placed(train, rows, ["trade_date", "ts_code"]).crossJoin(F.broadcast(ends))
     low = score_linear(some.withColumn(state, F.col("__lo")), fits, columns, keys).select("trade_date", "ts_code", F.col("prediction").alias("a"))
     high = score_linear(some.withColumn(state, F.col("__hi")), fits, columns, keys).select("trade_date", "ts_code", F.col("prediction").alias("b"))

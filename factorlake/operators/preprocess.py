@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import as_row, quantiles
+
 LEAST = 10
 
 
 def winsor_bounds(train: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """One row: <c>_lo and <c>_hi, exact quantiles with linear interpolation; nulls don't count."""
-    return train.agg(*[x for c in columns for x in (F.percentile(c, F.lit(low)).alias(f"{c}_lo"), F.percentile(c, F.lit(high)).alias(f"{c}_hi"))])
+    return quantiles(train, {f"{c}_{end}": (c, p) for c in columns for end, p in (("lo", low), ("hi", high))})
 
 
 def winsorize(df: DataFrame, bounds: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,7 +23,7 @@ def winsorize(df: DataFrame, bounds: DataFrame, columns: list[str]) -> DataFrame
 
 
 def medians(train: DataFrame, columns: list[str]) -> DataFrame:
-    return train.agg(*[F.percentile(c, F.lit(0.5)).alias(f"{c}_med") for c in columns])
+    return quantiles(train, {f"{c}_med": (c, 0.5) for c in columns})
 
 
 def impute(df: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,8 +41,8 @@ def standardize(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFram
 
 
 def robust_stats(train: DataFrame, columns: list[str]) -> DataFrame:
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return train.agg(*[x for c in columns for x in (q(c, 0.5).alias(f"{c}_mid"), (q(c, 0.75) - q(c, 0.25)).alias(f"{c}_iqr"))])
+    found = quantiles(train, {f"{c}_{q}": (c, p) for c in columns for q, p in (("mid", 0.5), ("q1", 0.25), ("q3", 0.75))})
+    return found.select(*[x for c in columns for x in (F.col(f"{c}_mid"), (F.col(f"{c}_q3") - F.col(f"{c}_q1")).alias(f"{c}_iqr"))])
 
 
 def robust_scale(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
@@ -78,14 +81,19 @@ def drop_correlated(df: DataFrame, columns: list[str], threshold: float = 0.95,
 
 def fit_fold_transform(train: DataFrame, columns: list[str], winsor: bool = True, scale: str = "robust", shared: tuple[str, ...] = ()) -> DataFrame:
     """One row of all parameters: bounds, then the clipped columns' medians and scales. Shared columns are fit on
-    one value for each date."""
+    one value for each date. The train rows are read once, kept for the passes over them, and released."""
     own = [c for c in columns if c not in shared]
     parts = []
     for names, rows in ((own, train), (list(shared), global_population(train, list(shared)) if shared else None)):
         if names:
-            bounds = winsor_bounds(rows, names)
+            rows = rows.select(*names).persist(StorageLevel.MEMORY_AND_DISK)
+            bounds = winsor_bounds(rows, names) if winsor else None
             clipped = winsorize(rows, bounds, names) if winsor else rows
-            parts += [*([bounds] if winsor else []), medians(clipped, names), (robust_stats if scale == "robust" else moments)(impute(clipped, medians(clipped, names), names), names)]
+            middle = medians(clipped, names)
+            filled = impute(clipped, middle, names)
+            spread = robust_stats(filled, names) if scale == "robust" else as_row(moments(filled, names))
+            parts += [*([bounds] if winsor else []), middle, spread]
+            rows.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)

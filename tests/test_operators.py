@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factorlake import plans
 from factorlake.functions import factors as f
 from factorlake.functions import recipes
-from factorlake.operators import asof, context, metrics, models, portfolio, statements, universe, validation
+from factorlake.operators import asof, context, metrics, models, portfolio, quantiles, statements, universe, validation
 from factorlake.sources import quality
 from factorlake.streaming import bars
 
@@ -238,3 +238,22 @@ def test_queries_without_sql_are_finite(spark, sf_dir, name):
     for c, kind in df.dtypes:
         if kind == "double":
             assert all(r[c] is None or np.isfinite(r[c]) for r in rows)
+
+
+@pytest.mark.parametrize(("left", "accuracy"), [(100_000, 10_000), (50, 20), (3, 5), (1, 2)])
+def test_quantiles_equal_sorting(spark, left, accuracy):
+    rng = random.Random(5)
+    rows = [(rng.gauss(0, 1), float(rng.choice([1, 1, 1, 2, 7])), None, rng.choice([None, -0.5, 3.25, float(rng.randrange(400))])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "x double, ties double, none double, holes double").repartition(7)
+    shares = (0.0, 0.01, 0.25, 0.5, 0.333, 0.99, 1.0)
+    found = quantiles.quantiles(df, {f"{c} {p}": (c, p) for c in df.columns for p in shares}, left, accuracy).first()
+    for i, c in enumerate(df.columns):
+        own = [r[i] for r in rows if r[i] is not None]
+        for p in shares:
+            assert found[f"{c} {p}"] == (pytest.approx(np.quantile(own, p), abs=1e-12) if own else None)
+
+
+def test_quantiles_of_few_rows(spark):
+    one = spark.createDataFrame([(None, 2.5)], "x double, y double")
+    assert quantiles.quantiles(one, {"a": ("x", 0.5), "b": ("y", 0.01)}).first().asDict() == {"a": None, "b": 2.5}
+    assert quantiles.quantiles(one.filter("false"), {"a": ("x", 0.5)}).first()["a"] is None
