@@ -38,9 +38,9 @@ BROADCAST_BYTES = 32 << 20
 CHUNK = 1 << 16
 #: Words in a shingle and least Jaccard similarity of near copies.
 WORDS, SIMILARITY = 5, 0.8
-#: One text in so many, by its hash, has its prefix's shingles counted; one met so often there is common, and at most so
+#: One text in so many, by its hash, has all its shingles counted; one met so often there is common, and at most so
 #: many of them are told to the tasks. This only sets the order of shingles; all orders find the same pairs.
-SAMPLE, COMMON, MOST_COMMON = 4, 6, 500_000
+SAMPLE, COMMON, MOST_COMMON = 8, 3, 500_000
 #: Sets that share a prefix's shingle are compared pair by pair up to this many; of more, with two of them first.
 MATES = 4
 #: Bits of a set's sketch: the parity of its shingles in so many buckets. Two sketches differ in no more bits than
@@ -237,15 +237,16 @@ def add_sets(df: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
     return slim.mapInArrow(run, f"key {kind}, mark long, hashes array<long>")
 
 
-def add_prefixes(df: DataFrame, text: str, key: str, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+def add_prefixes(df: DataFrame, text: str, key: str, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(key, mark, fp, n, prefix, sketch) of every row: fp tells equal sets, n is the set's size. Two sets as similar as
-    asked share one of the first n - ceil(similarity * n) + 1 shingles in any order; here common ones come last."""
+    asked share one of the first n - ceil(similarity * n) + 1 shingles in any order; here common ones (sorted, with their
+    counts) come last, the most common at the very end."""
     held = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        common = held.value
+        common, counts = held.value
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -253,11 +254,12 @@ def add_prefixes(df: DataFrame, text: str, key: str, shingle: int, similarity: f
                 for t in part.column(2).to_pylist():
                     found = shingle_set(t or "", shingle)
                     n = len(found)
-                    late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(n, bool)
+                    at = np.minimum(np.searchsorted(common, found), max(0, len(common) - 1))
+                    times = np.where(common[at] == found, counts[at], 0) if len(common) else np.zeros(n, np.int64)
                     fp = xxh64_intdigest(found.tobytes(), SEED)
                     fps.append(fp - (1 << 64) if fp >> 63 else fp)
                     sizes.append(n)
-                    prefixes.append(np.concatenate((found[~late], found[late]))[: n - math.ceil(similarity * n - 1e-9) + 1])
+                    prefixes.append(found[np.argsort(times, kind="stable")][: n - math.ceil(similarity * n - 1e-9) + 1])
                     sketches.append(np.packbits((np.bincount(found & (PARITY - 1), minlength=PARITY) & 1).astype(bool)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
@@ -275,17 +277,16 @@ def similar_texts(df: DataFrame, text: str = "text", key: str = "doc_id", shingl
 
     Sets that share a prefix's shingle are compared pair by pair up to MATES of them. Of larger groups all are
     first compared with two of them, and after that only those in different components, so a group of near copies
-    is linked without all its pairs, and no component is cut. Shingles that many prefixes hold come late in the order of
-    all sets, so that sets meet in them only where they are made of little else.
+    is linked without all its pairs, and no component is cut. Shingles that many texts hold come late in the order of
+    all sets, so that sets meet in them only where they are made of little else: of many copies of one text, each changed
+    in its own way, those too far apart have too many shingles of their own before the ones they share.
     """
     sample = df.filter(F.pmod(F.xxhash64(text, F.lit(SEED)), F.lit(SAMPLE)) == 0).withColumn("__hash", F.xxhash64(text))
     copied = cut(sample.groupBy("__hash").count().filter("count > 1").select("__hash"))  # copies would count as many texts
     sample = sample.join(F.broadcast(copied) if copied.count() * 8 <= BROADCAST_BYTES else copied, "__hash", "left_anti")
-    first = add_prefixes(sample, text, key, shingle, similarity, np.zeros(0, np.int64))
-    counts = first.select(F.explode("prefix").alias("h")).groupBy("h").count().filter(F.col("count") >= COMMON)
-    common = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
-    common.sort()
-    made = cut(add_prefixes(df, text, key, shingle, similarity, common))
+    counts = add_sets(sample, text, key, shingle).select(F.explode("hashes").alias("h")).groupBy("h").count().filter(F.col("count") >= COMMON)
+    common = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas().sort_values("h")
+    made = cut(add_prefixes(df, text, key, shingle, similarity, (common["h"].to_numpy(np.int64), common["count"].to_numpy(np.int64))))
     rows = made.select("key", "mark", "fp")
     fps = cut(rows.groupBy("fp").agg(F.min("key").alias("least"), F.min(F.struct("key", "mark")).alias("owner"), F.count("*").alias("n")))
 
@@ -332,13 +333,13 @@ def similar_texts(df: DataFrame, text: str = "text", key: str = "doc_id", shingl
     small = posted.filter(F.col("members") <= MATES)
     mates = small.select("h", item.alias("a")).join(small.select("h", item.alias("b")), "h").filter("a.fp < b.fp")
     large = posted.filter(F.col("members") > MATES)
-    firsts = [large.groupBy("h").agg(F.min_by(item, F.xxhash64("fp", F.lit(seed))).alias("b")) for seed in (1, 2)]
+    firsts = [large.groupBy("h").agg(F.min_by(item, by).alias("b")) for by in (F.struct("pos", F.xxhash64("fp")), F.xxhash64("fp", F.lit(SEED)))]
     tries = [large.select("h", item.alias("a")).join(first, "h") for first in firsts]
     links = confirmed(cut(reduce(DataFrame.unionByName, [possible(mates), *map(possible, tries)]).distinct()))
     linked = components(links)
     roots = linked.select(F.col("node").alias("fp"), "root").union(linked.select(F.col("root").alias("fp"), "root").distinct())
     placed = cut(large.join(roots, "fp", "left").select("h", item.alias("a"), F.coalesce("root", "fp").alias("root")))
-    main = placed.groupBy("h").agg(F.min_by("root", F.xxhash64(F.col("a.fp"), F.lit(1))).alias("main"))
+    main = placed.groupBy("h").agg(F.min_by("root", F.struct("a.pos", F.xxhash64("a.fp"))).alias("main"))
     others = placed.join(main, "h").filter("root <> main").select("h", F.col("a").alias("b"), F.col("root").alias("other"))
     rest = cut(possible(placed.join(others, "h").filter("root <> other")))
     if rest.limit(1).count():
