@@ -425,3 +425,19 @@ def test_near_copies_by_brute_force(spark, monkeypatch, mates, common):
     few = simhash.keep_one(df).count()
     assert kept.count() < few
     assert corpus_pipeline.drop_near_copies(spark, df.filter("false"), "").count() == 0
+
+
+def test_many_copies_each_changed_in_its_own_way(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(100), i % 8):
+            copy[at] = f"w{rng.randrange(5000)}"
+        texts.append(" ".join(copy[: 100 - i % 5]))
+    rows = list(enumerate(texts))
+    got = rows_of(simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = plain_components(rows)
+    assert {r["key"]: r["component"] for r in got} == want
+    assert 10 < len(set(want.values())) < 140
