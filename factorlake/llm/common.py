@@ -55,3 +55,15 @@ def utf8_bytes(text: str | Column = "text") -> Column:
 def utf8_crc32(text: str | Column = "text") -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; a null text has no bytes."""
     return F.crc32(whole(text).cast("binary"))
+
+
+def in_order(df: DataFrame, *by: str) -> DataFrame:
+    """`df` sorted by the columns `by` over all its partitions, nulls first, as a checkpoint.
+
+    Column __row ascends in that order; its upper bits are __part, the number of the partition. Rows that tie in `by`
+    may be parted anywhere: a group of any size spreads over partitions. The driver gets a sample of the values of `by`,
+    so those are to be short.
+    """
+    dealt = df.withColumn("__tie", F.rand(7)).repartitionByRange(*by, "__tie").sortWithinPartitions(*by).drop("__tie")
+    numbered = dealt.withColumn("__row", F.monotonically_increasing_id())
+    return cut(numbered.withColumn("__part", F.shiftright("__row", 33)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, neighbours, pages, quality, secrets, sharding, simhash, token_counts
-from .common import table, utf8_crc32
+from . import bpe, chat, media, merkle, mixing, neighbours, pages, periodic, quality, secrets, sharding, simhash, token_counts
+from .common import WORD, table, utf8_crc32, whole
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,71 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
 
 
+def key_crc32() -> Column:
+    """Unsigned CRC-32 of the decimal doc_id; null of a null one."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def repeat_tails(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents with words, by their doc_id's hash, end in repetitions of a stretch of their own words.
+    Documents with a null doc_id stay as they are."""
+    n, g = F.col("__n"), F.floor(F.col("__h") / 10)
+    a = (g % n).cast("int")
+    p = F.floor(1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    words = F.col("__words")
+    unit = F.slice(words, a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), 1, n - a)
+    tenth = F.col("__h") % 10 == 0
+    found = docs.withColumn("__h", key_crc32()).withColumn("__words", F.when(tenth, F.regexp_extract_all(whole(), F.lit(WORD), F.lit(0))))
+    sized = found.withColumn("__n", F.size("__words"))
+    return sized.withColumn("text", F.when(tenth & (n > 0), F.array_join(F.concat(F.slice(words, 1, a), tail), " ")).otherwise(F.col("text"))).drop("__h", "__words", "__n")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best run is found by exact fractions: exponents are compared by cross products."""
+    found = periodic.find_runs(repeat_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.aggregate(
+        "runs",
+        F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"),
+        lambda a, r: F.when(a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a),
+    )
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        F.col("key").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+#: A conversation that the table of op12 is given besides its own.
+CONTROL_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    return chat.digest_conversations(chat.read_turns(chat.format_turns(said.unionByName(more))))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    n_chars = F.col("n_chars")
+    digest = lambda n: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    hashed = docs.select("doc_id", "lang", digest(n_chars).alias("leaf"), F.when((key_crc32() % 7 == 0) & n_chars.isNotNull(), digest(n_chars + 1)).alias("__changed"))
+    leaves, nodes = merkle.manifest(hashed, "leaf", ["doc_id"], "lang")
+    proved = merkle.prove(leaves.withColumn("said", F.coalesce("__changed", "leaf")), nodes, "leaf", "said", "doc_id")
+    return proved.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+        F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +148,9 @@ QUERIES = {
         op8_quality,
         op9_page_text,
         op10_token_counts,
+        op11_periodic_runs,
+        op12_chat_format,
+        op13_merkle_manifest,
     )
 }
 
@@ -112,6 +180,13 @@ def _spans_sql(name: str, pattern: str, group: int, least: int, order: int) -> s
                    string_split_regex(t, '{pattern}') AS g FROM docs))"""
 
 
+def _leaf_sql(n_chars: str) -> str:
+    """The digest of a document's fields, with n_chars as given."""
+    fields = ["doc_id", "source", "lang", n_chars, "text"]
+    told = [f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR END" for f in fields]
+    return f"sha256({' || '.join(told)})"
+
+
 ORACLES = {
     "op2_secret_scan": f"""
     WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -152,4 +227,53 @@ ORACLES = {
     SELECT doc_id, size, source_size, target,
       (size * (epochs + CASE WHEN upto <= budget OR (upto - own <= budget AND upto - budget < budget - (upto - own)) THEN 1 ELSE 0 END))::BIGINT AS taken
     FROM runs""",
+    "op12_chat_format": r"""
+    WITH said AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    sized AS (
+      SELECT *, role = 'assistant' AS reply,
+        length(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'),
+          '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>'), '[ROLE:', '[\ROLE:'), '[/ROLE]', '[\/ROLE]'))
+        + CASE role WHEN 'user' THEN 18 WHEN 'system' THEN 19 WHEN 'assistant' THEN 6 ELSE 16 + length(role) END AS chars
+      FROM said),
+    placed AS (
+      SELECT *, sum(chars) OVER w AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC) = 1 AS final
+      FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role ROWS UNBOUNDED PRECEDING))
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (reply), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role) FILTER (reply), '')) AS loss_sha256,
+      coalesce(sum(upto) FILTER (reply OR final), 0)::BIGINT AS formatted_chars
+    FROM placed GROUP BY conv_id""",
+    "op13_merkle_manifest": f"""
+    WITH RECURSIVE crc AS (
+      SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) x(n)),
+    docs AS (
+      SELECT row_number() OVER () AS rid, *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)),
+          lambda c, b: xor(list_extract(t, (xor(c, b) & 255) + 1), c >> 8)), 4294967295) AS h
+      FROM documents, crc),
+    leaves AS (
+      SELECT rid, doc_id, lang, {_leaf_sql("n_chars")} AS leaf, CASE WHEN h % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf_sql("n_chars + 1")} END AS changed FROM docs),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+    nodes AS (
+      SELECT lang, 0 AS level, i, leaf AS d, n FROM numbered
+      UNION ALL SELECT lang, level + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 1) // 2) FROM nodes WHERE n > 1 GROUP BY lang, level, i // 2),
+    subroots AS (SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, count(*) OVER () AS m FROM nodes WHERE n = 1),
+    tops AS (
+      SELECT 0 AS level, j AS i, d, m AS n FROM subroots
+      UNION ALL SELECT level + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 1) // 2) FROM tops WHERE n > 1 GROUP BY level, i // 2),
+    sides AS (
+      SELECT x.rid, k.level, coalesce(s.d, '') AS d, k.i % 2 AS odd FROM numbered x JOIN nodes k ON x.lang IS NOT DISTINCT FROM k.lang AND x.i >> k.level = k.i AND k.n > 1
+        LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM k.lang AND s.level = k.level AND s.i = xor(k.i, 1::BIGINT)
+      UNION ALL
+      SELECT x.rid, 1000 + k.level, coalesce(s.d, ''), k.i % 2 FROM numbered x JOIN subroots r ON x.lang IS NOT DISTINCT FROM r.lang JOIN tops k ON r.j >> k.level = k.i AND k.n > 1
+        LEFT JOIN tops s ON s.level = k.level AND s.i = xor(k.i, 1::BIGINT)),
+    proofs AS (SELECT rid, list({{'d': d, 'odd': odd}} ORDER BY level) AS way, string_agg(d, '' ORDER BY level) AS joined FROM sides GROUP BY rid),
+    folds AS (
+      SELECT x.rid, coalesce(x.changed, x.leaf) AS d, coalesce(p.way, []) AS way, 0 AS k FROM numbered x LEFT JOIN proofs p USING (rid)
+      UNION ALL SELECT rid, CASE WHEN way[k + 1].odd = 1 THEN sha256(way[k + 1].d || d) ELSE sha256(d || way[k + 1].d) END, way, k + 1 FROM folds WHERE k < len(way))
+    SELECT x.doc_id, x.leaf, r.d AS subroot, top.d AS root, sha256(coalesce(p.joined, '')) AS proof_sha256, f.d AS folded_root, f.d = top.d AS verified
+    FROM numbered x JOIN subroots r ON x.lang IS NOT DISTINCT FROM r.lang JOIN folds f ON f.rid = x.rid AND f.k = len(f.way) LEFT JOIN proofs p ON p.rid = x.rid,
+      (SELECT d FROM tops WHERE n = 1) top""",
 }
