@@ -1,129 +1,17 @@
-"""Residual baskets and portfolio tables."""
+"""Portfolio tables: weights, costs, returns and exposures."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 YEAR = 252
-#: Legs of a basket, and symbols of a pool whose covariances are one group.
-MOST_LEGS, MOST_POOL = 50, 200
 
 
 def by(key: str = "ts_code") -> Window:
     return Window.partitionBy(key).orderBy("trade_date")
 
 
-def _fit_rows(returns: DataFrame, fits: DataFrame) -> DataFrame:
-    return returns.join(fits, "basket_id").filter((F.col("trade_date") < F.col("fit_date")) & (F.col("trade_date") >= F.col("start_date")))
-
-
-def basket_refusals(returns: DataFrame, fits: DataFrame, components: int = 1, legs: int = MOST_LEGS) -> DataFrame:
-    """(basket_id, fit_date, legs, reason) of the fits that pca_residual_basket() refuses for their number of legs."""
-    n = _fit_rows(returns, fits).groupBy("basket_id", "fit_date").agg(F.countDistinct("ts_code").alias("legs"))
-    reason = F.when(F.col("legs") > legs, "too_many_legs").when(F.col("legs") < components + 2, "too_few_legs")
-    return n.withColumn("reason", reason).filter("reason IS NOT NULL")
-
-
-def pca_residual_basket(returns: DataFrame, fits: DataFrame, components: int = 1, legs: int = MOST_LEGS) -> DataFrame:
-    """(basket_id, fit_date, ts_code, with_code, weight): the matrix that takes the top components and the mean out of
-    a basket's returns. `returns` has (basket_id, trade_date, ts_code, r); `fits` (basket_id, fit_date, start_date).
-
-    Fits are groups of their own and run in parallel; a group is one basket's window. A basket of more than `legs` legs
-    or too few is refused as a whole before it is gathered: basket_refusals() lists it.
-    """
-    refused = basket_refusals(returns, fits, components, legs)
-    rows = _fit_rows(returns, fits).join(refused, ["basket_id", "fit_date"], "left_anti")
-
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="trade_date", columns="ts_code", values="r").dropna()
-        names = list(wide.columns)
-        empty = pd.DataFrame(columns=["basket_id", "fit_date", "ts_code", "with_code", "weight"], dtype=object)
-        if len(wide) < 3 * len(names):
-            return empty
-        x = wide[names].to_numpy()
-        _, _, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-        basis = np.column_stack([v[:components].T, np.ones(len(names))])
-        left = np.eye(len(names)) - basis @ np.linalg.pinv(basis)
-        n = len(names)
-        return pd.DataFrame({"basket_id": key[0], "fit_date": key[1], "ts_code": np.repeat(names, n), "with_code": np.tile(names, n), "weight": left.ravel()})
-
-    return rows.groupBy("basket_id", "fit_date").applyInPandas(fit, "basket_id string, fit_date date, ts_code string, with_code string, weight double")
-
-
-def residual_levels(returns: DataFrame, matrix: DataFrame, fits: DataFrame) -> DataFrame:
-    """(basket_id, fit_date, ts_code, trade_date, level): running sums of projected returns from each fit's start_date to
-    the session before its fit_date."""
-    own = matrix.join(fits.select("basket_id", "fit_date", "start_date"), ["basket_id", "fit_date"]).join(returns.withColumnsRenamed({"ts_code": "with_code"}), ["basket_id", "with_code"])
-    inside = own.filter((F.col("trade_date") < F.col("fit_date")) & (F.col("trade_date") >= F.col("start_date")))
-    moved = inside.groupBy("basket_id", "fit_date", "ts_code", "trade_date").agg(F.sum(F.col("weight") * F.col("r")).alias("x"))
-    path = Window.partitionBy("basket_id", "fit_date", "ts_code").orderBy("trade_date")
-    return moved.withColumn("level", F.sum("x").over(path)).drop("x")
-
-
-def residual_zscore(levels: DataFrame) -> DataFrame:
-    last = F.max_by("level", "trade_date")
-    std = F.stddev_samp("level")
-    return levels.groupBy("basket_id", "fit_date", "ts_code").agg(F.when(std > 1e-12, (last - F.avg("level")) / std).alias("z"), F.count("*").alias("n"))
-
-
-def ar1_half_life(levels: DataFrame) -> DataFrame:
-    """Slope of a level on the one before, and the half-life that it means where it is between 0 and 1."""
-    path = Window.partitionBy("basket_id", "fit_date", "ts_code").orderBy("trade_date")
-    pairs = levels.withColumn("before", F.lag("level").over(path)).filter("before IS NOT NULL")
-    fit = pairs.groupBy("basket_id", "fit_date", "ts_code").agg(F.regr_slope("level", "before").alias("slope"))
-    return fit.withColumn("half_life", F.when((F.col("slope") > 0) & (F.col("slope") < 1), -F.log(F.lit(2.0)) / F.log("slope")))
-
-
-def residual_signal_states(scores: DataFrame, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, longest: int = 20) -> DataFrame:
-    """(ts_code, trade_date, state, reason) from (ts_code, trade_date, z, ok): a position is entered against a score
-    beyond `entry`, and left when mean reversion no longer holds, when the score breaks or converges, or after too long.
-    `ok` says whether mean reversion is established: a finite half-life that is short enough.
-
-    Each symbol is one ordered scan; a symbol has as many rows as sessions.
-    """
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date")
-        state, held, states, reasons = 0, 0, [], []
-        for z, ok in zip(pdf.z, pdf.ok, strict=True):
-            valid = z is not None and np.isfinite(z) and bool(ok)
-            if state:
-                held += 1
-                out = "invalid_mean_reversion" if not valid else "stop" if abs(z) >= stop else "converged" if state * z >= -leave else "time_exit" if held >= longest else None
-                reason = out or "hold"
-                state = 0 if out else state
-            elif not valid:
-                reason = "mean_reversion_not_established"
-            elif entry <= abs(z) < stop:
-                state, held, reason = int(-np.sign(z)), 0, "enter"
-            else:
-                reason = "flat"
-            states.append(state)
-            reasons.append(reason)
-        return pd.DataFrame({"ts_code": pdf.ts_code, "trade_date": pdf.trade_date, "state": states, "reason": reasons})
-
-    return scores.select("ts_code", "trade_date", "z", "ok").groupBy("ts_code").applyInPandas(scan, "ts_code string, trade_date date, state int, reason string")
-
-
-def signal_reason_counts(signals: DataFrame) -> DataFrame:
-    return signals.groupBy("reason").agg(F.count("*").alias("n"))
-
-
-def latest_signals(signals: DataFrame) -> DataFrame:
-    return signals.groupBy("ts_code").agg(F.max("trade_date").alias("trade_date"), F.max_by("state", "trade_date").alias("state"), F.max_by("reason", "trade_date").alias("reason"))
-
-
-def basket_weights(signals: DataFrame, matrix: DataFrame, gross: float = 1.0) -> DataFrame:
-    """Weights of legs from the states of residuals: each residual's row of its matrix, summed and scaled by date."""
-    held = signals.filter("state <> 0").join(matrix, "ts_code")
-    legs = held.groupBy("trade_date", F.col("with_code").alias("ts_code")).agg(F.sum(F.col("state") * F.col("weight")).alias("w"))
-    total = F.sum(F.abs("w")).over(Window.partitionBy("trade_date"))
-    return legs.select("trade_date", "ts_code", F.when(total > 1e-12, F.col("w") / total * gross).alias("weight"))
-
-
 def top_n_weights(scores: DataFrame, n: int, most: float, every: int = 1) -> DataFrame:
     """On each rebalance session with at least n scores the n best, equally weighed; ties by symbol."""
     rows = scores.filter(F.col("score").isNotNull() & (F.col("session_index") % every == 0))
@@ -165,36 +53,6 @@ def borrow_cost(short_value: Column, bps: float) -> Column:
     return F.greatest(-short_value, F.lit(0.0)) * bps / 1e4 / YEAR
 
 
-def risk_covariance(returns: DataFrame, calendar: DataFrame, window: int, shrink: float = 0.1, most: int = MOST_POOL) -> DataFrame:
-    """(basket_id, as_of, a, b, cov): annual sample covariances within each basket over the `window` sessions before each
-    session, shrunk to the diagonal, negative eigenvalues cut off. `calendar` has (trade_date, session_index).
-
-    Only symbols with a return on each of these sessions take part. A basket's date is one group, of its symbols squared;
-    baskets of more than `most` symbols are left out as a whole, before they are gathered: pools_refused() lists them.
-    """
-    refused = pools_refused(returns, most)
-    placed = returns.join(refused, "basket_id", "left_anti").join(F.broadcast(calendar.select("trade_date", "session_index")), "trade_date")
-    days = F.broadcast(calendar.select(F.col("trade_date").alias("as_of"), F.col("session_index").alias("__at")))
-    seen = placed.withColumn("__at", F.explode(F.sequence(F.col("session_index") + 1, F.col("session_index") + window))).join(days, "__at")
-    rows = seen.withColumn("__n", F.count("r").over(Window.partitionBy("basket_id", "as_of", "ts_code"))).filter(F.col("__n") == window)
-
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="trade_date", columns="ts_code", values="r").sort_index()
-        names = list(wide.columns)
-        cov = np.atleast_2d(np.cov(wide.to_numpy(), rowvar=False)) * YEAR
-        cov = (1 - shrink) * cov + shrink * np.diag(np.diag(cov))
-        values, vectors = np.linalg.eigh(cov)
-        cov = vectors @ np.diag(np.clip(values, 0, None)) @ vectors.T
-        n = len(names)
-        return pd.DataFrame({"basket_id": key[0], "as_of": key[1], "a": np.repeat(names, n), "b": np.tile(names, n), "cov": cov.ravel()})
-
-    return rows.select("basket_id", "as_of", "trade_date", "ts_code", "r").groupBy("basket_id", "as_of").applyInPandas(fit, "basket_id string, as_of date, a string, b string, cov double")
-
-
-def pools_refused(returns: DataFrame, most: int = MOST_POOL) -> DataFrame:
-    return returns.groupBy("basket_id").agg(F.countDistinct("ts_code").alias("symbols")).filter(F.col("symbols") > most)
-
-
 def factor_exposure(grid: DataFrame, weights: DataFrame, factor: str) -> DataFrame:
     """Weights times the cross-section z-score of the session before. A session on which some symbol lacks the factor,
     or all have one value, gives no exposure: it is null."""
@@ -206,18 +64,10 @@ def factor_exposure(grid: DataFrame, weights: DataFrame, factor: str) -> DataFra
     return weights.join(lagged, ["ts_code", "trade_date"]).groupBy("trade_date").agg(F.when(F.count("z") == F.count("*"), F.sum(F.col("weight") * F.col("z"))).alias("exposure"), F.count("z").alias("n"))
 
 
-def risk_breaches(weights: DataFrame, gross: float, net: float, single: float, volatility: DataFrame | None = None, target: float | None = None, exposures: DataFrame | None = None, most: float | None = None) -> DataFrame:
-    """Dates on which a limit is broken, with the measures. `volatility` has (trade_date, volatility), `exposures`
-    (trade_date, exposure): a date with weights of which they say nothing breaks their limit too."""
+def risk_breaches(weights: DataFrame, gross: float, net: float, single: float) -> DataFrame:
+    """Dates on which a limit is broken, with the measures; operators/risk.py has limits of volatility and exposures."""
     day = weights.groupBy("trade_date").agg(F.sum(F.abs("weight")).alias("gross"), F.sum("weight").alias("net"), F.max(F.abs("weight")).alias("largest"))
     flags = {"gross_breach": F.col("gross") > gross, "net_breach": F.abs("net") > net, "single_breach": F.col("largest") > single}
-    active = F.col("gross") > 1e-10
-    if volatility is not None:
-        day = day.join(volatility.select("trade_date", "volatility"), "trade_date", "left")
-        flags["volatility_breach"] = active & F.coalesce(F.col("volatility") > target, F.lit(True))
-    if exposures is not None:
-        day = day.join(exposures.select("trade_date", "exposure"), "trade_date", "left")
-        flags["exposure_breach"] = active & F.coalesce(F.abs("exposure") > most, F.lit(True))
     return day.withColumns(flags).filter(" OR ".join(flags))
 
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("factor_queries", "source_queries", "point_queries", "label_queries", "model_queries", "metric_queries", "portfolio_queries", "audit_queries", "stream_queries")
+MODULES = ("factor_queries", "source_queries", "point_queries", "label_queries", "model_queries", "metric_queries", "portfolio_queries", "basket_queries", "risk_queries", "audit_queries", "stream_queries")
 
 
 def _registry():

@@ -1,4 +1,4 @@
-"""Queries of residual baskets and portfolio tables."""
+"""Queries of portfolio tables."""
 
 from __future__ import annotations
 
@@ -18,97 +18,6 @@ K = ("ts_code", "trade_date")
 W = "(PARTITION BY ts_code ORDER BY trade_date)"
 
 
-def log_returns(s: SparkSession, d: str) -> DataFrame:
-    """Clipped log returns of each symbol, in baskets of ten symbols."""
-    made = f.evaluate(grid_of(s, d), {"r": f.clip(f.log(f.field("close") / f.lag(f.field("close"), 1)), -1, 1)})
-    return made.filter("r IS NOT NULL").select(F.concat(F.lit("B"), F.floor((number() - 1) / 10).cast("string")).alias("basket_id"), *K, "r")
-
-
-def _fits(s: SparkSession, d: str) -> DataFrame:
-    """A fit of every basket on each session from the 86th on, over the 85 sessions before."""
-    dates = sessions(s, d).filter("session_index >= 85").select(F.col("trade_date").alias("fit_date"), F.date_sub("trade_date", 14 * 85).alias("start_date"))
-    return log_returns(s, d).select("basket_id").distinct().crossJoin(F.broadcast(dates))
-
-
-def matrix(s: SparkSession, d: str) -> DataFrame:
-    return portfolio.pca_residual_basket(log_returns(s, d), _fits(s, d))
-
-
-register("pca_residual_basket", matrix)
-register(
-    "basket_refusals",
-    lambda s, d: portfolio.basket_refusals(log_returns(s, d), _window(s, d), 1, 9),
-    f"""WITH {P}, rets AS (SELECT 'B' || floor((substr(ts_code, 2)::BIGINT - 1) / 10.0)::BIGINT AS basket_id, ts_code, trade_date FROM (SELECT *, lag(close) OVER {W} AS before FROM grid) WHERE close / before > 0)
-    SELECT basket_id, DATE '2001-01-01' AS fit_date, count(DISTINCT ts_code) AS legs, CASE WHEN count(DISTINCT ts_code) > 9 THEN 'too_many_legs' ELSE 'too_few_legs' END AS reason FROM rets WHERE trade_date >= DATE '1998-06-01' AND trade_date < DATE '2001-01-01' GROUP BY 1 HAVING count(DISTINCT ts_code) > 9 OR count(DISTINCT ts_code) < 3""",
-)
-
-
-def _window(s: SparkSession, d: str) -> DataFrame:
-    return log_returns(s, d).select("basket_id").distinct().select("basket_id", F.lit("2001-01-01").cast("date").alias("fit_date"), F.lit("1998-06-01").cast("date").alias("start_date"))
-
-
-def _pairs(s: SparkSession, d: str) -> DataFrame:
-    """A plain projection: each symbol less the mean of its basket."""
-    legs = log_returns(s, d).select("basket_id", "ts_code").distinct()
-    n = F.count("*").over(portfolio.Window.partitionBy("basket_id"))
-    own = legs.withColumn("n", n)
-    both = own.join(legs.withColumnRenamed("ts_code", "with_code"), "basket_id")
-    return both.select("basket_id", F.lit("2001-01-01").cast("date").alias("fit_date"), "ts_code", "with_code", (F.when(F.col("ts_code") == F.col("with_code"), 1.0).otherwise(0.0) - 1 / F.col("n")).alias("weight"))
-
-
-_R = f"""{P}, rets AS (SELECT 'B' || floor((substr(ts_code, 2)::BIGINT - 1) / 10.0)::BIGINT AS basket_id, ts_code, trade_date, least(greatest(ln(close / before), -1.0), 1.0) AS r FROM (SELECT *, lag(close) OVER {W} AS before FROM grid) WHERE close / before > 0),
-legs AS (SELECT DISTINCT basket_id, ts_code FROM rets), mx AS (SELECT a.basket_id, a.ts_code, b.ts_code AS with_code, (CASE WHEN a.ts_code = b.ts_code THEN 1.0 ELSE 0.0 END) - 1.0 / count(*) OVER (PARTITION BY a.basket_id, a.ts_code) AS weight FROM legs a JOIN legs b USING (basket_id)),
-levels AS (SELECT basket_id, ts_code, trade_date, sum(x) OVER (PARTITION BY basket_id, ts_code ORDER BY trade_date) AS level FROM (SELECT m.basket_id, m.ts_code, trade_date, sum(weight * r) AS x FROM mx m JOIN rets r ON r.basket_id = m.basket_id AND r.ts_code = m.with_code WHERE trade_date >= DATE '1998-06-01' AND trade_date < DATE '2001-01-01' GROUP BY ALL))"""
-
-
-def _levels(s: SparkSession, d: str) -> DataFrame:
-    return portfolio.residual_levels(log_returns(s, d), _pairs(s, d), _window(s, d))
-
-
-_B = ("basket_id", "ts_code")
-register("residual_levels", lambda s, d: select_round(_levels(s, d), (*_B, "trade_date"), ("level",)), f"WITH {_R} SELECT basket_id, ts_code, trade_date, {rounded_sql('level')} AS level FROM levels")
-register(
-    "residual_zscore",
-    lambda s, d: select_round(portfolio.residual_zscore(_levels(s, d)), (*_B, "n"), ("z",)),
-    f"WITH {_R}, t AS (SELECT basket_id, ts_code, count(*) AS n, (arg_max(level, trade_date) - avg(level)) / stddev_samp(level) AS z FROM levels GROUP BY ALL) SELECT basket_id, ts_code, n, {rounded_sql('z')} AS z FROM t",
-)
-register(
-    "ar1_half_life",
-    lambda s, d: select_round(portfolio.ar1_half_life(_levels(s, d)), _B, ("slope", "half_life")),
-    f"WITH {_R}, p AS (SELECT *, lag(level) OVER (PARTITION BY basket_id, ts_code ORDER BY trade_date) AS before FROM levels), t AS (SELECT basket_id, ts_code, regr_slope(level, before) AS slope FROM p WHERE before IS NOT NULL GROUP BY ALL), u AS (SELECT *, CASE WHEN slope > 0 AND slope < 1 THEN -ln(2.0) / ln(slope) END AS half_life FROM t) SELECT basket_id, ts_code, {round_sql(('slope', 'half_life'))} FROM u",
-)
-
-
-def _scores(s: SparkSession, d: str) -> DataFrame:
-    """Scores of each symbol, and whether the slope of the last twenty on those before means a half-life of at most three sessions."""
-    made = f.evaluate(grid_of(s, d), {"z": f.zscore(f.log(f.field("close") / f.ts_mean(f.field("close"), 5)))}, mask=False)
-    w = portfolio.by()
-    slope = F.regr_slope("z", "before").over(w.rowsBetween(-19, 0))
-    half_life = F.when((slope > 0) & (slope < 1), -F.log(F.lit(2.0)) / F.log(slope))
-    return made.withColumn("before", F.lag("z").over(w)).select(*K, "z", F.coalesce(half_life <= 3, F.lit(False)).alias("ok"))
-
-
-def signals(s: SparkSession, d: str) -> DataFrame:
-    return portfolio.residual_signal_states(_scores(s, d), 1.0, 0.2, 3.0, 6)
-
-
-register("residual_signal_states", signals)
-register("signal_reason_counts", lambda s, d: portfolio.signal_reason_counts(signals(s, d)))
-register("latest_signals", lambda s, d: portfolio.latest_signals(signals(s, d)))
-
-
-def _plain_signals(s: SparkSession, d: str) -> DataFrame:
-    return grid_of(s, d).select(*K, F.when(F.col("vol") > 120, 1).when(F.col("vol") < 40, -1).otherwise(0).alias("state"))
-
-
-register(
-    "basket_weights",
-    lambda s, d: select_round(portfolio.basket_weights(_plain_signals(s, d), _pairs(s, d)), K, ("weight",)),
-    f"""WITH {_R}, sig AS (SELECT ts_code, trade_date, CASE WHEN vol > 120 THEN 1 WHEN vol < 40 THEN -1 ELSE 0 END AS state FROM grid), l AS (SELECT trade_date, with_code AS ts_code, sum(state * weight) AS w FROM sig JOIN mx USING (ts_code) WHERE state <> 0 GROUP BY ALL),
-    t AS (SELECT *, sum(abs(w)) OVER (PARTITION BY trade_date) AS g FROM l) SELECT ts_code, trade_date, {rounded_sql('CASE WHEN g > 1e-12 THEN w / g END')} AS weight FROM t""",
-)
-
-
 def _top(s: SparkSession, d: str) -> DataFrame:
     return portfolio.top_n_weights(grid_of(s, d).withColumn("score", F.col("vol")), 3, 0.3, 2)
 
@@ -145,7 +54,6 @@ register(
 )
 
 
-register("risk_covariance", lambda s, d: portfolio.risk_covariance(log_returns(s, d), sessions(s, d), 30))
 register(
     "factor_exposure",
     lambda s, d: select_round(portfolio.factor_exposure(portfolio.mark_last_close(grid_of(s, d)), _top(s, d), "mark"), ("trade_date", "n"), ("exposure",)),
@@ -154,10 +62,6 @@ register(
 )
 
 
-def _daily_risk(s: SparkSession, d: str, x: str, where: str) -> DataFrame:
-    return grid_of(s, d).filter(where).groupBy("trade_date").agg(F.max(F.expr(x)).alias("x"))
-
-
 _RB = ("gross", "net", "largest")
 register(
     "risk_breaches",
@@ -165,15 +69,6 @@ register(
     f"""WITH {P}, t AS (SELECT trade_date, sum(abs((vol - 90) / 1000)) AS gross, sum((vol - 90) / 1000) AS net, max(abs((vol - 90) / 1000)) AS largest FROM grid WHERE vol IS NOT NULL GROUP BY 1), u AS (SELECT *, gross > 0.5 AS gross_breach, abs(net) > 0.2 AS net_breach, largest > 0.1 AS single_breach FROM t)
     SELECT trade_date, gross_breach, net_breach, single_breach, {round_sql(_RB)} FROM u WHERE gross_breach OR net_breach OR single_breach""",
 )
-register(
-    "risk_breaches_all",
-    lambda s, d: portfolio.risk_breaches(
-        _top(s, d), 0.8, 0.95, 0.4, _daily_risk(s, d, "vol / 1000", "vol > 50").withColumnRenamed("x", "volatility"), 0.2, _daily_risk(s, d, "(vol - 90) / 100", "vol > 20").withColumnRenamed("x", "exposure"), 0.5
-    ).select("trade_date", "gross_breach", "net_breach", "single_breach", "volatility_breach", "exposure_breach"),
-    f"""WITH {_TOP}, w AS (SELECT trade_date, sum(abs(weight)) AS gross, sum(weight) AS net, max(abs(weight)) AS largest FROM top GROUP BY 1), v AS (SELECT trade_date, max(vol / 1000) AS x FROM grid WHERE vol > 50 GROUP BY 1), e AS (SELECT trade_date, max((vol - 90) / 100) AS x FROM grid WHERE vol > 20 GROUP BY 1),
-    t AS (SELECT w.trade_date, gross > 0.8 AS gross_breach, abs(net) > 0.95 AS net_breach, largest > 0.4 AS single_breach, gross > 1e-10 AND coalesce(v.x > 0.2, true) AS volatility_breach, gross > 1e-10 AND coalesce(abs(e.x) > 0.5, true) AS exposure_breach FROM w LEFT JOIN v USING (trade_date) LEFT JOIN e USING (trade_date))
-    SELECT * FROM t WHERE gross_breach OR net_breach OR single_breach OR volatility_breach OR exposure_breach""",
-)
 register(
     "buy_and_hold_benchmark",
     lambda s, d: select_round(portfolio.buy_and_hold_benchmark(grid_of(s, d), 100.0), ("trade_date",), ("benchmark",)),

@@ -21,15 +21,15 @@ def exact_sum(a: str, b: str) -> Column:
     return F.sum(F.col(a).cast("decimal(14,2)") * F.col(b).cast("decimal(6,2)"))
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, days: int = SESSION_DAYS) -> DataFrame:
     """One row for each symbol and session with lines: open, high, low, close, volume and amount."""
     lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 0 AND l_shipdate IS NOT NULL")
     day = F.to_date("l_shipdate")
-    bucket = F.floor(F.datediff(day, F.lit(FIRST_DAY).cast("date")) / SESSION_DAYS).cast("int")
+    bucket = F.floor(F.datediff(day, F.lit(FIRST_DAY).cast("date")) / days).cast("int")
     turn = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     priced = lines.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ts_code"),
-        F.date_add(F.lit(FIRST_DAY).cast("date"), bucket * SESSION_DAYS).alias("trade_date"),
+        F.date_add(F.lit(FIRST_DAY).cast("date"), bucket * days).alias("trade_date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         "l_quantity",
         "l_extendedprice",
@@ -110,8 +110,12 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(pair.alias("target_id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ts_code"), F.when(F.col("s_suppkey") % 2 == 1, 1.0).otherwise(-1.0).alias("quantity"))
 
 
-#: The same tables for DuckDB, as a list of common table expressions.
-PANEL_SQL = """
+def panel_sql(days: int = SESSION_DAYS) -> str:
+    """panel(), calendar(), symbols and the complete grid for DuckDB, as a list of common table expressions."""
+    return _PANEL_SQL.replace("14", str(days))
+
+
+_PANEL_SQL = """
 lines AS (
   SELECT 'S' || l_suppkey AS ts_code,
          DATE '1995-01-02' + (14 * floor((l_shipdate::DATE - DATE '1995-01-02') / 14.0))::INT AS trade_date,
@@ -129,6 +133,7 @@ symbols AS (SELECT 'S' || s_suppkey AS ts_code FROM supplier),
 grid AS (
   SELECT s.ts_code, c.trade_date, c.session_index, open, high, low, close, raw_close, vol, amount, adj_factor
   FROM calendar c CROSS JOIN symbols s LEFT JOIN panel p ON p.ts_code = s.ts_code AND p.trade_date = c.trade_date)"""
+PANEL_SQL = panel_sql()
 
 SECURITIES_SQL = """
 securities AS (

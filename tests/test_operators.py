@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factorlake import plans
 from factorlake.functions import factors as f
 from factorlake.functions import recipes
-from factorlake.operators import asof, context, metrics, models, portfolio, quantiles, statements, universe, validation
+from factorlake.operators import asof, context, metrics, models, quantiles, statements, universe, validation
 from factorlake.sources import quality
 from factorlake.streaming import bars
 
@@ -182,25 +182,6 @@ def test_bootstrap_interval_covers_the_mean(spark):
     assert metrics.block_bootstrap_ci(daily.limit(30), ["m"], 2, 1).count() == 0
 
 
-def test_residual_projection_is_neutral(spark):
-    rng = np.random.default_rng(1)
-    market = rng.standard_normal(60)
-    rows = [("B", DAY0 + dt.timedelta(days=t), f"S{k}", float(market[t] * (1 + k / 10) + rng.standard_normal() * 0.1)) for t in range(60) for k in range(6)]
-    returns = spark.createDataFrame(rows, "basket_id string, trade_date date, ts_code string, r double")
-    fits = spark.createDataFrame([("B", DAY0 + dt.timedelta(days=59), DAY0)], "basket_id string, fit_date date, start_date date")
-    made = portfolio.pca_residual_basket(returns, fits).toPandas()
-    m = made.pivot(index="ts_code", columns="with_code", values="weight").to_numpy()
-    assert np.allclose(m, m.T) and np.allclose(m @ m, m) and np.allclose(m.sum(axis=1), 0) and round(np.trace(m)) == 4
-
-
-def test_signals_by_hand(spark):
-    z = [0.0, 1.5, 1.2, 0.1, -1.5, -3.5, None, 1.5, None, 1.5] + [1.1] * 5
-    df = spark.createDataFrame([("A", DAY0 + dt.timedelta(days=i), v, True) for i, v in enumerate(z)], "ts_code string, trade_date date, z double, ok boolean")
-    got = [(r["state"], r["reason"]) for r in portfolio.residual_signal_states(df, 1.0, 0.2, 3.0, 3).orderBy("trade_date").collect()]
-    assert [s for s, _ in got] == [0, -1, -1, 0, 1, 0, 0, -1, 0, -1, -1, -1, 0, -1, -1]
-    assert [r for _, r in got][:10] == ["flat", "enter", "hold", "converged", "enter", "stop", "mean_reversion_not_established", "enter", "invalid_mean_reversion", "enter"] and got[12][1] == "time_exit"
-
-
 def test_fingerprint_ignores_order(spark, golden):
     a = quality.table_fingerprint(golden, golden.columns).first()
     assert a == quality.table_fingerprint(golden.orderBy(F.desc("close")).repartition(7), golden.columns).first()
