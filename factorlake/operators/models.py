@@ -1,38 +1,27 @@
-"""Models as Spark jobs. Linear models are solved from sums of products, one row for each group, so all securities
-fit at once; the others are pyspark.ml estimators on one fold's rows."""
+"""Models as Spark jobs. Linear models are solved from sums of products (see linear.py), one row for each group, so all
+securities fit at once; boosting grows from histograms (see boosting.py); the others are pyspark.ml estimators on one
+fold's rows."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 import pandas as pd
 from pyspark.errors import IllegalArgumentException
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import average_rank
-from .preprocess import drop_correlated
+from . import boosting, linear
 from .quantiles import quantiles
-from .validation import all_present, expanding_folds, in_folds, one_se_rule
+from .specs import ModelSpec
+from .validation import all_present, in_folds, one_se_rule
 
 
 #: What a fit itself may fail with.
 FIT_ERRORS = (ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException)
 
 
-@dataclass(frozen=True)
-class ModelSpec:
-    kind: str
-    params: dict = field(default_factory=dict)
-
-    @property
-    def name(self) -> str:
-        return ":".join([self.kind, *[f"{k}={v}" for k, v in sorted(self.params.items())]])
-
-
 def factor_score(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean of the day's percentile ranks (ties share theirs) of the factors that a row has. All ranks are windows within
     a day: rows are dealt by day once."""
@@ -53,7 +42,7 @@ def no_change(df: DataFrame) -> DataFrame:
 def historical_drift(train: DataFrame, test: DataFrame, label: str, key: str | None = None) -> DataFrame:
     """The train mean of the label."""
     if key:
-        return test.join(F.broadcast(train.groupBy(key).agg(F.avg(label).alias("prediction"))), key, "left")
+        return test.join(train.groupBy(key).agg(F.avg(label).alias("prediction")), key, "left")
     return test.crossJoin(F.broadcast(train.agg(F.avg(label).alias("prediction"))))
 
 
@@ -128,27 +117,17 @@ def bayesian_ridge_fit(df: DataFrame, columns: list[str], label: str, rounds: in
 
 def score_linear(df: DataFrame, fits: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Stored coefficients applied to rows; null where a feature or the fit is missing."""
-    slim = F.broadcast(fits.select(*keys, "intercept", "coefficients"))
-    joined = df.join(slim, keys, "left") if keys else df.crossJoin(slim)
+    slim = fits.select(*keys, "intercept", "coefficients")
+    joined = df.join(slim, keys, "left") if keys else df.crossJoin(F.broadcast(slim.limit(1)))
     dot = sum((F.get("coefficients", F.lit(i)) * F.col(c) for i, c in enumerate(columns)), F.col("intercept"))
     return joined.withColumn("prediction", dot).drop("intercept", "coefficients")
 
 
-def estimator(spec: ModelSpec, rows: DataFrame, label: str):
-    """The pyspark.ml estimator of a spec; penalties are given in the usual per-row form and turned into Spark's."""
+def estimator(spec: ModelSpec, label: str):
+    """The pyspark.ml estimator of a spec."""
     p = spec.params
-    if spec.kind in ("ridge", "elastic_net"):
-        stats = rows.agg(F.stddev_pop(label).alias("s"), F.count("*").alias("n")).first()
-        s, n = stats["s"] or 1.0, stats["n"] or 1
-        if spec.kind == "ridge":
-            return LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0, regParam=p.get("alpha", 1.0) * s / n, standardization=False)
-        a, mix = p.get("alpha", 1e-3), p.get("l1_ratio", 0.5)
-        reg = a * (mix + (1 - mix) * s)
-        return LinearRegression(featuresCol="features", labelCol=label, regParam=reg, elasticNetParam=a * mix / reg, standardization=False)
     if spec.kind == "huber":
         return LinearRegression(featuresCol="features", labelCol=label, loss="huber", epsilon=p.get("epsilon", 1.35), regParam=1e-4)
-    if spec.kind == "gradient_boosting":
-        return GBTRegressor(featuresCol="features", labelCol=label, maxIter=p.get("rounds", 60), stepSize=0.06, maxBins=64, minInstancesPerNode=20, maxDepth=p.get("depth", 3), seed=7)
     if spec.kind == "random_forest":
         return RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=p.get("trees", 64), maxDepth=p.get("depth", 5), minInstancesPerNode=p.get("leaf", 20), featureSubsetStrategy="0.7", seed=7)
     raise ValueError(f"no model of kind {spec.kind}")
@@ -156,10 +135,10 @@ def estimator(spec: ModelSpec, rows: DataFrame, label: str):
 
 def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], label: str, spec: ModelSpec) -> DataFrame:
     """`test` with a prediction; rows that lack a feature have none."""
-    if spec.kind == "no_change":
-        return no_change(test)
-    if spec.kind == "historical_drift":
-        return historical_drift(train, test, label)
+    if spec.kind in linear.KINDS:
+        return linear.fit_predict(train, test, columns, label, spec)
+    if spec.kind == "gradient_boosting":
+        return boosting.fit_predict(train, test, columns, label, **spec.params)
     if spec.kind == "per_target_ridge":
         fits = ridge_fits(train, columns, label, spec.params.get("alpha", 1.0), ["ts_code"])
         return score_linear(test, fits, columns, ["ts_code"])
@@ -168,38 +147,21 @@ def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], label: st
     assemble = VectorAssembler(inputCols=columns, outputCol="features")
     rows = assemble.transform(train.filter(all_present([*columns, label])))
     scored = assemble.transform(test.filter(all_present(columns)))
-    if spec.params.get("degree"):
-        expand = PolynomialExpansion(degree=spec.params["degree"], inputCol="features", outputCol="expanded")
-        rows, scored = (expand.transform(x).drop("features").withColumnRenamed("expanded", "features") for x in (rows, scored))
-    fitted = estimator(spec, rows, label).fit(rows).transform(scored)
+    fitted = estimator(spec, label).fit(rows).transform(scored)
     keys = ["trade_date", "ts_code"]
     return test.join(fitted.select(*keys, "prediction"), keys, "left")
 
 
-def transformed_basis(df: DataFrame, columns: list[str], most: float = 3.0) -> DataFrame:
-    """Powers, signed logarithm and signed exponential of each column, capped at +-`most`; columns are <c>_<term>."""
+def transformed_basis(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Powers, signed logarithm and signed exponential of each column, as columns <c>_<term>. Only the exponential's input
+    is cut off, at linear.MOST_EXPONENT."""
     made: dict[str, Column] = {}
     for c in columns:
-        x = F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(-most)), F.lit(most)))
-        made |= {f"{c}_p1": x, f"{c}_p2": x * x, f"{c}_p3": x * x * x, f"{c}_slog": F.signum(x) * F.log1p(F.abs(x)), f"{c}_sexp": F.signum(x) * F.expm1(F.abs(x))}
+        terms = {"p1": linear.Term("power", c), "p2": linear.Term("power", c, degree=2), "p3": linear.Term("power", c, degree=3), "slog": linear.Term("slog", c), "sexp": linear.Term("sexp", c)}
+        made |= {f"{c}_{n}": t.column() for n, t in terms.items()}
     return df.withColumns(made)
 
 
-def factorwise_basis(train: DataFrame, test: DataFrame, columns: list[str], label: str, alpha: float = 1e-4, limit: float = 0.995) -> DataFrame:
-    """Terms that an elastic net keeps for each factor alone, without those that nearly repeat one kept before, then
-    one elastic net on all of them."""
-    kept: list[str] = []
-    wide = transformed_basis(train, columns)
-    for c in columns:
-        terms = [f"{c}_{t}" for t in ("p1", "p2", "p3", "slog", "sexp")]
-        rows = VectorAssembler(inputCols=terms, outputCol="features").transform(wide.filter(all_present([*terms, label])))
-        fitted = estimator(ModelSpec("elastic_net", {"alpha": alpha, "l1_ratio": 0.5}), rows, label).fit(rows)
-        chosen = [t for t, w in zip(terms, fitted.coefficients, strict=True) if abs(w) > 0] or terms[:1]
-        kept += chosen
-    kept = drop_correlated(wide, kept, limit)
-    return fit_predict(wide, transformed_basis(test, columns), kept, label, ModelSpec("elastic_net", {"alpha": alpha, "l1_ratio": 0.5}))
-
-
 def restore_levels(df: DataFrame) -> DataFrame:
     """Prices and returns from predicted moves over a scale."""
     return df.withColumns({"level": F.col("state") + F.col("scale") * F.col("prediction"), "expected_return": F.col("prediction") * F.col("scale") / F.col("state"), "expected_price": F.col("state") * (1 + F.col("prediction") * F.col("scale") / F.col("state"))})
@@ -229,24 +191,67 @@ def evenly_placed(df: DataFrame, rows: int, order: list[str]) -> DataFrame:
     return kept.drop("__rows", "__before", "__total", "__place")
 
 
-def cross_validate(samples: DataFrame, columns: list[str], label: str, specs: list[ModelSpec], folds: DataFrame) -> DataFrame:
+def folds_of(folds: DataFrame) -> list[linear.Fold]:
+    """The folds' table, a handful of rows, as values."""
+    return [linear.Fold(r["fold"], r["test_start"], r["test_end"]) for r in sorted(folds.select("fold", "test_start", "test_end").collect())]
+
+
+SCORES = "id string, fold int, score double, status string"
+
+
+def cross_validate(samples: DataFrame, columns: list[str], label: str, specs: list[ModelSpec], folds: list[linear.Fold]) -> DataFrame:
     """(id, fold, score, status): each candidate's mean over dates of the day's squared error in each fold. A candidate
-    that can't be fit is kept with its failure."""
+    that can't be fit is kept with its failure.
+
+    All linear candidates of all folds are one job, and those for each security another; each other candidate and fold
+    is one of its own.
+    """
+    parts = []
+    if own := [s for s in specs if s.kind in linear.KINDS]:
+        parts.append(linear.cross_validate(samples, columns, label, own, folds))
+    parts += [_each_target(samples, columns, label, s, folds) for s in specs if s.kind == "per_target_ridge"]
+    if rest := [s for s in specs if s.kind not in linear.KINDS and s.kind != "per_target_ridge"]:
+        parts.append(_one_by_one(samples, columns, label, rest, folds))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _daily_scores(rows: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    daily = rows.groupBy(*keys, "trade_date").agg(F.avg((F.col("prediction") - F.col(label)) ** 2).alias("e"))
+    return daily.groupBy(*keys).agg(F.avg("e").alias("score"))
+
+
+def _folds_table(samples: DataFrame, folds: list[linear.Fold]) -> DataFrame:
+    return samples.sparkSession.createDataFrame([(f.number, f.start, f.end, f.before) for f in folds], "fold int, test_start date, test_end date, before date")
+
+
+def _each_target(samples: DataFrame, columns: list[str], label: str, spec: ModelSpec, folds: list[linear.Fold]) -> DataFrame:
+    table = _folds_table(samples, folds)
+    fits = linear.sliding_ridge(samples, columns, label, table.select(F.col("test_start").alias("refit_date")), spec.params.get("alpha", 1.0), 10**9)
+    inside = (F.col("trade_date") >= F.col("test_start")) & (F.col("trade_date") <= F.col("test_end")) & (F.col("before").isNull() | (F.col("label_end") < F.col("before")))
+    tested = samples.filter(all_present([*columns, label])).join(F.broadcast(table), inside).withColumn("refit_date", F.col("test_start"))
+    scores = _daily_scores(score_linear(tested, fits, columns, ["ts_code", "refit_date"]).filter("prediction IS NOT NULL"), label, ["fold"])
+    return table.select("fold").join(scores, "fold", "left").select(F.lit(spec.name).alias("id"), "fold", "score", F.when(F.col("score").isNull(), "no_rows").otherwise("valid").alias("status"))
+
+
+def _one_by_one(samples: DataFrame, columns: list[str], label: str, specs: list[ModelSpec], folds: list[linear.Fold]) -> DataFrame:
     spark = samples.sparkSession
-    roles = in_folds(samples, folds).select("trade_date", "ts_code", *columns, label, "fold", "role").persist()
+    roles = in_folds(samples, _folds_table(samples, folds)).select("trade_date", "ts_code", "label_end", *columns, label, "fold", "role").persist()
     rows = []
-    for k in sorted(r["fold"] for r in folds.select("fold").collect()):
-        own = roles.filter(F.col("fold") == k)
+    for f in folds:
+        own = roles.filter(F.col("fold") == f.number)
+        test = own.filter("role = 'test'") if f.before is None else own.filter((F.col("role") == "test") & (F.col("label_end") < F.lit(f.before)))
         for spec in specs:
             try:
-                made = fit_predict(own.filter("role = 'train'"), own.filter("role = 'test'"), columns, label, spec)
-                daily = made.filter(all_present(["prediction", label])).groupBy("trade_date").agg(F.avg((F.col("prediction") - F.col(label)) ** 2).alias("e"))
-                score = daily.agg(F.avg("e")).first()[0]
-                rows.append((spec.name, k, score, "valid" if score is not None else "no_rows"))
+                made = fit_predict(own.filter("role = 'train'"), test, columns, label, spec)
+                found = _daily_scores(made.filter(all_present(["prediction", *columns, label])).withColumn("__one", F.lit(1)), label, ["__one"]).first()
+                rows.append((spec.name, f.number, found["score"] if found else None, "valid" if found else "no_rows"))
             except FIT_ERRORS as e:  # a candidate's own failure is a result; a lost executor or a full disk is not
-                rows.append((spec.name, k, None, type(e).__name__))
+                rows.append((spec.name, f.number, None, type(e).__name__))
     roles.unpersist()
-    return spark.createDataFrame(rows, "id string, fold int, score double, status string")
+    return spark.createDataFrame(rows, SCORES)
 
 
 def summarize_trials(scores: DataFrame, complexity: dict[str, int]) -> DataFrame:
@@ -257,44 +262,63 @@ def summarize_trials(scores: DataFrame, complexity: dict[str, int]) -> DataFrame
     return made.withColumn("complexity", F.coalesce(F.try_element_at(known, F.col("id")), F.lit(99)))
 
 
-def nested_selection(samples: DataFrame, columns: list[str], label: str, specs: list[ModelSpec], folds: DataFrame, inner: int = 2) -> DataFrame:
-    """(fold, id, score): within each outer fold's train rows a model is chosen by inner folds; the outer score is
-    only reported."""
-    out = []
-    for outer in sorted(folds.collect(), key=lambda r: r["fold"]):
-        past = samples.filter(F.col("label_end") < F.lit(outer["test_start"]))
-        dates = past.select("trade_date").distinct()
-        within = expanding_folds(dates, inner, max(10, dates.count() // 2))
-        chosen = one_se_rule(summarize_trials(cross_validate(past, columns, label, specs, within), {s.name: i for i, s in enumerate(specs)})).first()
-        spec = next((s for s in specs if chosen and s.name == chosen["id"]), specs[0])
-        own = folds.filter(F.col("fold") == outer["fold"])
-        score = cross_validate(samples, columns, label, [spec], own).first()
-        out.append((outer["fold"], spec.name, score["score"]))
-    return samples.sparkSession.createDataFrame(out, "fold int, id string, score double")
+def inner_folds(samples: DataFrame, folds: list[linear.Fold], inner: int) -> dict[int, list[linear.Fold]]:
+    """For each outer fold the inner ones, over the dates whose labels ended before it: after half of them (ten at least),
+    blocks of one size, the last of which takes the rest. What comes to the driver is the calendar."""
+    ends = samples.filter("label_end IS NOT NULL").groupBy("trade_date").agg(F.min("label_end").alias("e"))
+    dates = sorted((r["trade_date"], r["e"]) for r in ends.collect())
+    out, number = {}, 0
+    for f in folds:
+        past = [d for d, e in dates if e < f.start]
+        first = max(10, len(past) // 2)
+        size = (len(past) - first) // inner
+        out[f.number] = []
+        for k in range(inner if size > 0 else 0):
+            own = past[first + k * size : first + (k + 1) * size if k < inner - 1 else None]
+            number += 1
+            out[f.number].append(linear.Fold(1_000_000 + number, own[0], own[-1], f.start))
+    return out
+
+
+def nested_selection(samples: DataFrame, columns: list[str], label: str, specs: list[ModelSpec], folds: list[linear.Fold], inner: int = 2) -> DataFrame:
+    """(fold, id, score): within each outer fold's train rows a model is chosen by inner folds; the outer score is only
+    reported. Inner and outer folds are validated together; what is chosen from are the scores, a row for each candidate
+    and fold."""
+    within = inner_folds(samples, folds, inner)
+    every = [*folds, *[f for own in within.values() for f in own]]
+    scores = cross_validate(samples, columns, label, specs, every).persist()
+    order = {s.name: i for i, s in enumerate(specs)}
+    out = None
+    for f in folds:
+        trials = summarize_trials(scores.filter(F.col("fold").isin([x.number for x in within[f.number]])), order)
+        chosen = one_se_rule(trials).select("id")
+        one = scores.filter(F.col("fold") == f.number).join(chosen, "id").select("fold", "id", "score")
+        out = one if out is None else out.unionByName(one)
+    made = samples.sparkSession.createDataFrame(out.collect(), "fold int, id string, score double")  # a row for each outer fold
+    scores.unpersist()
+    return made
 
 
 def sequential_refit_forecast(samples: DataFrame, columns: list[str], label: str, schedule: DataFrame, alpha: float = 1.0, window: int = 60) -> DataFrame:
     """Each origin of the schedule (trade_date, refit_date) with a per-security ridge fit on the last `window` sessions
     whose labels ended before its refit; every origin is kept, without prediction where there is no model.
 
-    All refits are one job: samples meet the refits whose window holds them, and sums are grouped by both keys.
+    All refits are one job, and no sample is copied into windows: see linear.sliding_ridge().
     """
-    refits = schedule.select("refit_date").distinct()
-    bounds = refits.join(samples.select("trade_date", "label_end").distinct(), F.col("label_end") < F.col("refit_date"))
-    recent = bounds.withColumn("__r", F.row_number().over(Window.partitionBy("refit_date").orderBy(F.desc("trade_date")))).filter(F.col("__r") <= window).select("refit_date", "trade_date")
-    rows = samples.join(F.broadcast(recent), "trade_date")
-    fits = ridge_fits(rows, columns, label, alpha, ["ts_code", "refit_date"])
-    origins = samples.join(F.broadcast(schedule), "trade_date")
+    fits = linear.sliding_ridge(samples, columns, label, schedule.select("refit_date"), alpha, window)
+    origins = samples.join(F.broadcast(schedule), "trade_date")  # as long as the calendar
     made = score_linear(origins, fits, columns, ["ts_code", "refit_date"])
     return made.withColumn("status", F.when(F.col("prediction").isNull(), "no_model").otherwise("valid"))
 
 
 def freeze_candidates(samples: DataFrame, columns: list[str], label: str, specs: list[ModelSpec]) -> DataFrame:
-    """(id, n, mse, r2) in sample of each candidate fit once on all development rows."""
-    out = None
-    for spec in specs:
-        made = fit_predict(samples, samples, columns, label, spec).filter(all_present(["prediction", label]))
-        one = made.agg(F.count("*").alias("n"), F.avg((F.col("prediction") - F.col(label)) ** 2).alias("mse"), F.var_pop(label).alias("v"))
-        one = one.select(F.lit(spec.name).alias("id"), "n", "mse", F.when(F.col("v") > 1e-20, 1 - F.col("mse") / F.col("v")).alias("r2"))
+    """(id, n, mse, r2) in sample of each candidate fit once on all development rows that have all columns. The errors of
+    linear candidates follow from their sums: no row is scored."""
+    r2 = F.when(F.col("variance") > 1e-20, 1 - F.col("mse") / F.col("variance")).alias("r2")
+    own = [s for s in specs if s.kind in linear.KINDS]
+    out = linear.linear_fits(samples, columns, label, own).select("id", "n", "mse", r2) if own else None
+    for spec in (s for s in specs if s.kind not in linear.KINDS):
+        made = fit_predict(samples, samples, columns, label, spec).filter(all_present(["prediction", *columns, label]))
+        one = made.agg(F.count("*").alias("n"), F.avg((F.col("prediction") - F.col(label)) ** 2).alias("mse"), F.var_pop(label).alias("variance")).select(F.lit(spec.name).alias("id"), "n", "mse", r2)
         out = one if out is None else out.unionByName(one)
     return out

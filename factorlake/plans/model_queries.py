@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import labels, models, preprocess, validation
+from ..operators import boosting, labels, linear, models, preprocess, validation
 from ..operators.models import ModelSpec
 from .label_queries import COLS, SAMPLES_SQL, samples, sessions
 from .metric_queries import FORECASTS_SQL, forecasts
@@ -24,7 +24,7 @@ def tame(s: SparkSession, d: str) -> DataFrame:
 
 
 def split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = tame(s, d).persist()
+    rows = tame(s, d)
     return rows.filter((F.col("trade_date") < F.lit(CUT).cast("date")) & (F.col("label_end") < F.lit(CUT).cast("date"))), rows.filter(F.col("trade_date") >= F.lit(CUT).cast("date"))
 
 
@@ -75,15 +75,35 @@ register(
     lambda s, d: select_round(models.score_linear(tame(s, d), s.createDataFrame([(0.01, [0.5, -0.25, 0.125])], "intercept double, coefficients array<double>"), COLS, []), K, ("prediction",)),
     f"WITH {TAME_SQL} SELECT ts_code, trade_date, {rounded_sql('0.01 + 0.5 * mom - 0.25 * vola + 0.125 * surge')} AS prediction FROM tame",
 )
-for _kind, _params in {"elastic_net": {"alpha": 1e-3, "l1_ratio": 0.5}, "gradient_boosting": {}, "random_forest": {}, "huber": {}, "bayesian_ridge": {}}.items():
+_NET = {"alpha": 1e-3, "l1_ratio": 0.5}
+for _kind, _params in {
+    "elastic_net": _NET, "gradient_boosting": {}, "random_forest": {}, "huber": {}, "bayesian_ridge": {},
+    "polynomial_ridge": {"alpha": 10.0}, "polynomial_elastic_net": _NET, "transformed_ridge": {"alpha": 10.0}, "factorwise_basis": _NET,
+}.items():
     register(f"model_{_kind}", lambda s, d, m=ModelSpec(_kind, _params): models.fit_predict(*split(s, d), COLS, "label", m).select(*K, "prediction"))
-register("model_polynomial_ridge", lambda s, d: models.fit_predict(*split(s, d), COLS, "label", ModelSpec("ridge", {"alpha": 10.0, "degree": 2})).select(*K, "prediction"))
-register("model_factorwise_basis", lambda s, d: models.factorwise_basis(*split(s, d), COLS, "label").select(*K, "prediction"))
+register(
+    "elastic_net_one_factor",
+    lambda s, d: select_round(models.fit_predict(*split(s, d), ["mom"], "label", ModelSpec("elastic_net", {"alpha": 0.02, "l1_ratio": 0.5})), K, ("prediction",)),
+    f"""WITH {TAME_SQL}, m AS (SELECT count(*) AS n, avg(mom) AS mx, avg(label) AS my, covar_pop(mom, label) AS c, var_pop(mom) AS v FROM train WHERE mom IS NOT NULL AND label IS NOT NULL), w AS (SELECT *, sign(c) * greatest(abs(c) - 0.01, 0.0) / (v + 0.01) AS w FROM m)
+    SELECT ts_code, trade_date, {rounded_sql('my + w * (mom - mx)')} AS prediction FROM test, w""",
+)
+_STUMPS = "array(array(struct(0, 0.1D, 1, 2, true, false, 0D), struct(-1, 0D, -1, -1, false, true, -1D), struct(2, 0.5D, 3, 4, false, false, 0D), struct(-1, 0D, -1, -1, false, true, 2D), struct(-1, 0D, -1, -1, false, true, 3D)), array(struct(1, 0.3D, 1, 2, false, false, 0D), struct(-1, 0D, -1, -1, false, true, 0.25D), struct(-1, 0D, -1, -1, false, true, -0.5D)))"
+register(
+    "score_trees",
+    lambda s, d: select_round(boosting.score_trees(tame(s, d), s.range(1).select(F.lit(0.5).alias("baseline"), F.lit(2).alias("depth"), F.expr(_STUMPS).cast(boosting.MODEL.split("trees ")[1]).alias("trees")), COLS), K, ("prediction",)),
+    f"""WITH {TAME_SQL} SELECT ts_code, trade_date, {rounded_sql("0.5 + CASE WHEN mom IS NULL OR mom <= 0.1 THEN -1.0 WHEN surge IS NOT NULL AND surge <= 0.5 THEN 2.0 ELSE 3.0 END + CASE WHEN vola IS NOT NULL AND vola <= 0.3 THEN 0.25 ELSE -0.5 END")} AS prediction FROM tame""",
+)
+_BASIS = [linear.Term("power", "mom"), linear.Term("power", "vola", degree=3), linear.Term("product", "mom", "surge"), linear.Term("slog", "surge"), linear.Term("sexp", "mom")]
+register(
+    "score_basis",
+    lambda s, d: select_round(linear.score_terms(tame(s, d), s.createDataFrame([(0.01, [0.5, -0.25, 0.125, 0.3, -0.2])], "intercept double, coefficients array<double>"), _BASIS, []), K, ("prediction",)),
+    f"WITH {TAME_SQL} SELECT ts_code, trade_date, {rounded_sql('0.01 + 0.5 * mom - 0.25 * vola * vola * vola + 0.125 * mom * surge + 0.3 * sign(surge) * ln(1 + abs(surge)) - 0.2 * sign(mom) * (exp(least(abs(mom), 3.0)) - 1)')} AS prediction FROM tame",
+)
 _TERMS = ("mom_p1", "mom_p2", "mom_p3", "mom_slog", "mom_sexp")
 register(
     "transformed_basis",
-    lambda s, d: select_round(models.transformed_basis(samples(s, d), ["mom"], 1.5), K, _TERMS),
-    f"""WITH {SAMPLES_SQL}, x AS (SELECT ts_code, trade_date, CASE WHEN mom IS NOT NULL THEN least(greatest(mom, -1.5), 1.5) END AS x FROM samples), t AS (SELECT *, x AS mom_p1, x * x AS mom_p2, x * x * x AS mom_p3, sign(x) * ln(1 + abs(x)) AS mom_slog, sign(x) * (exp(abs(x)) - 1) AS mom_sexp FROM x) SELECT ts_code, trade_date, {round_sql(_TERMS)} FROM t""",
+    lambda s, d: select_round(models.transformed_basis(samples(s, d).withColumn("mom", F.col("mom") * 3), ["mom"]), K, _TERMS, 4),
+    f"""WITH {SAMPLES_SQL}, t AS (SELECT *, x AS mom_p1, x ** 2 AS mom_p2, x ** 3 AS mom_p3, sign(x) * ln(1 + abs(x)) AS mom_slog, CASE WHEN abs(x) > 3 THEN sign(x) * (exp(3.0) - 1) ELSE sign(x) * (exp(abs(x)) - 1) END AS mom_sexp FROM (SELECT ts_code, trade_date, mom * 3 AS x FROM samples)) SELECT ts_code, trade_date, {round_sql(_TERMS, 4)} FROM t""",
 )
 _LV = ("level", "expected_return", "expected_price")
 register(
@@ -126,9 +146,20 @@ register(
     f"WITH {SAMPLES_SQL}, m AS (SELECT * FROM samples WHERE trade_date < DATE '{CUT}' AND label_end < DATE '{CUT}') SELECT ts_code, trade_date FROM m WHERE trade_date IN (SELECT DISTINCT trade_date FROM m ORDER BY 1 DESC LIMIT 12)",
 )
 _SPECS = [ModelSpec("no_change"), ModelSpec("historical_drift"), ModelSpec("ridge", {"alpha": 10.0}), ModelSpec("per_target_ridge", {"alpha": 10.0}), ModelSpec("elastic_net", {"alpha": 1e-3, "l1_ratio": 0.5})]
-register("cross_validate", lambda s, d: models.cross_validate(tame(s, d), COLS, "label", _SPECS, folds(s, d)))
-register("nested_selection", lambda s, d: models.nested_selection(tame(s, d), COLS, "label", [_SPECS[1], _SPECS[2], _SPECS[4]], folds(s, d)))
-register("freeze_candidates", lambda s, d: models.freeze_candidates(split(s, d)[0], COLS, "label", _SPECS))
+_LINEAR = [*_SPECS, ModelSpec("ridge", {"alpha": 1.0}), *[ModelSpec(k, p) for k, p in (("polynomial_ridge", {"alpha": 10.0}), ("polynomial_elastic_net", _NET), ("transformed_ridge", {"alpha": 10.0}), ("factorwise_basis", _NET))]]
+register("cross_validate", lambda s, d: models.cross_validate(tame(s, d), COLS, "label", [*_LINEAR, ModelSpec("gradient_boosting", {"rounds": 10, "leaves": 7})], models.folds_of(folds(s, d))))
+register("nested_selection", lambda s, d: models.nested_selection(tame(s, d), COLS, "label", _LINEAR, models.folds_of(folds(s, d))))
+_THREE = [ModelSpec("no_change"), ModelSpec("historical_drift"), ModelSpec("ridge", {"alpha": 10.0})]
+register(
+    "cross_validate_linear",
+    lambda s, d: select_round(models.cross_validate(tame(s, d), _TWO, "label", _THREE, models.folds_of(folds(s, d))), ("id", "fold", "status"), ("score",), 5),
+    f"""WITH {SAMPLES_SQL}, {FOLDS_SQL}, tame AS (SELECT * REPLACE ({', '.join(f'CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, -2.0), 2.0) END AS {c}' for c in [*COLS, 'label'])}) FROM samples),
+    whole AS (SELECT * FROM tame WHERE mom IS NOT NULL AND surge IS NOT NULL AND label IS NOT NULL), train AS (SELECT w.*, fold FROM whole w JOIN folds ON label_end < test_start), {_SOLVE.format(g="fold,", a="10", by="GROUP BY fold")},
+    told AS (SELECT fold, trade_date, label, w0 + w1 * mom + w2 * surge AS ridge, m0 AS drift FROM whole JOIN folds f ON trade_date BETWEEN test_start AND test_end JOIN fits USING (fold)),
+    daily AS (SELECT fold, trade_date, avg((ridge - label) ** 2) AS r, avg((drift - label) ** 2) AS d, avg(label ** 2) AS z FROM told GROUP BY ALL), t AS (SELECT fold, unnest(['ridge:alpha=10.0', 'historical_drift', 'no_change']) AS id, unnest([avg(r), avg(d), avg(z)]) AS score FROM daily GROUP BY 1)
+    SELECT id, fold, 'valid' AS status, {rounded_sql('score', 5)} AS score FROM t""",
+)
+register("freeze_candidates", lambda s, d: models.freeze_candidates(split(s, d)[0], COLS, "label", _LINEAR))
 TRIALS_SQL = "trials AS (SELECT industry AS id, avg(s_acctbal) AS score, stddev_samp(s_acctbal) / sqrt(count(*)) AS se, count(*) AS complexity, CASE WHEN count(*) > 1 THEN 'valid' ELSE 'failed' END AS status, min(s_suppkey) AS place FROM (SELECT *, 'I' || s_nationkey % 7 AS industry FROM supplier) GROUP BY 1)"
 
 
