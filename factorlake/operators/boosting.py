@@ -9,8 +9,12 @@ nothing that it reaches is unknown. A tree of seven leaves takes some four jobs
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,14 +63,16 @@ class Tree:
                     heapq.heappush(heap, (-self.nodes[child].split.gain, child))
         return out
 
-    def place(self, binned: list[Column], at: int = 0) -> Column:
-        """The deepest node that a row has come to, as one expression over its bins."""
-        node = self.nodes[at]
-        if not node.children:
-            return F.lit(at)
-        x = binned[node.split.column]
-        left = (x <= node.split.bin) & ((x >= 0) | F.lit(node.split.missing_left))
-        return F.when(left, self.place(binned, node.children[0])).otherwise(self.place(binned, node.children[1]))
+    def place(self, bins: np.ndarray) -> np.ndarray:
+        """The deepest node that each row of bins has come to."""
+        at = np.zeros(len(bins), np.int32)
+        for k, node in enumerate(self.nodes):  # children come after their parents
+            if node.children:
+                own = np.flatnonzero(at == k)
+                x = bins[own, node.split.column]
+                left = (x <= node.split.bin) & ((x >= 0) | node.split.missing_left)
+                at[own] = np.where(left, *node.children)
+        return at
 
     def table(self, splits: set[int], points: list[list[float]], value) -> list[tuple]:
         """NODE rows of the tree that has these splits, the root first."""
@@ -80,12 +86,17 @@ class Tree:
             node = self.nodes[k]
             if k in splits:
                 s = node.split
-                rows.append((s.column, float(points[s.column][s.bin]), number[node.children[0]], number[node.children[1]], s.missing_left, False, 0.0))
+                rows.append((s.column, threshold(points[s.column], s.bin), number[node.children[0]], number[node.children[1]], s.missing_left, False, 0.0))
             else:
                 rows.append((-1, 0.0, -1, -1, False, True, float(value(node.total))))
         return rows
 
 
+def threshold(points: list[float], b: int) -> float:
+    """What values of the bins up to `b` are at most; all values where `b` is the last bin, so that only missing ones are more."""
+    return points[b] if b < len(points) else math.inf
+
+
 def best_split(cells: dict[int, dict[int, tuple[float, int]]], l2: float, least: int) -> Split | None:
     """The split of a leaf that lowers the loss most, from sums and counts by column and bin (bin -1: missing); None if none
     gains. Of equals the first column, then the lowest bin, then missing values to the left."""
@@ -108,36 +119,83 @@ def best_split(cells: dict[int, dict[int, tuple[float, int]]], l2: float, least:
     return best
 
 
-def histograms(rows: DataFrame, place: Column, binned: list[Column], nodes: list[int]) -> dict[int, dict[int, dict[int, tuple[float, int]]]]:
-    """Sums of the gradients and counts by node, column and bin, of the given nodes: a row each comes to the driver."""
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), b.alias("bin")) for i, b in enumerate(binned)])).alias("c")
-    met = rows.withColumn("__node", place).filter(F.col("__node").isin(nodes)).select("__node", "__g", cells)
+CHUNK = "bins binary, gradients binary"
+
+
+def chunks(df: DataFrame, columns: int) -> DataFrame:
+    """CHUNK rows of (bins of all columns, gradient): each batch of rows as two arrays."""
+
+    def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            bins = np.column_stack([batch.column(k).to_numpy() for k in range(columns)]).astype(np.int16)
+            gradients = batch.column(columns).to_numpy().astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array([bins.tobytes()], pa.binary()), pa.array([gradients.tobytes()], pa.binary())], names=["bins", "gradients"])
+
+    return df.mapInArrow(pack, CHUNK)
+
+
+def unpacked(rows: Iterator[pa.RecordBatch], columns: int, trees: list[tuple[Tree, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bins and gradients of each chunk; what these trees, with the values of their nodes, add to the gradients is added."""
+    for batch in rows:
+        for bins, gradients in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, g = np.frombuffer(bins, np.int16).reshape(-1, columns), np.frombuffer(gradients).copy()
+            for tree, values in trees:
+                g += values[tree.place(x)]
+            yield x, g
+
+
+def histograms(rows: DataFrame, columns: int, bins: int, trees: list[tuple[Tree, np.ndarray]], tree: Tree, nodes: list[int]) -> dict[int, dict[int, dict[int, tuple[float, int]]]]:
+    """Sums of the gradients and counts by node, column and bin, of the given nodes. A task adds up its own chunks first;
+    the driver gets a row for each cell."""
+    width = bins + 1
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(len(tree.nodes), -1)
+        number[nodes] = np.arange(len(nodes))
+        size = len(nodes) * columns * width
+        sums, counts = np.zeros(size), np.zeros(size, np.int64)
+        for x, g in unpacked(batches, columns, trees):
+            own = number[tree.place(x)]
+            held = own >= 0
+            for j in range(columns):
+                cell = (own[held] * columns + j) * width + x[held, j] + 1
+                sums += np.bincount(cell, g[held], size)
+                counts += np.bincount(cell, minlength=size)
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(sums[there]), pa.array(counts[there])], names=["cell", "s", "n"])
+
     out: dict[int, dict[int, dict[int, tuple[float, int]]]] = {k: {} for k in nodes}
-    for r in met.groupBy("__node", "c.column", "c.bin").agg(F.sum("__g").alias("s"), F.count("*").alias("n")).collect():
-        out[r["__node"]].setdefault(r["column"], {})[r["bin"]] = (r["s"], r["n"])
+    for r in rows.mapInArrow(add, "cell int, s double, n long").groupBy("cell").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():
+        place, b = divmod(r["cell"], width)
+        node, column = divmod(place, columns)
+        out[nodes[node]].setdefault(column, {})[b - 1] = (r["s"], r["n"])
     return out
 
 
-def grow(rows: DataFrame, binned: list[Column], points: list[list[float]], leaves: int, l2: float, least: int, rate: float) -> list[tuple]:
-    """NODE rows of one tree for the gradients __g of `rows`."""
+def grow(rows: DataFrame, columns: int, bins: int, before: list[tuple[Tree, np.ndarray]], leaves: int, l2: float, least: int) -> tuple[Tree, set[int]]:
+    """One tree for the gradients of `rows` with those that the trees `before` add, and its split nodes."""
     tree, asked = Tree(), [0]
     while asked:
-        found = histograms(rows, tree.place(binned), binned, asked)
+        found = histograms(rows, columns, bins, before, tree, asked)
         for k in asked:
             node = tree.nodes[k]
             if k == 0 and found[0]:
                 first = found[0][0].values()
                 node.total = (sum(s for s, _ in first), sum(n for _, n in first))
             node.split, node.known = best_split(found[k], l2, least), True
-        splits, asked = tree.order(leaves), []
+        splits = tree.order(leaves)
         for k in splits:
             node = tree.nodes[k]
             if node.children is None:
                 node.children = (len(tree.nodes), len(tree.nodes) + 1)
                 tree.nodes += [Node(node.split.left), Node(node.split.right)]
-        if len(splits) + 1 < leaves or any(not tree.nodes[c].known for k in splits[:-1] for c in tree.nodes[k].children):
-            asked = [c for k in splits for c in tree.nodes[k].children if not tree.nodes[c].known]
-    return tree.table(set(splits), points, lambda total: -rate * total[0] / (total[1] + l2))
+        # the last split of a full tree has children that aren't split, so their histograms aren't wanted
+        open_ = splits if len(splits) + 1 < leaves else splits[:-1]
+        asked = [c for k in open_ for c in tree.nodes[k].children if not tree.nodes[c].known]
+    for k, node in enumerate(tree.nodes):
+        if k not in splits:
+            node.children = None
+    return tree, set(splits)
 
 
 def cut_points(df: DataFrame, columns: list[str], bins: int) -> list[list[float]]:
@@ -181,8 +239,9 @@ def fit_trees(train: DataFrame, columns: list[str], label: str, rounds: int = 60
     """One row of MODEL: boosted least squares. Each of `rounds` trees of at most `leaves` leaves fits what the ones before left
     over, is shrunk by `rate`, has at least `least` rows in a leaf and `l2` added to their number.
 
-    Rows without a label don't count; a missing value is a bin of its own. Binned rows are kept with their predictions,
-    which are written to the shared folder every so many trees, so that plans stay short and survive lost executors.
+    Rows without a label don't count; a missing value is a bin of its own. Rows are kept as arrays of bins and gradients,
+    which are brought up to date and written to the shared folder every so many trees, so that neither plans nor the work
+    of a tree grow and lost executors cost little.
     What comes to the driver are histograms, at most leaves * columns * (bins + 1) rows at a time.
     """
     rows = train.filter(F.col(label).isNotNull())
@@ -191,33 +250,29 @@ def fit_trees(train: DataFrame, columns: list[str], label: str, rounds: int = 60
     mean = slim.agg(F.avg("y")).first()[0]
     if mean is None:
         raise ValueError("no rows")
-    binned, trees = [F.col(f"b{i}") for i in range(len(columns))], []
-    kept = slim.withColumn("__g", F.lit(float(mean)) - F.col("y")).persist(StorageLevel.MEMORY_AND_DISK)
-    told = kept
+    p, trees, fresh = len(columns), [], []
+    kept = chunks(slim.withColumn("y", F.lit(float(mean)) - F.col("y")), p).persist(StorageLevel.MEMORY_AND_DISK)
     for r in range(rounds):
-        tree = grow(told, binned, points, leaves, l2, least, rate)
-        trees.append(tree)
-        if len(tree) == 1:  # nothing is left that a split could win
+        tree, splits = grow(kept, p, bins, fresh, leaves, l2, least)
+        value = lambda total: -rate * total[0] / (total[1] + l2)
+        trees.append(tree.table(splits, points, value))
+        if not splits:  # nothing is left that a split could win
             break
-        told = told.withColumn("__g", F.col("__g") + _value(tree, binned, points))
-        if r % every == every - 1 and r + 1 < rounds:
-            fresh = cut(told)
+        fresh.append((tree, np.array([value(n.total) for n in tree.nodes])))
+        if len(fresh) == every and r + 1 < rounds:
+            done, fresh = fresh, []
+
+            def settle(batches: Iterator[pa.RecordBatch], done=done) -> Iterator[pa.RecordBatch]:
+                for x, g in unpacked(batches, p, done):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], names=["bins", "gradients"])
+
+            moved = cut(kept.mapInArrow(settle, CHUNK)).persist(StorageLevel.MEMORY_AND_DISK)
             kept.unpersist()
-            kept = told = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+            kept = moved
     kept.unpersist()
     return train.sparkSession.createDataFrame([(float(mean), max(map(depth_of, trees), default=0), trees)], MODEL)
 
 
-def _value(tree: list[tuple], binned: list[Column], points: list[list[float]], at: int = 0) -> Column:
-    """A tree's value for a binned row, as one expression."""
-    column, threshold, left, right, missing_left, leaf, value = tree[at]
-    if leaf:
-        return F.lit(value)
-    x = binned[column]
-    goes = (x <= points[column].index(threshold)) & ((x >= 0) | F.lit(missing_left))
-    return F.when(goes, _value(tree, binned, points, left)).otherwise(_value(tree, binned, points, right))
-
-
 def score_trees(df: DataFrame, model: DataFrame, columns: list[str]) -> DataFrame:
     """`df` with the prediction of a stored model (one row of MODEL): the baseline and each tree's value. A row walks every tree
     in a column expression; a column that it lacks sends it the node's own way."""

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import as_row, quantiles
+from .quantiles import Columns, between, neighbours, one_row, quantiles
 
 LEAST = 10
 
@@ -79,25 +78,57 @@ def drop_correlated(df: DataFrame, columns: list[str], threshold: float = 0.95,
     return kept
 
 
+def _fold_parameters(df: DataFrame, columns: list[str], winsor: bool, scale: str) -> dict[str, float | None]:
+    """Clipping keeps the order of values and filling puts copies of one value at one place of it, so all quantiles of the
+    clipped and filled column are among the raw column's order statistics: one search finds them all."""
+    kept = Columns(df, columns)
+    try:
+        ends = kept.ends()
+        rows, shares = ends[""][0], {"lo": 0.01, "hi": 0.99, "med": 0.5}
+        wanted, filled = {}, {}
+        for c in columns:
+            n = ends[c][0]
+            if n:
+                wanted[c] = {name: neighbours(n, p) for name, p in shares.items()}
+                first = wanted[c]["med"][0] + 1  # where the copies of the median stand
+                raw = lambda k, n=n, first=first: k if k < first else None if k < first + rows - n else k - (rows - n)
+                filled[c] = {name: (raw(a), raw(b), share) for name, (a, b, share) in ((q, neighbours(rows, p)) for q, p in (("q1", 0.25), ("mid", 0.5), ("q3", 0.75)))}
+        places = {(c, k) for c in wanted for a, b, _ in [*wanted[c].values(), *(filled[c].values() if scale == "robust" else ())] for k in (a, b) if k is not None}
+        values = kept.values(places)
+        out: dict[str, float | None] = {}
+        for c in columns:
+            if c not in wanted:
+                names = [*(("lo", "hi") if winsor else ()), "med", *(("mid", "iqr") if scale == "robust" else ())]
+                out |= {f"{c}_{name}": None for name in names}
+                continue
+            lo, hi = (between(values[c, a], values[c, b], s) for a, b, s in (wanted[c]["lo"], wanted[c]["hi"]))
+            clipped = lambda k, c=c, lo=lo, hi=hi: min(max(values[c, k], lo), hi) if winsor else values[c, k]
+            a, b, s = wanted[c]["med"]
+            med = between(clipped(a), clipped(b), s)
+            out |= ({f"{c}_lo": lo, f"{c}_hi": hi} if winsor else {}) | {f"{c}_med": med}
+            if scale == "robust":
+                q = {name: between(*(med if k is None else clipped(k) for k in (a, b)), s) for name, (a, b, s) in filled[c].items()}
+                out |= {f"{c}_mid": q["mid"], f"{c}_iqr": q["q3"] - q["q1"]}
+        if scale != "robust":
+            x = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
+            if winsor:
+                x = {c: F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(out[f"{c}_lo"])), F.lit(out[f"{c}_hi"]))) for c, v in x.items()}
+            x = {c: F.coalesce(v, F.lit(out[f"{c}_med"])) for c, v in x.items()}
+            out |= kept.rows.agg(*[f for c, v in x.items() for f in (F.avg(v).alias(f"{c}_mean"), F.stddev_pop(v).alias(f"{c}_std"))]).first().asDict()
+        return out
+    finally:
+        kept.release()
+
+
 def fit_fold_transform(train: DataFrame, columns: list[str], winsor: bool = True, scale: str = "robust", shared: tuple[str, ...] = ()) -> DataFrame:
     """One row of all parameters: bounds, then the clipped columns' medians and scales. Shared columns are fit on
-    one value for each date. The train rows are read once, kept for the passes over them, and released."""
-    own = [c for c in columns if c not in shared]
-    parts = []
-    for names, rows in ((own, train), (list(shared), global_population(train, list(shared)) if shared else None)):
-        if names:
-            rows = rows.select(*names).persist(StorageLevel.MEMORY_AND_DISK)
-            bounds = winsor_bounds(rows, names) if winsor else None
-            clipped = winsorize(rows, bounds, names) if winsor else rows
-            middle = medians(clipped, names)
-            filled = impute(clipped, middle, names)
-            spread = robust_stats(filled, names) if scale == "robust" else as_row(moments(filled, names))
-            parts += [*([bounds] if winsor else []), middle, spread]
-            rows.unpersist()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)
-    return out
+    one value for each date. The train rows are read once, kept for the passes of one search, and released."""
+    own, found = [c for c in columns if c not in shared], {}
+    if own:
+        found |= _fold_parameters(train, own, winsor, scale)
+    if shared:
+        found |= _fold_parameters(global_population(train, list(shared)), list(shared), winsor, scale)
+    return one_row(train, found)
 
 
 def apply_fold_transform(df: DataFrame, params: DataFrame, columns: list[str], winsor: bool = True, scale: str = "robust") -> DataFrame:

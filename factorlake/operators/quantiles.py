@@ -1,7 +1,8 @@
 """Exact quantiles of whole columns without any task seeing all their values.
 
 A sketch of bounded size proposes a bracket around every wanted place; exact counts over all rows say whether the place
-lies within, and narrow the bracket if it holds more than LEFT rows; what is left is counted by value.
+lies within, and narrow the bracket if it holds more than LEFT rows; what is left is counted by value. Places of one
+column that share a bracket share its counts, so any number of quantiles of a column takes the passes of one.
 """
 
 from __future__ import annotations
@@ -25,59 +26,91 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], left: int = L
     brackets of one value end the search as well. `df` is kept for the passes and released.
     """
     names = sorted({c for c, _ in wanted.values()})
-    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]).persist(StorageLevel.MEMORY_AND_DISK)
+    with_columns = Columns(df, names)
     try:
-        found = _values(rows, {w: (F.col(f"c{names.index(c)}"), p) for w, (c, p) in wanted.items()}, left, accuracy)
+        ends = with_columns.ends()
+        near = {w: neighbours(ends[c][0], share) for w, (c, share) in wanted.items() if ends[c][0]}
+        values = with_columns.values({(wanted[w][0], k) for w, (low, high, _) in near.items() for k in (low, high)}, left, accuracy)
     finally:
-        rows.unpersist()
-    return _row(df, found)
+        with_columns.release()
+    found = {w: between(values[wanted[w][0], near[w][0]], values[wanted[w][0], near[w][1]], near[w][2]) if w in near else None for w in wanted}
+    return one_row(df, found)
+
+
+def neighbours(n: int, share: float) -> tuple[int, int, float]:
+    """The two order statistics (from 0) of n values that a quantile lies between, and how far towards the second."""
+    place = share * (n - 1)
+    low = floor(place)
+    return low, min(low + 1, n - 1), place - low
+
+
+def between(low: float, high: float, share: float) -> float:
+    return low if share == 0 or low == high else (1 - share) * low + share * high
 
 
 def as_row(stats: DataFrame) -> DataFrame:
     """One row of doubles, computed now: the rows that it was made from aren't read again."""
-    return _row(stats, stats.first().asDict())
+    return one_row(stats, stats.first().asDict())
 
 
-def _row(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
+def one_row(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
     return df.sparkSession.range(0, 1, 1, 1).select(*[F.lit(v).cast("double").alias(name) for name, v in values.items()])
 
 
-def _values(rows: DataFrame, wanted: dict, left: int, accuracy: int) -> dict[str, float | None]:
-    order = list(wanted)
-    ends = rows.agg(*[f(x).alias(f"{s}{i}") for i, (x, _) in enumerate(wanted.values()) for s, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    place = {w: wanted[w][1] * (ends[f"n{i}"] - 1) for i, w in enumerate(order) if ends[f"n{i}"]}
-    held = {w: (ends[f"lo{i}"], ends[f"hi{i}"], 0, ends[f"n{i}"]) for i, w in enumerate(order) if w in place}  # ends, rows below, rows within
-    inside = lambda w, lo, hi: (wanted[w][0] >= F.lit(lo)) & (wanted[w][0] <= F.lit(hi))
-    wide = {w for w, h in held.items() if h[3] > left and h[0] != h[1]}
-    while wide:
-        near = {}
-        for w in wide:
-            lo, hi, below, n = held[w]
-            shares = [min(1.0, max(0.0, (place[w] - below) / n + 2 * s / accuracy)) for s in (-1, 1)]
-            near[w] = F.percentile_approx(F.when(inside(w, lo, hi), wanted[w][0]), F.array(*map(F.lit, shares)), accuracy)
-        probes = rows.agg(*[x.alias(w) for w, x in near.items()]).first().asDict()
-        counts = rows.agg(*[F.count_if(test).alias(f"{w} {k}") for w in wide for k, test in enumerate((wanted[w][0] < F.lit(probes[w][0]), wanted[w][0] <= F.lit(probes[w][1])))]).first().asDict()
-        for w in list(wide):
-            lo, hi, below, n = held[w]
-            less, upto = counts[f"{w} 0"], counts[f"{w} 1"]
-            start = (probes[w][0], less) if below <= less <= floor(place[w]) else (lo, below)
-            end = (probes[w][1], upto) if floor(place[w]) + 2 <= upto <= below + n else (hi, below + n)
-            now = (start[0], end[0], start[1], end[1] - start[1])
-            if now == held[w] or now[3] <= left or now[0] == now[1]:
-                wide.remove(w)
-            held[w] = now
-    marked = [F.when(inside(w, lo, hi), F.struct(F.lit(order.index(w)).alias("w"), wanted[w][0].alias("v"))) for w, (lo, hi, _, _) in held.items()]
-    if not marked:
-        return dict.fromkeys(order)
-    first = F.array(*[F.lit(floor(place[w]) - held[w][2] if w in held else 0).cast("long") for w in order])
-    cells = rows.select(F.explode(F.array_compact(F.array(*marked))).alias("m")).select("m.*").groupBy("w", "v").count()
-    cells = cells.withColumns({"upto": F.sum("count").over(Window.partitionBy("w").orderBy("v")), "first": F.get(first, F.col("w"))})
-    met: dict[str, list] = {w: [] for w in order}
-    for r in cells.filter((F.col("upto") > F.col("first")) & (F.col("upto") - F.col("count") <= F.col("first") + 1)).orderBy("w", "v").collect():
-        met[order[r["w"]]].append((r["v"], r["upto"] - r["first"]))
-    found: dict[str, float | None] = dict.fromkeys(order)
-    for w in held:
-        share, (low, reach) = place[w] - floor(place[w]), met[w][0]
-        high = low if share == 0 or reach > 1 else met[w][1][0]
-        found[w] = low if high == low else (1 - share) * low + share * high
-    return found
+class Columns:
+    """Columns of doubles, kept for some passes."""
+
+    def __init__(self, df: DataFrame, names: list[str]):
+        self.names = names
+        self.rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]).persist(StorageLevel.MEMORY_AND_DISK)
+        self._ends: dict[str, tuple[int, float, float]] | None = None
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+    def ends(self) -> dict[str, tuple[int, float, float]]:
+        """Each column's number of values, the least and the greatest; and under "" the number of rows."""
+        if self._ends is None:
+            found = self.rows.agg(F.count("*"), *[f(f"c{i}") for i in range(len(self.names)) for f in (F.count, F.min, F.max)]).first()
+            self._ends = {c: tuple(found[1 + 3 * i : 4 + 3 * i]) for i, c in enumerate(self.names)} | {"": (found[0], None, None)}
+        return self._ends
+
+    def values(self, wanted: set[tuple[str, int]], left: int = LEFT, accuracy: int = ACCURACY) -> dict[tuple[str, int], float]:
+        """The values of (column, place): place 0 is the column's least."""
+        x = lambda c: F.col(f"c{self.names.index(c)}")
+        inside = lambda c, lo, hi: (x(c) >= F.lit(lo)) & (x(c) <= F.lit(hi))
+        held = {(c, k): (self.ends()[c][1], self.ends()[c][2], 0, self.ends()[c][0]) for c, k in wanted}  # ends, rows below, rows within
+        wide = {w for w, h in held.items() if h[3] > left and h[0] != h[1]}
+        while wide:
+            brackets: dict[tuple, list[tuple[str, int]]] = {}
+            for w in sorted(wide):
+                brackets.setdefault((w[0], *held[w]), []).append(w)
+            asked = [(key, own, [min(1.0, max(0.0, (k - key[3]) / key[4] + s)) for _, k in own for s in (-2 / accuracy, 2 / accuracy)]) for key, own in brackets.items()]
+            probes = self.rows.agg(*[F.percentile_approx(F.when(inside(*key[:3]), x(key[0])), F.array(*map(F.lit, shares)), accuracy) for key, _, shares in asked]).first()
+            points = {w: (p[2 * i], p[2 * i + 1]) for (_, own, _), p in zip(asked, probes, strict=True) for i, w in enumerate(own)}
+            order = sorted(wide)
+            counts = self.rows.agg(*[F.count_if(test) for w in order for test in (x(w[0]) < F.lit(points[w][0]), x(w[0]) <= F.lit(points[w][1]))]).first()
+            for i, w in enumerate(order):
+                (lo, hi, below, n), (less, upto), k = held[w], counts[2 * i : 2 * i + 2], w[1]
+                start = (points[w][0], less) if below <= less <= k else (lo, below)
+                end = (points[w][1], upto) if k + 1 <= upto <= below + n else (hi, below + n)
+                now = (start[0], end[0], start[1], end[1] - start[1])
+                if now == held[w] or now[3] <= left or now[0] == now[1]:
+                    wide.remove(w)
+                held[w] = now
+        groups: dict[tuple, list[int]] = {}
+        for (c, k), (lo, hi, below, _) in held.items():
+            groups.setdefault((c, lo, hi, below), []).append(k)
+        if not groups:
+            return {}
+        order = list(groups)
+        marked = [F.when(inside(c, lo, hi), F.struct(F.lit(i).alias("w"), x(c).alias("v"))) for i, (c, lo, hi, _) in enumerate(order)]
+        places = F.array(*[F.array(*[F.lit(k - g[3]).cast("long") for k in sorted(groups[g])]) for g in order])
+        cells = self.rows.select(F.explode(F.array_compact(F.array(*marked))).alias("m")).select("m.*").groupBy("w", "v").count()
+        cells = cells.withColumns({"upto": F.sum("count").over(Window.partitionBy("w").orderBy("v")), "at": F.get(places, F.col("w"))})
+        hit = F.filter("at", lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("count") <= k))
+        out = {}
+        for r in cells.withColumn("hit", hit).filter(F.size("hit") > 0).select("w", "v", "hit").collect():
+            c, _, _, below = order[r["w"]]
+            out |= {(c, k + below): r["v"] for k in r["hit"]}
+        return out

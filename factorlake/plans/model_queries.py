@@ -77,7 +77,7 @@ register(
 )
 _NET = {"alpha": 1e-3, "l1_ratio": 0.5}
 for _kind, _params in {
-    "elastic_net": _NET, "gradient_boosting": {}, "random_forest": {}, "huber": {}, "bayesian_ridge": {},
+    "elastic_net": _NET, "gradient_boosting": {"rounds": 20}, "random_forest": {}, "huber": {}, "bayesian_ridge": {},
     "polynomial_ridge": {"alpha": 10.0}, "polynomial_elastic_net": _NET, "transformed_ridge": {"alpha": 10.0}, "factorwise_basis": _NET,
 }.items():
     register(f"model_{_kind}", lambda s, d, m=ModelSpec(_kind, _params): models.fit_predict(*split(s, d), COLS, "label", m).select(*K, "prediction"))
@@ -147,7 +147,7 @@ register(
 )
 _SPECS = [ModelSpec("no_change"), ModelSpec("historical_drift"), ModelSpec("ridge", {"alpha": 10.0}), ModelSpec("per_target_ridge", {"alpha": 10.0}), ModelSpec("elastic_net", {"alpha": 1e-3, "l1_ratio": 0.5})]
 _LINEAR = [*_SPECS, ModelSpec("ridge", {"alpha": 1.0}), *[ModelSpec(k, p) for k, p in (("polynomial_ridge", {"alpha": 10.0}), ("polynomial_elastic_net", _NET), ("transformed_ridge", {"alpha": 10.0}), ("factorwise_basis", _NET))]]
-register("cross_validate", lambda s, d: models.cross_validate(tame(s, d), COLS, "label", [*_LINEAR, ModelSpec("gradient_boosting", {"rounds": 10, "leaves": 7})], models.folds_of(folds(s, d))))
+register("cross_validate", lambda s, d: models.cross_validate(tame(s, d), COLS, "label", [*_LINEAR, ModelSpec("gradient_boosting", {"rounds": 4})], models.folds_of(folds(s, d))))
 register("nested_selection", lambda s, d: models.nested_selection(tame(s, d), COLS, "label", _LINEAR, models.folds_of(folds(s, d))))
 _THREE = [ModelSpec("no_change"), ModelSpec("historical_drift"), ModelSpec("ridge", {"alpha": 10.0})]
 register(

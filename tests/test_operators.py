@@ -238,3 +238,29 @@ def test_quantiles_of_few_rows(spark):
     one = spark.createDataFrame([(None, 2.5)], "x double, y double")
     assert quantiles.quantiles(one, {"a": ("x", 0.5), "b": ("y", 0.01)}).first().asDict() == {"a": None, "b": 2.5}
     assert quantiles.quantiles(one.filter("false"), {"a": ("x", 0.5)}).first()["a"] is None
+
+
+@pytest.mark.parametrize("winsor", [True, False])
+@pytest.mark.parametrize("scale", ["robust", "standard"])
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 40, 201])
+def test_fold_parameters_are_those_of_steps(spark, n, winsor, scale):
+    from factorlake.operators import preprocess
+
+    rng = random.Random(n)
+    rows = [(DAYS[i % 25], rng.choice([None, rng.gauss(0, 9), rng.gauss(0, 1)]), float(rng.choice([1, 1, 2, 50])), None) for i in range(n)]
+    df = spark.createDataFrame(rows, "trade_date date, x double, ties double, none double").repartition(3)
+    got = preprocess.fit_fold_transform(df, ["x", "ties", "none"], winsor, scale).first().asDict()
+    for k, c in enumerate(("x", "ties", "none"), 1):
+        own = np.array([np.nan if r[k] is None else r[k] for r in rows])
+        if np.isnan(own).all():
+            assert all(v is None for name, v in got.items() if name.startswith(f"{c}_"))
+            continue
+        lo, hi = np.nanquantile(own, [0.01, 0.99])
+        own = np.clip(own, lo, hi) if winsor else own
+        own = np.where(np.isnan(own), np.nanmedian(own), own)
+        want = {"med": np.median(own) if not np.isnan(own).any() else None} | ({"lo": lo, "hi": hi} if winsor else {})
+        q1, mid, q3 = np.quantile(own, [0.25, 0.5, 0.75])
+        want |= {"mid": mid, "iqr": q3 - q1} if scale == "robust" else {"mean": own.mean(), "std": own.std()}
+        want["med"] = got[f"{c}_med"] if scale == "standard" else want["med"]
+        for name, v in want.items():
+            assert got[f"{c}_{name}"] == pytest.approx(v, abs=1e-9), (c, name)
