@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def next_sessions(dates: DataFrame, calendar: DataFrame, column: str) -> DataFrame:
     """(column, available): for each distinct date the first session strictly after it, null if there is none.
@@ -66,24 +68,41 @@ def check_report_dates(reports: DataFrame, symbols: DataFrame) -> DataFrame:
     return marked.withColumn("reason", reason).filter("reason IS NOT NULL").drop("__known")
 
 
-def knowledge_time(facts: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(fact_id, known_at): the latest of a fact's own times and, through any number of steps, of its inputs'.
+def knowledge_time(facts: DataFrame, edges: DataFrame, most_steps: int = 20) -> DataFrame:
+    """(fact_id, known_at, problem): the latest of a fact's own times and, through any number of steps, of its inputs'.
 
-    `facts` has recorded, retrieved and published dates; `edges` (fact_id, input_id) leads from derived facts to
-    inputs. Every round looks twice as far, and the rounds end when nothing changes.
+    `facts` has recorded, retrieved and published dates; `edges` (fact_id, input_id) leads from derived facts to inputs.
+    A frontier moves from facts without inputs to those that have heard of all of theirs, so each edge is passed once,
+    and a round carries the frontier and the facts that still wait for an input. A fact has no time, but a problem, if
+    an input is not among the facts (unknown_input), an input has a problem itself (unresolved_input), it is in or behind
+    a cycle (cycle), or more than `most_steps` steps lead to it (too_deep).
     """
-    reach = edges.select("fact_id", "input_id").distinct()
-    before = -1
-    for _ in range(most_rounds):
-        step = reach.select(F.col("fact_id").alias("input_id"), F.col("input_id").alias("further"))
-        reach = reach.union(reach.join(step, "input_id").select("fact_id", F.col("further").alias("input_id"))).distinct().checkpoint()
-        now = reach.count()
-        if now == before:
+    links = edges.select("fact_id", "input_id").filter("input_id IS NOT NULL").distinct()
+    known = facts.select(F.col("fact_id").alias("input_id"), F.lit(True).alias("__known"))
+    needs = links.join(known, "input_id", "left").groupBy("fact_id").agg(F.count("*").alias("needs"), F.count_if(F.col("__known").isNull()).alias("strange"))
+    own = facts.select("fact_id", F.greatest("recorded", "retrieved", "published").alias("known_at"))
+    start = own.join(needs, "fact_id", "left").withColumns({"needs": F.coalesce("needs", F.lit(0)), "problem": F.when(F.col("strange") > 0, F.lit("unknown_input"))})
+    state = cut(start.select("fact_id", "known_at", "needs", F.lit(0).cast("long").alias("heard"), "problem", ((F.col("needs") == 0) | F.col("problem").isNotNull()).alias("ready")))
+    told = []
+    for step in range(most_steps + 1):
+        frontier = state.filter("ready").select("fact_id", F.when(F.col("problem").isNull(), F.col("known_at")).alias("known_at"), "problem")
+        told.append(frontier)
+        if step == most_steps or frontier.isEmpty():
             break
-        before = now
-    own = facts.select("fact_id", F.greatest("recorded", "retrieved", "published").alias("own"))
-    inputs = reach.join(own.withColumnsRenamed({"fact_id": "input_id", "own": "theirs"}), "input_id").groupBy("fact_id").agg(F.max("theirs").alias("theirs"))
-    return own.join(inputs, "fact_id", "left").select("fact_id", F.greatest("own", "theirs").alias("known_at"))
+        news = frontier.withColumnRenamed("fact_id", "input_id").join(links, "input_id").groupBy("fact_id").agg(F.count("*").alias("__n"), F.max("known_at").alias("__latest"), F.count("problem").alias("__bad"))
+        heard = state.filter("NOT ready").join(news, "fact_id", "left")
+        count = F.col("heard") + F.coalesce("__n", F.lit(0))
+        state = cut(
+            heard.select(
+                "fact_id", F.greatest("known_at", "__latest").alias("known_at"), "needs", count.alias("heard"),
+                F.coalesce("problem", F.when(F.col("__bad") > 0, F.lit("unresolved_input"))).alias("problem"), (count == F.col("needs")).alias("ready"),
+            )
+        )
+    left = state.filter("NOT ready").select("fact_id", F.lit(None).cast("date").alias("known_at"), F.lit("cycle" if told[-1].isEmpty() else "too_deep").alias("problem"))
+    out = left
+    for part in told:
+        out = out.unionByName(part)
+    return out
 
 
 def check_units_scope(selections: DataFrame, unit: str) -> DataFrame:

@@ -117,18 +117,26 @@ def response_scale(grid: DataFrame, window: int, h: int, mode: str = "forecast")
     return made if mode == "forecast" else made.withColumn("scale", F.lag("scale", h).over(w))
 
 
-def invalid_reason(df: DataFrame, warm_up: int, features: list[str], reports: list[str] | None = None) -> DataFrame:
-    """The first reason against a sample. `reports` are the features made of statements, where the model needs one."""
+def invalid_reason(df: DataFrame, features: list[str], h: int, mode: str = "forecast", family: str = "ridge", events: list[str] | None = None, reports: list[str] | None = None) -> DataFrame:
+    """The first reason against a sample; null for none.
+
+    The response runs from the origin to `h` sessions later, or, for an association, from `h` sessions before: its price
+    then counts, and the first sessions have none. Only the event family needs one of `events` to be other than 0, only the
+    fundamental family one of `reports`, its features made of statements."""
     lacking = lambda names: reduce(Column.__and__, [F.col(c).isNull() for c in names])
-    reason = F.coalesce(
-        F.when(F.col("session_index") < warm_up, F.lit("warm_up")),
-        F.when(F.col("close").isNull(), F.lit("no_origin_price")),
-        F.when(F.col("scale").isNull(), F.lit("no_normalizer")),
-        F.when(lacking(features), F.lit("no_factor")),
-        F.when(~F.coalesce(F.col("event"), F.lit(False)), F.lit("no_event")),
-        F.when(lacking(reports), F.lit("no_report")) if reports else F.lit(None).cast("string"),
-    )
-    return df.withColumn("reason", reason)
+    start = F.col("close") if mode == "forecast" else F.lag("close", h).over(Window.partitionBy("ts_code").orderBy("trade_date"))
+    reasons = [
+        F.when(F.col("session_index") < h, F.lit("response_window_warmup")) if mode != "forecast" else None,
+        F.when(start.isNull(), F.lit("missing_origin_price")),
+        F.when(F.col("scale").isNull(), F.lit("response_normalizer_unavailable")),
+        F.when(lacking(features), F.lit("no_observed_factor_input")),
+    ]
+    if family == "event":
+        seen = reduce(Column.__or__, [F.coalesce(F.abs(F.col(c)) > 1e-12, F.lit(False)) for c in events or []], F.lit(False))
+        reasons.append(F.when(~seen, F.lit("no_observed_event")))
+    if family == "fundamental":
+        reasons.append(F.when(lacking(reports) if reports else F.lit(True), F.lit("no_observed_fundamental_predictor")))
+    return df.withColumn("reason", F.coalesce(*[r for r in reasons if r is not None]))
 
 
 def input_offset(df: DataFrame, column: str, k: int) -> DataFrame:

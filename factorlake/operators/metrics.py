@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import correlation
+from ..sources.shared import mean_ranks
+
 from .quantiles import quantiles
 
 TINY = 1e-12
@@ -27,12 +30,12 @@ def daily_rank_ic(df: DataFrame, factor: str, label: str, min_rows: int = 3, by:
     """(date, ic, n): Spearman correlation of each day with enough rows on which both columns vary."""
     rows = both_present(df, factor, label).select(by, factor, label)
     ranked = rows.withColumns({"__a": average_rank(factor, [by]), "__b": average_rank(label, [by])})
-    made = ranked.groupBy(by).agg(F.count("*").alias("n"), F.corr("__a", "__b").alias("ic"), F.min(factor).alias("a0"), F.max(factor).alias("a1"), F.min(label).alias("b0"), F.max(label).alias("b1"))
+    made = ranked.groupBy(by).agg(F.count("*").alias("n"), correlation("__a", "__b").alias("ic"), F.min(factor).alias("a0"), F.max(factor).alias("a1"), F.min(label).alias("b0"), F.max(label).alias("b1"))
     return made.filter((F.col("n") >= min_rows) & (F.col("a0") < F.col("a1")) & (F.col("b0") < F.col("b1"))).select(by, "ic", "n")
 
 
 def daily_pearson_ic(df: DataFrame, factor: str, label: str, min_rows: int = 3, by: str = "trade_date") -> DataFrame:
-    made = both_present(df, factor, label).groupBy(by).agg(F.count("*").alias("n"), F.corr(factor, label).alias("ic"), F.stddev_pop(factor).alias("s"), F.stddev_pop(label).alias("t"))
+    made = both_present(df, factor, label).groupBy(by).agg(F.count("*").alias("n"), correlation(factor, label).alias("ic"), F.stddev_pop(factor).alias("s"), F.stddev_pop(label).alias("t"))
     return made.filter((F.col("n") >= min_rows) & (F.col("s") > TINY) & (F.col("t") > TINY)).select(by, "ic", "n")
 
 
@@ -67,7 +70,7 @@ def pair_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     def own(a: str, b: str) -> Column:
         has = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(has, F.col(a)), F.when(has, F.col(b))
-        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), F.corr(x, y).alias("corr"), F.covar_samp(x, y).alias("cov"))
+        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), correlation(x, y).alias("corr"), F.covar_samp(x, y).alias("cov"))
 
     return df.agg(F.array(*[own(a, b) for a, b in pairs]).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
@@ -96,7 +99,7 @@ def missing_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 def temporal_correlation(df: DataFrame, a: str, b: str, key: str = "ts_code") -> DataFrame:
     rows = both_present(df, a, b).select(key, a, b)
     ranked = rows.withColumns({"__a": average_rank(a, [key]), "__b": average_rank(b, [key])})
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), F.corr(a, b).alias("pearson"), F.corr("__a", "__b").alias("spearman"))
+    return ranked.groupBy(key).agg(F.count("*").alias("n"), correlation(a, b).alias("pearson"), correlation("__a", "__b").alias("spearman"))
 
 
 def univariate_ols(df: DataFrame, x: str, y: str, key: str | None = None) -> DataFrame:
@@ -141,10 +144,18 @@ def forecast_metrics(df: DataFrame) -> DataFrame:
 
 
 def return_metrics(df: DataFrame, predicted: str = "predicted", actual: str = "actual") -> DataFrame:
-    rows = both_present(df, predicted, actual).select(F.col(predicted).alias("p"), F.col(actual).alias("a"))
+    """One row of errors, improvement over a zero forecast (also as a share of its error) and both correlations. Ranks are
+    mean places among all rows."""
+    rows = both_present(df, predicted, actual).select(F.col(predicted).cast("double").alias("p"), F.col(actual).cast("double").alias("a"))
+    ranked = rows.join(mean_ranks(rows, "p").withColumnRenamed("rank", "rp"), "p").join(mean_ranks(rows, "a").withColumnRenamed("rank", "ra"), "a")
     e = F.col("p") - F.col("a")
-    one = rows.agg(F.count("*").alias("observations"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.avg(F.col("a") * F.col("a")).alias("zero_mse"), F.var_pop("a").alias("v"), F.corr("p", "a").alias("pearson"))
-    return one.select("observations", "mse", F.sqrt("mse").alias("rmse"), "mae", "bias", "zero_mse", F.when(F.col("v") > 1e-20, 1 - F.col("mse") / F.col("v")).alias("r2"), (F.col("zero_mse") - F.col("mse")).alias("improvement"), "pearson")
+    one = ranked.agg(
+        F.count("*").alias("observations"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.avg(F.col("a") * F.col("a")).alias("zero_mse"),
+        F.var_pop("a").alias("v"), correlation("p", "a").alias("pearson"), correlation("rp", "ra").alias("spearman"),
+    )
+    gain = F.when(F.col("zero_mse") > 1e-20, 1 - F.col("mse") / F.col("zero_mse"))
+    r2 = F.when(F.col("v") > 1e-20, 1 - F.col("mse") / F.col("v"))
+    return one.select("observations", "mse", F.sqrt("mse").alias("rmse"), "mae", "bias", "zero_mse", r2.alias("r2"), (F.col("zero_mse") - F.col("mse")).alias("improvement"), gain.alias("relative_improvement"), "pearson", "spearman")
 
 
 def training_r2(df: DataFrame, predicted: str, actual: str) -> DataFrame:
@@ -193,7 +204,8 @@ def block_bootstrap_ci(daily: DataFrame, metrics: list[str], horizon: int, step:
     declared block length, half of it and twice it; lengths with fewer than eight blocks, and series of fewer than
     forty dates, give nothing.
 
-    Replications run in parallel: each draws hashed block starts, and joins its places to the numbered dates.
+    Replications run in parallel. Each draws hashed block starts; a block's sum is the difference of two running sums of the
+    dates in a circle, so a replication costs its blocks, not its dates.
     """
     dates = daily.select("trade_date", *metrics).filter(reduce(Column.__and__, [F.col(m).isNotNull() for m in metrics]))
     numbered = dates.withColumn("__i", (F.row_number().over(Window.orderBy("trade_date")) - 1).cast("long")).drop("trade_date")
@@ -203,16 +215,22 @@ def block_bootstrap_ci(daily: DataFrame, metrics: list[str], horizon: int, step:
     lengths = [c for c in sorted({max(2, overlap, length // 2), length, 2 * length}) if n >= max(40, 8 * length) and n >= 8 * c]
     spark = daily.sparkSession
     out = spark.createDataFrame([], "block int, metric string, estimate double, lower double, upper double")
+    if not lengths:
+        return out
     observed = numbered.agg(*[F.avg(m).alias(m) for m in metrics]).unpivot([], metrics, "metric", "estimate")
+    circle = numbered.unionByName(numbered.filter(F.col("__i") < max(lengths)).withColumn("__i", F.col("__i") + n))
+    before = Window.orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    sums = circle.select("__i", *[F.coalesce(F.sum(m).over(before), F.lit(0.0)).alias(m) for m in metrics])  # as long as the calendar
+    first, last = ([F.col(m).alias(f"__{k}_{m}") for m in metrics] for k in "ab")
     for size in lengths:
         blocks = math.ceil(n / size)
         draws = spark.range(replications).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-        starts = draws.withColumn("start", F.pmod(F.xxhash64(F.lit(f"{seed}/{size}"), "rep", "b"), F.lit(n)))
-        places = starts.select("rep", "b", "start", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("o")).filter(F.col("b") * size + F.col("o") < n)
-        drawn = places.select("rep", ((F.col("start") + F.col("o")) % n).alias("__i")).join(F.broadcast(numbered), "__i")
-        means = drawn.groupBy("rep").agg(*[F.avg(m).alias(m) for m in metrics]).unpivot(["rep"], metrics, "metric", "value")
-        ends = means.groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("lower"), F.percentile("value", F.lit(0.975)).alias("upper"))
-        out = out.unionByName(ends.join(observed, "metric").select(F.lit(size).alias("block"), "metric", "estimate", "lower", "upper"))
+        starts = draws.withColumn("__a", F.pmod(F.xxhash64(F.lit(f"{seed}/{size}"), "rep", "b"), F.lit(n)))
+        ends = starts.withColumn("__b", F.col("__a") + F.least(F.lit(size), n - F.col("b") * size))
+        met = ends.join(F.broadcast(sums.select(F.col("__i").alias("__a"), *first)), "__a").join(F.broadcast(sums.select(F.col("__i").alias("__b"), *last)), "__b")
+        means = met.groupBy("rep").agg(*[(F.sum(F.col(f"__b_{m}") - F.col(f"__a_{m}")) / n).alias(m) for m in metrics]).unpivot(["rep"], metrics, "metric", "value")
+        bounds = means.groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("lower"), F.percentile("value", F.lit(0.975)).alias("upper"))
+        out = out.unionByName(bounds.join(observed, "metric").select(F.lit(size).alias("block"), "metric", "estimate", "lower", "upper"))
     return out
 
 

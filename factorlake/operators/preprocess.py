@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import correlation
 from .quantiles import Columns, between, neighbours, one_row, quantiles
 
 LEAST = 10
@@ -64,7 +65,7 @@ def pair_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, n, corr) of all pairs of columns, in one pass over the rows; rows with both values count."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     both = lambda a, b, c: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c))
-    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(both(a, b, a)).alias("n"), F.corr(both(a, b, a), both(a, b, b)).alias("corr")) for a, b in pairs]).alias("p"))
+    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(both(a, b, a)).alias("n"), correlation(both(a, b, a), both(a, b, b)).alias("corr")) for a, b in pairs]).alias("p"))
     return one.select(F.explode("p").alias("p")).select("p.*")
 
 

@@ -144,8 +144,9 @@ def normalize_facts(rows: DataFrame, calendar: DataFrame, fields: list[str]) ->
             F.when(F.col("available").isNull(), F.lit("NOT_YET_AVAILABLE")),
         )
     )
-    long = known.select("ts_code", "end_date", period_index("end_date").alias("period_index"), "scope", "basis", "disclosed", "available", reasons.alias("reasons"), *fields).unpivot(
-        ["ts_code", "end_date", "period_index", "scope", "basis", "disclosed", "available", "reasons"], fields, "field", "value"
+    kept = [c for c in ("company_type",) if c in rows.columns]
+    long = known.select("ts_code", "end_date", period_index("end_date").alias("period_index"), "scope", "basis", "disclosed", "available", reasons.alias("reasons"), *kept, *fields).unpivot(
+        ["ts_code", "end_date", "period_index", "scope", "basis", "disclosed", "available", "reasons", *kept], fields, "field", "value"
     )
     blank = F.when(F.col("value").isNull(), F.array(F.lit("VALUE_MISSING"))).otherwise(F.array().cast("array<string>"))
     return long.withColumn("reasons", F.concat("reasons", blank)).withColumn("basis", F.when(F.col("field").isin(POINTS), "point").otherwise(F.col("basis")))
@@ -190,9 +191,10 @@ def latest_period(facts: DataFrame, as_of: DataFrame, field: str, scope: str = "
     return latest_periods(facts, as_of, [field], scope, basis).filter("period_index IS NOT NULL").select("ts_code", "as_of", "period_index")
 
 
-def state_ratios(facts: DataFrame, as_of: DataFrame, states: dict[str, State] | None = None, scope: str = "consolidated", basis: str = "ytd") -> DataFrame:
+def state_ratios(facts: DataFrame, as_of: DataFrame, states: dict[str, State] | None = None, scope: str = "consolidated", basis: str = "ytd", company_types: tuple[str, ...] = ("1",)) -> DataFrame:
     """(ts_code, as_of, state, period_index, value, reasons): each state at its anchor's newest period; the value is null,
-    with reasons, if a leg is missing or the denominator is not above 0. `basis` is that of the flows' facts.
+    with reasons, if a leg is missing or the denominator is not above 0. `basis` is that of the flows' facts. Where facts
+    have a company_type, states are for companies of `company_types` alone: banks' and insurers' fields mean other things.
 
     Facts meet dates by symbol and period, as far back as some leg looks, so the work doesn't grow with the length of
     a symbol's history times its dates.
@@ -203,6 +205,9 @@ def state_ratios(facts: DataFrame, as_of: DataFrame, states: dict[str, State] |
     needed = sorted({(f, back) for _, legs in built.values() for f, back, _ in legs.needs})
     anchors = sorted({s.anchor for s in states.values()})
     used = facts.filter((F.col("scope") == scope) & F.col("basis").isin(basis, "point") & F.col("field").isin(sorted({f for f, _ in needed} | set(anchors))))
+    if "company_type" in used.columns:
+        foreign = ~F.coalesce(F.col("company_type").isin(*company_types), F.lit(False))
+        used = used.withColumn("reasons", F.when(foreign, F.array_union("reasons", F.array(F.lit("UNSUPPORTED_COMPANY_TYPE")))).otherwise(F.col("reasons")))
     at = latest_periods(used, as_of, anchors, scope, basis).withColumnRenamed("field", "anchor")
     wanted = at.filter("period_index IS NOT NULL").select("ts_code", "as_of", "period_index").distinct()
     backs = F.explode(F.array(*[F.lit(b) for b in sorted({b for _, b in needed})]))

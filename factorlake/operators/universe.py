@@ -27,11 +27,12 @@ class Selection:
 
 
 def build_pools(securities: DataFrame, attributes: list[str], least: int = 3) -> DataFrame:
-    """Pools by each attribute and each pair of attributes, of at least `least` symbols."""
+    """(kind, value, ts_code, n_symbols): the members of pools by each attribute and each pair of attributes, a row each, of
+    pools of at least `least` symbols. A pool of any size is rows like any other: its count alone meets in one place."""
     sets = [[a] for a in attributes] + [[a, b] for i, a in enumerate(attributes) for b in attributes[i + 1 :]]
     named = [F.struct(F.concat_ws("+", *[F.lit(a) for a in s]).alias("kind"), F.when(F.concat(*s).isNotNull(), F.concat_ws("|", *s)).alias("value")) for s in sets]
-    rows = securities.select("ts_code", F.explode(F.array(*named)).alias("p")).select("ts_code", "p.*").filter("value IS NOT NULL")
-    return rows.groupBy("kind", "value").agg(F.countDistinct("ts_code").alias("n_symbols"), F.array_join(F.array_sort(F.collect_set("ts_code")), ",").alias("symbols")).filter(F.col("n_symbols") >= least)
+    rows = securities.select("ts_code", F.explode(F.array(*named)).alias("p")).select("p.*", "ts_code").filter("value IS NOT NULL").distinct()
+    return rows.join(rows.groupBy("kind", "value").agg(F.count("*").alias("n_symbols")).filter(F.col("n_symbols") >= least), ["kind", "value"])
 
 
 def index_members_latest(members: DataFrame, start: str, end: str) -> DataFrame:

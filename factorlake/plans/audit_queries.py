@@ -187,8 +187,8 @@ register(
 )
 register(
     "catalog_search",
-    lambda s, d: audit.catalog_search(adapter.securities(s, d).select(F.concat_ws("/", "area", "ts_code").alias("name"), "list_status"), "an", "name", 20, list_status="L"),
-    f"WITH {S} SELECT area || '/' || ts_code AS name, list_status FROM securities WHERE list_status = 'L' AND contains(lower(area || '/' || ts_code), 'an') ORDER BY name LIMIT 20",
+    lambda s, d: audit.catalog_search(adapter.securities(s, d).select(F.concat_ws("/", "area", "ts_code").alias("name"), "list_status"), "_1/s", "name", 20, list_status="L"),
+    f"WITH {S} SELECT area || '/' || ts_code AS name, list_status FROM securities WHERE list_status = 'L' AND contains(lower(area || '/' || ts_code), '_1/s') ORDER BY name LIMIT 20",
 )
 
 

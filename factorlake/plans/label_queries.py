@@ -93,14 +93,28 @@ register(
     lambda s, d: select_round(labels.response_scale(grid_of(s, d), 5, 3, "association"), K, ("scale",)),
     f"WITH {P}, {_SCALE_SQL}, t AS (SELECT ts_code, trade_date, lag(scale, 3) OVER {W} AS scale FROM scaled) SELECT ts_code, trade_date, {rounded_sql('scale')} AS scale FROM t",
 )
-register(
-    "invalid_reason",
-    lambda s, d: labels.invalid_reason(
-        labels.response_scale(f.evaluate(grid_of(s, d), {"mom": f.returns(f.field("close"), 9)}), 5, 3).withColumns({"event": F.col("vol") > 60, "report": F.when(number() % 4 != 1, F.col("mom"))}), 12, ["mom", "report"], ["report"]
-    ).select(*K, "reason"),
-    f"""WITH {P}, {_SCALE_SQL}, t AS (SELECT *, close / lag(close, 9) OVER {W} - 1 AS mom FROM scaled) SELECT ts_code, trade_date, CASE WHEN session_index < 12 THEN 'warm_up' WHEN close IS NULL THEN 'no_origin_price' WHEN scale IS NULL THEN 'no_normalizer' WHEN mom IS NULL THEN 'no_factor' WHEN NOT coalesce(vol > 60, false) THEN 'no_event'
-      WHEN substr(ts_code, 2)::BIGINT % 4 = 1 THEN 'no_report' END AS reason FROM t""",
-)
+
+
+def _judged(s: SparkSession, d: str, mode: str, family: str) -> DataFrame:
+    made = f.evaluate(grid_of(s, d), {"mom": f.returns(f.field("close"), 9)})
+    rows = labels.response_scale(made, 5, 3, mode).withColumns({"event": F.when(F.col("vol") > 60, 1.0).otherwise(0.0), "report": F.when(number() % 4 != 1, F.col("mom"))})
+    return labels.invalid_reason(rows, ["mom", "report"], 3, mode, family, ["event"], ["report"]).select(*K, "reason")
+
+
+for _mode, _family, _start, _more in (
+    ("forecast", "event", "close", "WHEN NOT coalesce(vol > 60, false) THEN 'no_observed_event'"),
+    ("forecast", "ridge", "close", ""),
+    ("forecast", "fundamental", "close", "WHEN substr(ts_code, 2)::BIGINT % 4 = 1 OR mom IS NULL THEN 'no_observed_fundamental_predictor'"),
+    ("association", "ridge", "past", ""),
+):
+    _scale = "scale" if _mode == "forecast" else "past_scale"
+    register(
+        "invalid_reason" if _family == "event" else f"invalid_reason_{_mode}_{_family}",
+        lambda s, d, m=_mode, x=_family: _judged(s, d, m, x),
+        f"""WITH {P}, {_SCALE_SQL}, t AS (SELECT *, close / lag(close, 9) OVER {W} - 1 AS mom, lag(close, 3) OVER {W} AS past, lag(scale, 3) OVER {W} AS past_scale FROM scaled) SELECT ts_code, trade_date,
+        CASE {"WHEN session_index < 3 THEN 'response_window_warmup'" if _mode == "association" else ""} WHEN {_start} IS NULL THEN 'missing_origin_price' WHEN {_scale} IS NULL THEN 'response_normalizer_unavailable'
+        WHEN close IS NULL OR mom IS NULL THEN 'no_observed_factor_input' {_more} END AS reason FROM t""",
+    )
 for _k, _x in ((2, "lead"), (-2, "lag")):
     register(f"input_offset_{_x}", lambda s, d, k=_k: labels.input_offset(grid_of(s, d), "vol", k).select(*K, "vol"), f"WITH {P} SELECT ts_code, trade_date, {_x}(vol, 2) OVER {W} AS vol FROM grid")
 
@@ -198,8 +212,8 @@ register(
 )
 register(
     "fold_min_observations",
-    lambda s, d: preprocess.min_observations(samples(s, d).filter("session_index < 8"), COLS, 40),
-    f"WITH {SAMPLES_SQL}, t AS (SELECT count(mom) AS mom, count(vola) AS vola, count(surge) AS surge FROM samples WHERE session_index < 8) SELECT * FROM (UNPIVOT t ON mom, vola, surge INTO NAME feature VALUE n) WHERE n < 40",
+    lambda s, d: preprocess.min_observations(samples(s, d), COLS, 15_000),
+    f"WITH {SAMPLES_SQL}, t AS (SELECT count(mom) AS mom, count(vola) AS vola, count(surge) AS surge FROM samples) SELECT * FROM (UNPIVOT t ON mom, vola, surge INTO NAME feature VALUE n) WHERE n < 15000",
 )
 register(
     "fold_drop_correlated",

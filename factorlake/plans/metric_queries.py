@@ -104,12 +104,12 @@ register(
     m AS (SELECT sum(n)::BIGINT AS observations, count(*) AS dates, (avg(e2) + avg(o2)) / 2 AS mse, (avg(ea) + avg(oa)) / 2 AS mae, avg(eb) AS entry_bias, avg(ob) AS exit_bias, sqrt(avg(e2)) AS entry_rmse, sqrt(avg(o2)) AS exit_rmse, sqrt(avg(r2)) AS remaining_rmse, (avg(z1) + avg(z2)) / 2 AS no_change_mse FROM d),
     t AS (SELECT *, sqrt(mse) AS rmse, no_change_mse - mse AS improvement, 1 - mse / no_change_mse AS relative_improvement FROM m) SELECT observations, dates, {round_sql(_FM)} FROM t""",
 )
-_RM = ("mse", "rmse", "mae", "bias", "zero_mse", "r2", "improvement", "pearson")
+_RM = ("mse", "rmse", "mae", "bias", "zero_mse", "r2", "improvement", "relative_improvement", "pearson", "spearman")
 register(
     "return_metrics",
     lambda s, d: select_round(metrics.return_metrics(forecasts(s, d), "p_out", "a_out"), ("observations",), _RM),
-    f"""WITH {FORECASTS_SQL}, e AS (SELECT p_out AS p, a_out AS a, p_out - a_out AS e FROM forecasts WHERE p_out IS NOT NULL AND a_out IS NOT NULL), m AS (SELECT count(*) AS observations, avg(e*e) AS mse, avg(abs(e)) AS mae, avg(e) AS bias, avg(a*a) AS zero_mse, var_pop(a) AS v, corr(p, a) AS pearson FROM e),
-    t AS (SELECT *, sqrt(mse) AS rmse, 1 - mse / v AS r2, zero_mse - mse AS improvement FROM m) SELECT observations, {round_sql(_RM)} FROM t""",
+    f"""WITH {FORECASTS_SQL}, e AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra FROM (SELECT p_out AS p, a_out AS a, p_out - a_out AS e FROM forecasts WHERE p_out IS NOT NULL AND a_out IS NOT NULL)), m AS (SELECT count(*) AS observations, avg(e*e) AS mse, avg(abs(e)) AS mae, avg(e) AS bias, avg(a*a) AS zero_mse, var_pop(a) AS v, corr(p, a) AS pearson, corr(rp, ra) AS spearman FROM e),
+    t AS (SELECT *, sqrt(mse) AS rmse, 1 - mse / v AS r2, zero_mse - mse AS improvement, 1 - mse / zero_mse AS relative_improvement FROM m) SELECT observations, {round_sql(_RM)} FROM t""",
 )
 register(
     "training_r2",

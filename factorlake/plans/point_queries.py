@@ -60,10 +60,6 @@ def _facts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _knowledge(s: SparkSession, d: str) -> DataFrame:
-    if s.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return asof.knowledge_time(*_facts(s, d))
 
 
@@ -72,7 +68,7 @@ register(
     _knowledge,
     """WITH RECURSIVE own AS (SELECT c_custkey AS fact_id, greatest(DATE '2000-01-01' + (c_custkey * 7 % 97)::INT, DATE '2000-01-01' + (c_custkey * 11 % 97)::INT, CASE WHEN c_custkey % 3 <> 0 THEN DATE '2000-01-01' + (c_custkey * 13 % 97)::INT END) AS own FROM customer),
     reach AS (SELECT fact_id, fact_id AS input_id FROM own UNION SELECT r.fact_id, floor(r.input_id / 2)::BIGINT FROM reach r WHERE r.input_id > 1)
-    SELECT r.fact_id, max(o.own) AS known_at FROM reach r JOIN own o ON o.fact_id = r.input_id GROUP BY 1""",
+    SELECT r.fact_id, max(o.own) AS known_at, NULL::VARCHAR AS problem FROM reach r JOIN own o ON o.fact_id = r.input_id GROUP BY 1""",
 )
 
 
@@ -163,11 +159,11 @@ def _asked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return facts, statements.transitions(facts)
 
 
-_VALUES = """dates AS (SELECT DISTINCT ts_code, available AS as_of FROM facts WHERE available IS NOT NULL),
+_VALUES = """dates AS MATERIALIZED (SELECT DISTINCT ts_code, available AS as_of FROM facts WHERE available IS NOT NULL),
 newest AS (SELECT f.*, as_of FROM facts f JOIN dates USING (ts_code) WHERE available <= as_of AND scope = 'consolidated' QUALIFY rank() OVER (PARTITION BY ts_code, as_of, field, period_index, basis ORDER BY disclosed DESC) = 1),
-vals AS (SELECT ts_code, as_of, field, period_index, basis, CASE WHEN count(DISTINCT value) = 1 THEN max(value) END AS value FROM newest GROUP BY ALL),
-latest AS (SELECT ts_code, as_of, field, max(period_index) AS period_index FROM vals GROUP BY ALL)"""
-_QUARTERS = """quarters AS (SELECT c.ts_code, c.as_of, c.field, c.period_index, CASE WHEN c.field = 'capex' AND x < 0 THEN NULL ELSE x END AS quarter FROM (
+vals AS MATERIALIZED (SELECT ts_code, as_of, field, period_index, basis, CASE WHEN count(DISTINCT value) = 1 THEN max(value) END AS value FROM newest GROUP BY ALL),
+latest AS MATERIALIZED (SELECT ts_code, as_of, field, max(period_index) AS period_index FROM vals GROUP BY ALL)"""
+_QUARTERS = """quarters AS MATERIALIZED (SELECT c.ts_code, c.as_of, c.field, c.period_index, CASE WHEN c.field = 'capex' AND x < 0 THEN NULL ELSE x END AS quarter FROM (
   SELECT v.*, CASE WHEN v.period_index % 4 = 0 THEN v.value ELSE v.value - b.value END AS x FROM vals v LEFT JOIN vals b ON b.ts_code = v.ts_code AND b.as_of = v.as_of AND b.field = v.field AND b.period_index = v.period_index - 1 AND b.basis = 'ytd' WHERE v.basis = 'ytd') c),
 ttms AS (SELECT *, CASE WHEN count(quarter) OVER w = 4 THEN sum(quarter) OVER w END AS ttm FROM quarters WINDOW w AS (PARTITION BY ts_code, as_of, field ORDER BY period_index RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)),
 averages AS (SELECT a.ts_code, a.as_of, a.field, a.period_index, a.value AS point, b.value AS year_before, (a.value + b.value) / 2.0 AS average FROM vals a LEFT JOIN vals b ON a.ts_code = b.ts_code AND a.as_of = b.as_of AND a.field = b.field AND b.period_index = a.period_index - 4 AND b.basis = 'point' WHERE a.basis = 'point')"""
@@ -199,6 +195,7 @@ def _legs_sql(source: str, column: str, kind: str, digits: int = 4) -> str:
 
 register("quarter_value", _legs(statements.QUARTERS, "quarter"), _legs_sql("quarters", "quarter", statements.FLOWS))
 register("ttm", _legs(statements.TTMS, "ttm"), _legs_sql("ttms", "ttm", statements.FLOWS))
+register("point_value", _legs({f: statements.State(f, lambda x, f=f: x.point(f)) for f in statements.POINTS}, "point", 3), _legs_sql("averages", "point", statements.POINTS, 3))
 register("average_assets", _legs(statements.AVERAGES, "average", 3), _legs_sql("averages", "average", statements.POINTS, 3))
 
 _FLOW_CELLS = ", ".join(f"max(ttm) FILTER (field = '{f}')::DOUBLE AS t_{f}" for f in statements.FLOWS)
@@ -249,6 +246,20 @@ for _name in statements.STATES:
     )
 
 
+def _typed_ratios(s: SparkSession, d: str) -> DataFrame:
+    facts, asked = _asked(s, d)
+    typed = facts.withColumn("company_type", F.when(number() % 5 == 3, "2").otherwise("1"))
+    return statements.state_ratios(typed, asked, {n: statements.STATES[n] for n in ("operating_margin", "liability_asset_share")})
+
+
+register(
+    "state_company_types",
+    lambda s, d: _typed_ratios(s, d).select("ts_code", "as_of", "state", "period_index", rounded("value").alias("value"), F.array_contains("reasons", "UNSUPPORTED_COMPANY_TYPE").alias("unsupported")),
+    f"""{_STATES}, made AS ({_state_sql("operating_margin")} UNION ALL {_state_sql("liability_asset_share")}), t AS (SELECT *, substr(ts_code, 2)::BIGINT % 5 = 3 AND period_index IS NOT NULL AS unsupported FROM made)
+    SELECT ts_code, as_of, state, period_index, CASE WHEN NOT unsupported THEN {rounded_sql('value')} END AS value, unsupported FROM t""",
+)
+
+
 def _intervals(s: SparkSession, d: str) -> DataFrame:
     return statements.state_intervals(_ratios(s, d), "2002-12-31")
 
@@ -267,7 +278,7 @@ _PAIRS = [["industry"], ["exchange"], ["list_status"], ["industry", "exchange"],
 register(
     "build_pools",
     lambda s, d: universe.build_pools(adapter.securities(s, d), ["industry", "exchange", "list_status"]),
-    f"WITH {S}, t AS (" + " UNION ALL ".join(f"SELECT '{'+'.join(p)}' AS kind, concat_ws('|', {', '.join(p)}) AS value, ts_code FROM securities" for p in _PAIRS) + ") SELECT kind, value, count(DISTINCT ts_code) AS n_symbols, string_agg(ts_code, ',' ORDER BY ts_code) AS symbols FROM t GROUP BY ALL HAVING count(DISTINCT ts_code) >= 3",
+    f"WITH {S}, t AS (" + " UNION ALL ".join(f"SELECT '{'+'.join(p)}' AS kind, concat_ws('|', {', '.join(p)}) AS value, ts_code FROM securities" for p in _PAIRS) + ") SELECT DISTINCT kind, value, ts_code, count(*) OVER (PARTITION BY kind, value) AS n_symbols FROM t QUALIFY n_symbols >= 3",
 )
 
 

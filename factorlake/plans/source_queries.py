@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import factors as f
 from ..operators import context, grid
 from ..sources import adapter, quality
+from ..sources.shared import shared_folder
 from .factor_queries import grid_of
 from .registry import register, rounded, rounded_sql
 
@@ -163,13 +163,13 @@ register("calendar_previous_check", lambda s, d: quality.calendar_previous_check
 
 def _two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     bars = adapter.panel(s, d)
-    return bars.filter(number() % 10 == 0), bars.filter(number() % 10 == 1)
+    return bars.filter("vol > 280"), bars.filter("vol < 2")
 
 
 register(
     "calendars_agree",
     lambda s, d: quality.calendars_agree(*_two(s, d)),
-    f"""WITH {P}, a AS (SELECT DISTINCT trade_date FROM panel WHERE substr(ts_code, 2)::BIGINT % 10 = 0), b AS (SELECT DISTINCT trade_date FROM panel WHERE substr(ts_code, 2)::BIGINT % 10 = 1)
+    f"""WITH {P}, a AS (SELECT DISTINCT trade_date FROM panel WHERE vol > 280), b AS (SELECT DISTINCT trade_date FROM panel WHERE vol < 2)
     SELECT trade_date, 'first' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT trade_date, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
 )
 register(
@@ -208,9 +208,9 @@ _STATES = f"""{P}, states AS (SELECT ts_code, trade_date, 'growth' AS state, vol
   UNION ALL SELECT ts_code, trade_date, 'share', vol + 1 FROM panel WHERE substr(ts_code, 2)::BIGINT % 6 = 0)"""
 register(
     "compose_states",
-    lambda s, d: quality.compose_states(adapter.panel(s, d).select(*_KEYS), _states(s, d)),
+    lambda s, d: quality.compose_states(adapter.panel(s, d).select(*_KEYS), _states(s, d).distinct(), ["growth", "share"]),
     f"""WITH {_STATES} SELECT ts_code, trade_date, CASE WHEN count(*) FILTER (state = 'growth') = 1 THEN max(value) FILTER (state = 'growth') END AS growth, CASE WHEN count(*) FILTER (state = 'share') = 1 THEN max(value) FILTER (state = 'share') END AS share
-    FROM panel JOIN states USING (ts_code, trade_date) GROUP BY ALL""",
+    FROM panel JOIN (SELECT DISTINCT * FROM states) USING (ts_code, trade_date) GROUP BY ALL""",
 )
 register("claimed_twice", lambda s, d: quality.claimed_twice(_states(s, d)), f"WITH {_STATES} SELECT ts_code, trade_date, state, count(*) AS n_rows FROM states GROUP BY ALL HAVING count(*) > 1")
 
@@ -230,10 +230,9 @@ register(
 
 
 def _collections(s: SparkSession, d: str) -> DataFrame:
-    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     bars = adapter.panel(s, d)
     made = {"calendar": adapter.calendar(bars), "panel": bars, "reports": adapter.reports(s, d)}
-    return quality.write_collections(made, f"{folder.rstrip('/')}/collections-{uuid.uuid4().hex}", partition="end_date")
+    return quality.write_collections(made, f"{shared_folder(s)}/collections-{uuid.uuid4().hex}", partition="end_date")
 
 
 register(

@@ -53,13 +53,14 @@ def check_ohlc_envelope(df: DataFrame, tolerance: float = 1e-8) -> DataFrame:
 
 
 def check_numeric_type(df: DataFrame, core: list[str], external: list[str]) -> DataFrame:
-    """From text columns: cells that aren't numbers. Core fields may be numeric text; external ones may not be
-    text at all (quoted), and neither may be booleans."""
+    """Cells that aren't numbers. Core fields may be numeric text; external ones may not be text at all (quoted), and
+    neither may be booleans, be it as text or as a column of them."""
+    boolean = lambda c: F.lit(df.schema[c].dataType.simpleString() == "boolean")
     checks = []
     for c in core:
-        checks.append(F.when(F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` AS DOUBLE)").isNull(), F.lit(c)))
+        checks.append(F.when(F.col(c).isNotNull() & (boolean(c) | F.expr(f"try_cast(`{c}` AS DOUBLE)").isNull()), F.lit(c)))
     for c in external:
-        checks.append(F.when(F.col(c).isNotNull() & (F.expr(f"try_cast(`{c}` AS DOUBLE)").isNull() | F.col(c).startswith('"')), F.lit(c)))
+        checks.append(F.when(F.col(c).isNotNull() & (boolean(c) | F.expr(f"try_cast(`{c}` AS DOUBLE)").isNull() | F.col(c).cast("string").startswith('"')), F.lit(c)))
     return df.withColumn("bad_fields", F.array_join(F.array_compact(F.array(*checks)), ",")).filter("bad_fields <> ''")
 
 
@@ -147,11 +148,16 @@ def scope_violations(bars: DataFrame, symbols: DataFrame) -> DataFrame:
     return symbols.select("ts_code").distinct().join(bars, "ts_code", "left_anti")
 
 
-def compose_states(bars: DataFrame, states: DataFrame) -> DataFrame:
-    """Long state rows (ts_code, trade_date, state, value) as columns of market rows; a state that a symbol and
-    date claim twice is null. The states' names are read first: they are a catalogue, not data."""
-    names = [r[0] for r in states.select("state").distinct().orderBy("state").collect()]
-    wide = states.groupBy(*KEYS).agg(*[F.when(F.count(F.when(F.col("state") == s, 1)) == 1, F.max(F.when(F.col("state") == s, F.col("value")))).alias(s) for s in names])
+def compose_states(bars: DataFrame, states: DataFrame, names: list[str]) -> DataFrame:
+    """Long state rows (ts_code, trade_date, state, value) as columns `names` of market rows. A state that a symbol and date
+    claim twice is an error (claimed_twice() lists them)."""
+
+    def one(name: str) -> Column:
+        own = F.col("state") == name
+        twice = F.concat(F.lit(f"claimed twice: {name} "), F.max("ts_code"), F.lit(" "), F.max("trade_date").cast("string"))
+        return F.when(F.count_if(own) > 1, F.raise_error(twice).cast("double")).otherwise(F.max(F.when(own, F.col("value")))).alias(name)
+
+    wide = states.filter(F.col("state").isin(names)).groupBy(*KEYS).agg(*[one(n) for n in names])
     return bars.join(wide, KEYS, "left")
 
 
