@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import correlation
 from ..sources.shared import mean_ranks
-
 from .quantiles import quantiles
 
 TINY = 1e-12

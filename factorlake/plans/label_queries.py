@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import factors as f
 from ..operators import labels, preprocess
 from ..sources import adapter
+from ..sources.shared import cut
 from .factor_queries import grid_of
 from .registry import register, rounded, rounded_sql
 from .source_queries import number, round_sql, select_round
@@ -183,12 +184,17 @@ register(
 COLS = list(FEATURES)
 
 
+TRAIN = "trade_date < DATE '1999-01-01'"
+
+
 def train(s: SparkSession, d: str) -> DataFrame:
-    return samples(s, d).filter("trade_date < DATE '1999-01-01'")
+    return samples(s, d).filter(TRAIN)
 
 
 def _applied(s: SparkSession, d: str, fit, apply) -> DataFrame:
-    return select_round(apply(samples(s, d), fit(train(s, d), COLS), COLS), K, tuple(COLS), 5)
+    """Rows are made once: they are fitted and then transformed."""
+    rows = cut(samples(s, d).select(*K, *COLS))
+    return select_round(apply(rows, fit(rows.filter(TRAIN), COLS), COLS), K, tuple(COLS), 5)
 
 
 def _stats(*parts: str) -> str:
@@ -224,7 +230,7 @@ register(
 _CLIP = "CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, {c}_lo), {c}_hi) END"
 register(
     "fold_transform",
-    lambda s, d: select_round(preprocess.apply_fold_transform(samples(s, d), preprocess.fit_fold_transform(train(s, d), COLS), COLS), K, tuple(COLS), 5),
+    lambda s, d: _applied(s, d, preprocess.fit_fold_transform, preprocess.apply_fold_transform),
     f"""WITH {SAMPLES_SQL}, train AS (SELECT * FROM samples WHERE trade_date < DATE '1999-01-01'), b AS (SELECT {', '.join(_LOHI)} FROM train), c1 AS (SELECT {', '.join(f"{_CLIP.format(c=c)} AS {c}" for c in COLS)} FROM train, b),
     m AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS {c}_med' for c in COLS)} FROM c1), f AS (SELECT {', '.join(f'coalesce({c}, {c}_med) AS {c}' for c in COLS)} FROM c1, m), stats AS (SELECT {', '.join(_MIDS)} FROM f)
     SELECT ts_code, trade_date, {_out('(coalesce(' + _CLIP + ', {c}_med) - {c}_mid) / {c}_iqr')} FROM samples, b, m, stats""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boosting, labels, linear, models, preprocess, validation
 from ..operators.models import ModelSpec
+from ..sources.shared import cut
 from .label_queries import COLS, SAMPLES_SQL, samples, sessions
 from .metric_queries import FORECASTS_SQL, forecasts
 from .registry import register, rounded, rounded_sql
@@ -23,8 +24,13 @@ def tame(s: SparkSession, d: str) -> DataFrame:
     return samples(s, d).withColumns(clipped)
 
 
+def kept(s: SparkSession, d: str) -> DataFrame:
+    """The columns that models take, made once for all that reads them."""
+    return cut(tame(s, d).select(*K, "session_index", "close", "label_end", *COLS, "label"))
+
+
 def split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = tame(s, d)
+    rows = kept(s, d)
     return rows.filter((F.col("trade_date") < F.lit(CUT).cast("date")) & (F.col("label_end") < F.lit(CUT).cast("date"))), rows.filter(F.col("trade_date") >= F.lit(CUT).cast("date"))
 
 
@@ -147,12 +153,12 @@ register(
 )
 _SPECS = [ModelSpec("no_change"), ModelSpec("historical_drift"), ModelSpec("ridge", {"alpha": 10.0}), ModelSpec("per_target_ridge", {"alpha": 10.0}), ModelSpec("elastic_net", {"alpha": 1e-3, "l1_ratio": 0.5})]
 _LINEAR = [*_SPECS, ModelSpec("ridge", {"alpha": 1.0}), *[ModelSpec(k, p) for k, p in (("polynomial_ridge", {"alpha": 10.0}), ("polynomial_elastic_net", _NET), ("transformed_ridge", {"alpha": 10.0}), ("factorwise_basis", _NET))]]
-register("cross_validate", lambda s, d: models.cross_validate(tame(s, d), COLS, "label", [*_LINEAR, ModelSpec("gradient_boosting", {"rounds": 4})], models.folds_of(folds(s, d))))
-register("nested_selection", lambda s, d: models.nested_selection(tame(s, d), COLS, "label", _LINEAR, models.folds_of(folds(s, d))))
+register("cross_validate", lambda s, d: models.cross_validate(kept(s, d), COLS, "label", [*_LINEAR, ModelSpec("gradient_boosting", {"rounds": 4})], models.folds_of(folds(s, d))))
+register("nested_selection", lambda s, d: models.nested_selection(kept(s, d), COLS, "label", _LINEAR, models.folds_of(folds(s, d))))
 _THREE = [ModelSpec("no_change"), ModelSpec("historical_drift"), ModelSpec("ridge", {"alpha": 10.0})]
 register(
     "cross_validate_linear",
-    lambda s, d: select_round(models.cross_validate(tame(s, d), _TWO, "label", _THREE, models.folds_of(folds(s, d))), ("id", "fold", "status"), ("score",), 5),
+    lambda s, d: select_round(models.cross_validate(kept(s, d), _TWO, "label", _THREE, models.folds_of(folds(s, d))), ("id", "fold", "status"), ("score",), 5),
     f"""WITH {SAMPLES_SQL}, {FOLDS_SQL}, tame AS (SELECT * REPLACE ({', '.join(f'CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, -2.0), 2.0) END AS {c}' for c in [*COLS, 'label'])}) FROM samples),
     whole AS (SELECT * FROM tame WHERE mom IS NOT NULL AND surge IS NOT NULL AND label IS NOT NULL), train AS (SELECT w.*, fold FROM whole w JOIN folds ON label_end < test_start), {_SOLVE.format(g="fold,", a="10", by="GROUP BY fold")},
     told AS (SELECT fold, trade_date, label, w0 + w1 * mom + w2 * surge AS ridge, m0 AS drift FROM whole JOIN folds f ON trade_date BETWEEN test_start AND test_end JOIN fits USING (fold)),
@@ -182,7 +188,7 @@ register(
     f"WITH {TRIALS_SQL} SELECT id, complexity, 'complete' AS status, place, {rounded_sql('score', 4)} AS score FROM trials ORDER BY trials.score DESC, place LIMIT 1",
 )
 register("refit_dates", lambda s, d: validation.refit_dates(sessions(s, d), CUT, 7), f"WITH {_P}, t AS (SELECT trade_date, floor((row_number() OVER (ORDER BY trade_date) - 1) / 7) AS b FROM calendar WHERE trade_date >= DATE '{CUT}') SELECT trade_date, min(trade_date) OVER (PARTITION BY b) AS refit_date FROM t")
-register("sequential_refit_forecast", lambda s, d: models.sequential_refit_forecast(tame(s, d), COLS, "label", validation.refit_dates(sessions(s, d), CUT, 13), 1.0, 60).select(*K, "refit_date", "status", "prediction"))
+register("sequential_refit_forecast", lambda s, d: models.sequential_refit_forecast(kept(s, d), COLS, "label", validation.refit_dates(sessions(s, d), CUT, 13), 1.0, 60).select(*K, "refit_date", "status", "prediction"))
 _FR = ("expected_entry", "expected_exit", "realized_entry", "realized_exit", "edge", "expected_change", "bps", "error")
 _ROWS = f"""{FORECASTS_SQL}, rows_ AS (SELECT f.*, close AS state, abs(close) AS scale FROM forecasts f JOIN grid USING (ts_code, trade_date)), levels AS (SELECT *, state + scale * p_in AS expected_entry, state + scale * p_out AS expected_exit, state + scale * a_in AS realized_entry, state + scale * a_out AS realized_exit FROM rows_),
 forecast_rows AS (SELECT *, sha256(trade_date::VARCHAR || '|' || ts_code || '|fit') AS id, expected_exit - expected_entry AS edge, p_out AS expected_change, (p_out - p_in) * 10000 AS bps, expected_exit - realized_exit AS error,
