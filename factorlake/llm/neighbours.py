@@ -130,6 +130,13 @@ def search_layer(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, en
     return np.take_along_axis(best, order, 1), np.take_along_axis(like, order, 1)
 
 
+def single(vectors: np.ndarray, each: bool = False) -> np.ndarray:
+    """Single precision after scaling by a power of two, one for all vectors or one for each, that puts the largest
+    component at 2**55: finite doubles of any size neither overflow nor vanish in products, and what is largest stays so."""
+    most = np.abs(vectors).max(axis=1, keepdims=True, initial=0.0) if each else np.abs(vectors).max(initial=0.0)
+    return np.ldexp(vectors, 55 - np.frexp(most)[1]).astype(np.float32)
+
+
 def search_graph(vectors: np.ndarray, flat: np.ndarray, sizes: list[int], queries: np.ndarray, ef: int = EF) -> np.ndarray:
     """Places of the best found for each query, best first, -1 for none."""
     starts = np.cumsum([0, *[s * LINKS * (2 if i == 0 else 1) for i, s in enumerate(sizes)]])
@@ -150,7 +157,7 @@ def index_vectors(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFram
 
     def build(table: pa.Table) -> pa.Table:
         numbers = table.column("number").to_numpy()
-        vectors = np.array(table.column("vec").to_pylist(), np.float64).astype(np.float32)
+        vectors = single(np.array(table.column("vec").to_pylist(), np.float64))
         order = np.argsort(numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
         numbers, vectors = numbers[order], vectors[order]
         links, sizes = build_graph(vectors)
@@ -176,7 +183,7 @@ def answers(index: DataFrame, blocks: DataFrame, k: int, ef: int = EF) -> DataFr
                 row = {name: batch.column(c)[i].as_py() for c, name in enumerate(batch.schema.names)}
                 vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
                 numbers = np.array(row["numbers"], np.int64)
-                queries = np.array(row["queries"], np.float64).astype(np.float32).reshape(-1, row["dim"])
+                queries = single(np.array(row["queries"], np.float64).reshape(-1, row["dim"]), each=True)
                 found = search_graph(vectors, np.frombuffer(row["links"], "<i4"), row["sizes"], queries, ef)[:, :k]
                 asked = np.repeat(np.array(row["asked"], np.int64), found.shape[1])
                 keep = found.ravel() >= 0
@@ -193,14 +200,15 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", ef: int = EF) -> DataFrame:
+def nearest(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", ef: int = EF, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose key `every` divides, the `k` nearest found of all
     other rows, by inner product in double precision, ties to the smaller key.
 
     Equal vectors are one place in a graph, and of their rows the k + 1 smallest keys are kept for answers: no
     query can have more of them among its k, itself excepted. Vectors that are null, zero or hold null or
     non-finite components, and rows with a null key, take no part; vectors of other lengths are not compared.
-    Rows that share a key and a vector count once. An empty table gives an empty result.
+    Finite components may be of any size: graphs are searched in scaled single precision, scores are of the original
+    vectors. Rows that share a key and a vector count once. An empty table gives an empty result.
     """
     doubles = F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = df.select(F.col(key).cast("long").alias("id"), doubles.alias("vec")).filter(F.col("id").isNotNull() & usable("vec"))
@@ -210,7 +218,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", ve
     first = some.withColumn("n", F.row_number().over(Window.partitionBy("number", "salt").orderBy("id"))).filter(F.col("n") <= k + 1)
     members = cut(first.withColumn("n", F.row_number().over(Window.partitionBy("number").orderBy("id"))).filter(F.col("n") <= k + 1).select("number", "id"))
     distinct = cut(numbered.groupBy("number").agg(F.any_value("vec").alias("vec")).withColumn("dim", F.size("vec")))
-    index = cut(index_vectors(distinct))
+    index = cut(index_vectors(distinct, shard_rows))
     asking = numbered.filter(F.col("id") % every == 0).select("id", "number", "vec").dropDuplicates(["id", "number"])
     asked = cut(asking.groupBy("number").agg(F.any_value("vec").alias("vec")).withColumn("dim", F.size("vec")))
     n_blocks = max(1, -(-asked.count() // BLOCK_ROWS))

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factorlake.llm import neighbours, pages, queries
@@ -159,12 +160,32 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.nearest(df.filter("false")).count() == 0
 
 
-def test_many_shards_reach_recall(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "SHARD_ROWS", 400)
+@pytest.mark.parametrize("size", [1e39, 1e-39, 1e150])
+def test_components_of_any_size(spark, size):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) * size for _ in range(6)]) for i in range(80)]
+    want = exact(rows, 3, 20)
+    got = {}
+    for r in rows_of(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3).orderBy("query_id", "rank")):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in near] for q, near in want.items()}
+
+
+def test_shards_of_real_vectors_are_merged(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    want = exact(rows, 20, 20)
+    shards = neighbours.index_vectors(df.select(F.xxhash64("embedding").alias("number"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), F.size("embedding").alias("dim")).dropDuplicates(["number"]), 60).count()
+    got = rows_of(neighbours.nearest(df, shard_rows=60))
+    hits = sum(r["vec_id"] in {i for i, _ in want[r["query_id"]]} for r in got)
+    assert shards > 3 and len(got) == sum(map(len, want.values())) and hits >= 0.95 * len(got)
+
+
+def test_many_shards_reach_recall(spark):
     made = spark.range(3000).selectExpr("id AS vec_id", "transform(sequence(0, 31), x -> cast(sin(cast(xxhash64(id, x) AS double)) AS float)) AS embedding")
     rows = [(r["vec_id"], r["embedding"]) for r in made.collect()]
     want = exact(rows, 20, 20)
-    hits = sum((r["vec_id"], True) in {(i, True) for i, _ in want[r["query_id"]]} for r in rows_of(neighbours.nearest(made)))
+    hits = sum((r["vec_id"], True) in {(i, True) for i, _ in want[r["query_id"]]} for r in rows_of(neighbours.nearest(made, shard_rows=400)))
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
