@@ -133,8 +133,8 @@ register("availability_class", lambda s, d: _inputs(s, d).select(*K, "availabili
 register("availability_counts", lambda s, d: _inputs(s, d).groupBy("availability_class").agg(F.count("*").alias("n_rows")), f"WITH {_INPUTS} SELECT {CLASS_SQL} AS availability_class, count(*) AS n_rows FROM u GROUP BY 1")
 register(
     "pair_valuation",
-    lambda s, d: select_round(labels.pair_valuation(grid_of(s, d), adapter.targets(s, d), sessions(s, d).filter("session_index % 5 = 0").unionByName(sessions(s, d).filter("session_index % 5 = 0").withColumn("trade_date", F.date_add("trade_date", 1)))), (*_TK, "status"), ("value",)),
-    f"""WITH {P}, {_SIZED}, dates AS (SELECT trade_date FROM calendar WHERE session_index % 5 = 0 UNION ALL SELECT trade_date + 1 FROM calendar WHERE session_index % 5 = 0), v AS (SELECT target_id, trade_date, count(close) AS n, max(n_legs) AS n_legs, sum(quantity * close) AS v FROM grid JOIN sized USING (ts_code) GROUP BY ALL),
+    lambda s, d: select_round(labels.pair_valuation(grid_of(s, d), adapter.targets(s, d), sessions(s, d).unionByName(sessions(s, d).withColumn("trade_date", F.date_add("trade_date", 1))).select("trade_date").distinct()), (*_TK, "status"), ("value",)),
+    f"""WITH {P}, {_SIZED}, dates AS (SELECT trade_date FROM calendar UNION SELECT trade_date + 1 FROM calendar), v AS (SELECT target_id, trade_date, count(close) AS n, max(n_legs) AS n_legs, sum(quantity * close) AS v FROM grid JOIN sized USING (ts_code) GROUP BY ALL),
     t AS (SELECT i.target_id, d.trade_date, CASE WHEN n IS NULL THEN 'outside_calendar' WHEN n < n_legs THEN 'missing_legs' ELSE 'complete' END AS status, v FROM (SELECT DISTINCT target_id FROM targets) i CROSS JOIN dates d LEFT JOIN v ON v.target_id = i.target_id AND v.trade_date = d.trade_date) SELECT target_id, trade_date, status, {rounded_sql("CASE WHEN status = 'complete' THEN v END")} AS value FROM t""",
 )
 register("label_is_mature", lambda s, d: labels.label_is_mature(samples(s, d), "1999-01-01").select(*K, "mature"), f"WITH {SAMPLES_SQL} SELECT ts_code, trade_date, coalesce(trade_date < DATE '1999-01-01' AND label_end < DATE '1999-01-01' AND label IS NOT NULL, false) AS mature FROM samples")
