@@ -103,6 +103,31 @@ def test_host_boilerplate_goes_where_markup_does_not_say(spark, monkeypatch, sha
     assert pages.extract_text(df.filter("false")).count() == 0
 
 
+def test_hosts_decide_on_doubtful_containers(spark):
+    """A class with a word of furniture among others doesn't take an article's text: what pages of the host repeat there goes."""
+    rows, want = [], {}
+    for i in range(5):
+        own = "".join(f'<{t}><p>Own {c} number {i}</p><p>Always the same few words</p></{t[:3] if t.startswith("div") else "section"}>' for t, c in (('div class="share-price"', "price"), ('div class="x search-results-study"', "study"), ('section class="related-work"', "work")))
+        rows.append((i, "http://d.example/x", f'<article><p>Lead.</p>{own}<div class="comment-list"><p>first {i}!</p></div></article>'))
+        want[i] = f"Lead.\n\nOwn price number {i}\n\nOwn study number {i}\n\nOwn work number {i}"
+    rows += [(i, "http://e.example/y", f'<article><div class="share-price"><p>One text, {i % 2}</p></div></article>') for i in (10, 11)]  # two pages repeat nothing
+    want |= {10: "One text, 0", 11: "One text, 1"}
+    rows += [(i, f"http://f.example/{i}", f'<article><div class="share-price"><p>All the same</p></div></article><p>{i}</p>') for i in (20, 21, 22)]  # nothing else is left
+    want |= {i: "All the same" for i in (20, 21, 22)}
+    got = {r["key"]: r["text"] for r in rows_of(pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert got == want
+
+
+@pytest.mark.parametrize("menu", [16, 5])
+def test_short_pages_lose_their_hosts_menu(spark, menu):
+    """Pages with few words of their own, and a menu of no more than a run's words."""
+    words = " ".join(f"menu{j}" for j in range(menu))
+    forms = {"s": f"<div>{words}</div><div><p>A story of %d</p></div>", "t": f"<body><p>{words}</p><p>A story of %d</p></body>"}
+    rows = [(i + 100 * k, f"http://{h}.example/{i}", form % i) for k, (h, form) in enumerate(forms.items()) for i in range(6)]
+    got = {r["key"]: r["text"] for r in rows_of(pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert got == {i + 100 * k: f"A story of {i}" for k in range(2) for i in range(6)}
+
+
 def plain_article(page):
     """The article of the table's simple pages, read with a few expressions."""
     found = re.search(r"<article>(.*?)</article>", page or "", re.S)
