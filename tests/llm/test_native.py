@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from factorlake.llm import mixing, queries, secrets, sharding
@@ -35,6 +36,21 @@ def test_shards_split_a_hot_text(spark):
     assert len(sizes) == 6 and max(sizes) - min(sizes) < 0.01 * sum(sizes) / 6
 
 
+@pytest.mark.parametrize("pieces", [1, 3])
+def test_shards_split_rows_that_repeat(spark, pieces):
+    """Rows equal in text and doc_id, alone and as most of a table, go to all shards, each row once."""
+    alone = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same").alias("text"), F.col("id").alias("n"))
+    others = spark.range(3000, 4500).select((F.col("id") % 200).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 300).alias("text"), F.col("id").alias("n"))
+    twice = alone.withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "n": F.col("n") + 10000})
+    for df in (alone, alone.union(others).union(twice)):
+        got = rows_of(sharding.shard_rows(df, shards=6, pieces=pieces))
+        assert sorted(r["n"] for r in got) == sorted(r["n"] for r in rows_of(df))
+        for s in range(6):
+            assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+        sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(6)]
+        assert max(sizes) - min(sizes) <= 0.001 * sum(sizes) + 80
+
+
 def test_shards_of_odd_rows(edge, empty):
     got = rows_of(sharding.shard_rows(edge, shards=4))
     assert len(got) == edge.count() and {r["key"] for r in got} == {-1}
