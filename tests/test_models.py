@@ -314,3 +314,48 @@ def test_stored_trees_send_missing_values_their_way(spark):
     for r in boosting.score_trees(spark.createDataFrame(rows, "a double, b double"), model, ["a", "b"]).collect():
         leaf = 7.0 if not lacks(r["a"]) and r["a"] > 0.5 else 1.0 if not lacks(r["b"]) and r["b"] <= -1 else 2.0
         assert r["prediction"] == 10 + 2 * leaf
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """(frame, x, y): a linear response of two columns, with every ninth row far off."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 2)) * [1.0, 4.0] + [0.5, -2.0]
+    y = x @ [1.5, -0.25] + 0.7 + rng.standard_normal(300) * 0.2
+    y[::9] += rng.uniform(5, 30, len(y[::9]))
+    rows = [("S", DAY0 + dt.timedelta(days=i), *map(float, x[i]), float(y[i])) for i in range(300)]
+    return spark.createDataFrame(rows, "ts_code string, trade_date date, a double, b double, y double"), x, y
+
+
+def test_huber_is_the_minimum_of_its_loss(noisy):
+    """Against weights and a scale found in turns: squares within 1.35 scales, lines beyond."""
+    df, x, y = noisy
+    made = models.fit_predict(df, df, ["a", "b"], "y", models.ModelSpec("huber", {}))
+    got = np.array([r["prediction"] for r in made.orderBy("trade_date").collect()])
+    design, most = np.column_stack((x, np.ones(len(y)))), 1.35
+    w = np.linalg.lstsq(design, y, rcond=None)[0]
+    for _ in range(300):
+        off = np.abs(y - design @ w)
+        low, high = 1e-9, 1e3
+        for _ in range(60):  # the loss's slope in the scale ascends with it
+            scale = (low + high) / 2
+            slope = np.where(off <= most * scale, 1 - (off / scale) ** 2, 1 - most**2).sum()
+            low, high = (low, scale) if slope > 0 else (scale, high)
+        weight = np.minimum(1.0, most * scale / np.maximum(off, 1e-300))
+        w = np.linalg.solve(design.T @ (design * weight[:, None]), design.T @ (weight * y))
+    assert np.abs(got - design @ w).max() < 5e-3
+    plain = design @ np.linalg.lstsq(design, y, rcond=None)[0]
+    assert np.abs(got - plain).max() > 0.5
+
+
+def test_bayesian_ridge_stands_at_its_fixed_point(noisy):
+    """Noise and weight precision from the posterior of the centred rows, with its whole covariance inverted."""
+    df, x, y = noisy
+    fit = models.bayesian_ridge_fit(df, ["a", "b"], "y", tolerance=1e-12).first()
+    xc, yc, w = x - x.mean(axis=0), y - y.mean(), np.array(fit["coefficients"])
+    spread = np.linalg.inv(fit["lambda"] * np.eye(2) + fit["alpha"] * xc.T @ xc)
+    assert np.allclose(w, fit["alpha"] * spread @ xc.T @ yc, rtol=1e-6)
+    free = 2 - fit["lambda"] * np.trace(spread)
+    assert np.isclose(fit["lambda"], (free + 2e-6) / (w @ w + 2e-6), rtol=1e-6)
+    assert np.isclose(fit["alpha"], (len(y) - free + 2e-6) / (((yc - xc @ w) ** 2).sum() + 2e-6), rtol=1e-6)
+    assert np.isclose(fit["intercept"], y.mean() - x.mean(axis=0) @ w) and fit["n"] == len(y)

@@ -128,3 +128,20 @@ def test_other_companies_have_no_states(spark):
     assert got == {"A": (0.4, []), "B": (None, ["UNSUPPORTED_COMPANY_TYPE"])}
     both = statements.state_ratios(facts, asked, state, company_types=("1", "2")).collect()
     assert {r["value"] for r in both} == {0.4}
+
+
+def test_synthetic_panels_are_what_their_keys_say(spark):
+    """Every cell once, the same whatever the partitions, with the moves that were asked for and whole bars."""
+    days = spark.range(260).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("trade_date"))
+    codes = spark.range(60).select(F.format_string("S%03d", "id").alias("ts_code"))
+    one = quality.synthetic_panel(days, codes).orderBy("ts_code", "trade_date").collect()
+    assert one == quality.synthetic_panel(days.repartition(3), codes.repartition(5)).orderBy("ts_code", "trade_date").collect()
+    assert one != quality.synthetic_panel(days, codes, seed=8).orderBy("ts_code", "trade_date").collect()
+    assert len({(r["ts_code"], r["trade_date"]) for r in one}) == len(one) == 260 * 60
+    close = np.array([r["close"] for r in one]).reshape(60, 260)
+    moves = np.diff(np.log(close), axis=1)
+    market = moves.mean(axis=0)
+    assert abs(market.std() - np.hypot(0.006, 0.012 / 60**0.5)) < 0.001 and abs((moves - market).std() - 0.012) < 0.0005
+    for r in one:
+        assert r["low"] < min(r["open"], r["close"]) <= max(r["open"], r["close"]) < r["high"] and r["vol"] > 0
+        assert r["raw_close"] == r["close"] and r["adj_factor"] == 1.0 and math.isclose(r["amount"], r["vol"] * r["close"] / 10)
