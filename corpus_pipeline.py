@@ -17,8 +17,12 @@ KEPT_WORDS = 60_000
 BATCH_ROWS = 1_000
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A stage's rows are read by its caller, so a stage called alone leaves the setting; run() puts it back."""
+    spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,15 +78,21 @@ STAGES = [
     ("byte-pair encoding", tokenize),
 ]
 
-#: The classifier, the shingle sets and the encoding are not SQL; the tests hold every stage against a plain version.
+#: The classifier, the shingle sets and the encoding are not SQL; the tests hold each stage's decisions on its own input
+#: against plain versions: a loop over the network, all pairs, expressions of Python, counts of words, the public library.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage is written to the shared folder as Parquet and read again."""
+    """The last stage's rows; each stage is written to the shared folder as Parquet and read again. The session's
+    settings are then as they were."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    rows = spark.conf.get(BATCH_SETTING)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    finally:
+        spark.conf.set(BATCH_SETTING, rows)
     return docs
