@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -145,3 +146,16 @@ def test_synthetic_panels_are_what_their_keys_say(spark):
     for r in one:
         assert r["low"] < min(r["open"], r["close"]) <= max(r["open"], r["close"]) < r["high"] and r["vol"] > 0
         assert r["raw_close"] == r["close"] and r["adj_factor"] == 1.0 and math.isclose(r["amount"], r["vol"] * r["close"] / 10)
+
+
+def test_states_are_dealt_by_symbol_alone(spark):
+    """Facts aren't copied to the dates and quarters that ask for them: nothing is shuffled by date or period."""
+    rows = [("S1", "total_assets", q, "consolidated", "point", f"20{q // 4:02d}-01-15", f"20{q // 4:02d}-02-01", [], float(q)) for q in range(4, 40, 4)]
+    facts = spark.createDataFrame(rows, "ts_code string, field string, period_index int, scope string, basis string, disclosed string, available string, reasons array<string>, value double")
+    facts = facts.withColumns({c: F.to_date(c) for c in ("disclosed", "available")}).withColumn("value", F.col("value").cast("decimal(30,4)"))
+    made = statements.state_ratios(facts, statements.transitions(facts), {"assets_yoy": statements.STATES["assets_yoy"]})
+    got = {r["period_index"]: r["value"] for r in made.collect()}
+    assert got[4] is None and all(abs(got[q] - (q / (q - 4) - 1)) < 1e-12 for q in range(8, 40, 4)) and len(got) == 9
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)
+    assert keys and not any(k.startswith(("period_index", "at#")) or ", at#" in k or ", period_index" in k for k in keys)
