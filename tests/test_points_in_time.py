@@ -159,3 +159,13 @@ def test_states_are_dealt_by_symbol_alone(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)
     assert keys and not any(k.startswith(("period_index", "at#")) or ", at#" in k or ", period_index" in k for k in keys)
+
+
+def test_intervals_meet_sessions_of_their_months(spark):
+    """Sessions, not years of sessions, are made for an interval."""
+    days = spark.range(731).select(F.date_add(F.lit("2001-01-01").cast("date"), F.col("id").cast("int")).alias("trade_date"))
+    rows = [("A", "s", 1.0, "2001-01-31", "2001-02-01"), ("A", "s", 2.0, "2001-12-30", "2002-01-02"), ("B", "s", 3.0, "2001-05-02", "2001-05-01")]
+    spans = spark.createDataFrame(rows, "ts_code string, state string, value double, a string, z string").withColumns({"from_date": F.to_date("a"), "through_date": F.to_date("z")})
+    made = statements.expand_intervals(spans, days)
+    assert sorted(str(r["trade_date"]) for r in made.collect()) == ["2001-01-31", "2001-02-01", "2001-12-30", "2001-12-31", "2002-01-01", "2002-01-02"]
+    assert "month(" in made._jdf.queryExecution().executedPlan().toString()
