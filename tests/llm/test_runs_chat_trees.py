@@ -311,3 +311,15 @@ def test_fields_tell_null_from_text(spark):
     for r in rows_of(df):
         parts = ["-" if v is None else f"{len(str(v).encode())}:{v}" for v in (r["a"], r["b"], r["c"])]
         assert r["h"] == sha("".join(parts))
+
+
+def test_every_reply_is_an_example_spelled_out(spark):
+    """The formatted output holds whole prefixes, and what is read back comes from them."""
+    said = [(1, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(5)]
+    turns = chat.format_turns(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    made = {r["place"]: r["expansion"] for r in turns.collect()}
+    pieces = ["".join(plain_piece(r, t)) for _, _, r, t in said]
+    assert made == {0: None, 1: "".join(pieces[:2]), 2: None, 3: "".join(pieces[:4]), 4: "".join(pieces)}
+    forged = turns.withColumns({"expansion": F.replace("expansion", F.lit("turn 3"), F.lit("turn X")), "piece": F.lit("none")})
+    read = {r["place"]: (r["text"], r["reply"], r["formatted"]) for r in chat.read_turns(forged).collect()}
+    assert read[3] == ("turn X", "turn X", len(made[3])) and read[4] == ("turn 4", None, len(made[4])) and read[0][0] == "turn 0"
