@@ -169,3 +169,11 @@ def test_intervals_meet_sessions_of_their_months(spark):
     made = statements.expand_intervals(spans, days)
     assert sorted(str(r["trade_date"]) for r in made.collect()) == ["2001-01-31", "2001-02-01", "2001-12-30", "2001-12-31", "2002-01-01", "2002-01-02"]
     assert "month(" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lineage_sends_no_table_to_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(asof, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or shared.cut(df))
+    links = spark.createDataFrame([(i, i // 2) for i in range(2, 17)], "fact_id long, input_id long")
+    assert asof.knowledge_time(facts_of(spark, range(1, 17)), links).count() == 16
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
