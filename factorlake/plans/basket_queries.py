@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import factors as f
 from ..operators import baskets
 from ..operators.grid import complete_grid
 from ..sources import adapter
+from ..sources.shared import cut
 from .registry import register, rounded, rounded_sql
 from .source_queries import number, round_sql, select_round
 
@@ -33,12 +36,23 @@ def basket_returns(s: SparkSession, d: str, days: int = DAYS) -> DataFrame:
 
 
 class Chain:
-    """Sessions, schedule and fits of all baskets; `components` 0 is the residual against the basket's mean."""
+    """Sessions, schedule and fits of all baskets, each made once when first asked for; `components` 0 is the residual
+    against the basket's mean."""
 
     def __init__(self, s: SparkSession, d: str, components: int, exposures: tuple[str, ...] = ()):
-        self.sessions = baskets.basket_sessions(basket_returns(s, d), FORMATION, WINDOW, components, exposures)
-        self.schedule = baskets.observe(self.sessions, FORMATION, REFIT, EVERY)
-        self.fits = baskets.basket_fits(self.sessions, self.schedule, FORMATION, components, exposures)
+        self.source, self.components, self.exposures = (s, d), components, exposures
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return cut(baskets.basket_sessions(basket_returns(*self.source), FORMATION, WINDOW, self.components, self.exposures))
+
+    @cached_property
+    def schedule(self) -> DataFrame:
+        return cut(baskets.observe(self.sessions, FORMATION, REFIT, EVERY))
+
+    @cached_property
+    def fits(self) -> DataFrame:
+        return cut(baskets.basket_fits(self.sessions, self.schedule, FORMATION, self.components, self.exposures))
 
     def scores(self) -> DataFrame:
         return baskets.residual_scores(self.sessions, self.fits, self.schedule, WINDOW)
@@ -49,7 +63,7 @@ class Chain:
         return told.join(self.sessions.select("session_index").distinct(), "session_index")
 
     def weights(self) -> DataFrame:
-        return baskets.target_weights(self.signals(), self.fits)
+        return baskets.target_weights(cut(self.signals()), self.fits)
 
 
 def pca(s: SparkSession, d: str) -> Chain:
