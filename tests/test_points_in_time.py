@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factorlake.operators import asof, labels, metrics, statements, universe
+from factorlake.operators import asof, audit, labels, metrics, statements, universe
 from factorlake.sources import quality, shared
 
 DAY0 = dt.date(2020, 1, 1)
@@ -177,3 +177,15 @@ def test_lineage_sends_no_table_to_the_driver(spark, monkeypatch):
     links = spark.createDataFrame([(i, i // 2) for i in range(2, 17)], "fact_id long, input_id long")
     assert asof.knowledge_time(facts_of(spark, range(1, 17)), links).count() == 16
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_domains_are_dealt_before_they_are_counted(spark):
+    """No task that reads keys counts them."""
+    kind = "ts_code string, trade_date int"
+    expected = spark.createDataFrame([("A", 1), ("A", 1), ("A", 2), ("B", 1), (None, 1)], kind)
+    rows = spark.createDataFrame([("A", 1), ("B", 1), ("B", 1), ("C", 1), (None, 1)], kind)
+    made = audit.check_complete_domain(expected, rows, ["ts_code", "trade_date"])
+    got = sorted((str(r[0]), r[1], r[2]) for r in made.collect())
+    assert got == [("A", 2, "missing"), ("B", 1, "repeated"), ("C", 1, "extra"), ("None", 1, "extra"), ("None", 1, "missing")]
+    first, _, reads = made._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].rpartition("Exchange")
+    assert "HashAggregate" in first and "HashAggregate" not in reads
