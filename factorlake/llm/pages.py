@@ -3,36 +3,44 @@
 Each page becomes blocks of text: sure main text (inside article or main), sure furniture (menus, headers, footers,
 sidebars, notices, adverts, forms, comments), doubtful blocks (inside main text, in a container whose class has a word of
 furniture among others, as in share-price) and open blocks. A token is a word with its host and the path of elements
-around it, so a menu's words are other tokens than the same words in a paragraph. The streams of all blocks but the
-main text are dealt into shards and put one after another; in each shard the suffixes are sorted by up to RUN tokens
-by prefix doubling, and equal neighbours tell how many distinct pages hold a run of RUN tokens. Sums over all shards
-say which runs are repeated, exactly, however many pages a host has. Blocks of less than RUN tokens are counted whole.
-
-Where a page has an article or main element, that is its text: licence lines and whole articles do repeat across
-pages of a host, and markup tells them from boilerplate. What pages of the host repeat is removed from its doubtful blocks.
-Elsewhere repeated runs are removed from the open blocks, and unique ones are kept: see keep_unique().
+around it, so a menu's words are other tokens than the same words in a paragraph. Pages are dealt by host into shards,
+large hosts into several; in each shard the streams of all blocks of all pages, main text too, are put one after another,
+the suffixes are sorted by up to RUN tokens by prefix doubling, and equal neighbours tell how many distinct pages hold a
+run of RUN tokens. Sums over a host's shards say which runs are repeated. Blocks of less than RUN tokens outside of main
+text are counted whole.
+
+Every page's text is decided by these counts. Where a page has an article or main element, markup checks what they say of
+it: licence lines and whole articles do repeat across pages of a host, and stay where they stand among the article's own
+text; a container of its own inside the article (a box, a list) that half of the host's pages hold goes, whatever its
+class. What pages of the host repeat is removed from doubtful blocks. Elsewhere repeated runs are removed from the open
+blocks, and unique ones are kept: see keep_unique().
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, written
 
 #: Tokens of a substring that counts as long (a power of two), and distinct pages that must hold it.
 RUN, PAGES = 16, 3
 #: Bytes of html whose streams are one shard, about.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Of a host in several shards a run of main text is summed only if in its shard one page in so many holds it, for only
+#: what half of the host's pages hold is asked for there. Shards with fewer pages than FEW of the host sum every run.
+SHARE, FEW = 4, 512
 MAIN_TEXT, OPEN, ASIDE, DOUBTFUL = 0, 1, 2, 3  # kinds of blocks
+PACK = pa.Codec("zstd")
 
 # Elements that never hold text of a page, those that are furniture, and those that end a block.
 SILENT = {"script", "style", "template", "noscript", "svg", "iframe", "object", "head", "title", "textarea", "select", "canvas", "math", "audio", "video"}
@@ -183,7 +191,7 @@ def blocks_of(page: str) -> list[Block]:
             flush()
         number += 1
         named = next((m[2] or m[3] or m[4] for m in ATTRIBUTE.finditer(attributes) if m[1].lower() == "class"), None) if attributes else None
-        stack.append(Element(name, f"{name}.{named}" if named else name, number, aside, main, doubt))
+        stack.append(Element(name, f"{name}.{' '.join(named.split())}" if named else name, number, aside, main, doubt))
         doubt = doubt or told == DOUBTFUL
         if starts_aside:
             aside = True
@@ -193,14 +201,30 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def stream_of(host: str, blocks: list[Block]) -> np.ndarray:
-    """The tokens of all blocks but main text: 64-bit hashes of host, path and word."""
-    made: list[int] = []
-    for b in blocks:
-        if b.kind != MAIN_TEXT:
-            around = f"{host} {b.path} ".encode()
-            made += [xxh64_intdigest(around + w.encode()) for w in b.text.split()]
-    return np.array(made, np.uint64)
+def stream_of(host: str, blocks: list[Block]) -> tuple[np.ndarray, int]:
+    """The tokens of all blocks, 64-bit hashes of host, path and word, main text last; and how many stand before it."""
+    rest, main = ([b for b in blocks if (b.kind == MAIN_TEXT) == own] for own in (False, True))
+    words, around, sizes = [], [], []
+    for b in (*rest, *main):
+        own = b.text.split()
+        words += own
+        sizes.append(len(own))
+        around.append(xxh64_intdigest(f"{host} {b.kind == MAIN_TEXT} {b.path}".encode()))
+    if not words:
+        return np.zeros(0, np.uint64), 0
+    hashes = pd.util.hash_array(np.array(words, object), categorize=False)
+    return (hashes ^ np.repeat(np.array(around, np.uint64), sizes)) * np.uint64(0x9E3779B97F4A7C15), sum(sizes[: len(rest)])
+
+
+def packed(blocks: list[Block]) -> bytes:
+    """Blocks as bytes: a line of kind, container, path and text each; neither path nor text has tabs or line ends."""
+    lines = "\n".join(f"{b.kind}\t{b.container}\t{b.path}\t{b.text}" for b in blocks).encode()
+    return len(lines).to_bytes(8) + PACK.compress(lines, asbytes=True) if lines else b""
+
+
+def unpacked(data: bytes) -> list[Block]:
+    lines = PACK.decompress(data[8:], decompressed_size=int.from_bytes(data[:8]), asbytes=True).decode().split("\n") if data else []
+    return [Block(int(kind), int(container), path, text) for kind, container, path, text in (x.split("\t") for x in lines)]
 
 
 def marks_of(host: str, blocks: list[Block], run: int) -> np.ndarray:
@@ -265,11 +289,36 @@ def without(words: list[str], hit: np.ndarray, run: int) -> str:
     return " ".join(x for x, g in zip(words, gone.tolist(), strict=True) if not g)
 
 
-def keep_unique(blocks: list[Block], pages: np.ndarray, run: int, host_pages: int = 0) -> str:
-    """The text of a page with doubtful blocks or without main element. `pages` has for each token of the page's stream
-    how many pages of the host, of `host_pages`, repeat it, 0 for none.
+def boxes(blocks: list[Block], wide: np.ndarray, run: int) -> set[int]:
+    """The containers in a page's main text that are the host's furniture. `wide` tells for each token of the main text
+    whether at least half of the host's pages hold a run over it.
 
-    With a main element: its sure text whole, and its doubtful blocks less repeated runs; if nothing is left, all of it.
+    The container with the most tokens of its own holds the article and stays whole, licence lines and quotes too. Others
+    go if they have `run` tokens or more and all are wide; but on a page whose article is itself wide for at least a half,
+    which may be a copy, all stay.
+    """
+    by: dict[int, list[int]] = {}
+    at = 0
+    for b in blocks:
+        if b.kind == MAIN_TEXT:
+            size = len(b.text.split())
+            own = by.setdefault(b.container, [0, 0])
+            own[0] += size
+            own[1] += int(wide[at : at + size].sum())
+            at += size
+    if len(by) < 2 or not wide.any():
+        return set()
+    article = max(by, key=lambda c: (by[c][0] - by[c][1], -c))
+    if 2 * by[article][1] >= by[article][0]:
+        return set()
+    return {c for c, (size, hits) in by.items() if c != article and run <= size == hits}
+
+
+def keep_unique(blocks: list[Block], pages: np.ndarray, run: int, host_pages: int = 0, main_pages: np.ndarray | None = None) -> str:
+    """The text of a page. `pages` has for each token of the page's blocks but main text how many pages of the host, of
+    `host_pages`, repeat it, 0 for none; `main_pages` the same for each token of its main text.
+
+    With a main element: its sure text less boxes(), and its doubtful blocks less repeated runs; if nothing is left, all of it.
 
     Without: the open blocks less repeated runs. The container with the most unique tokens holds the page's text and
     stays, with licence lines and quotes that other pages hold too, but for leading blocks that at least half of the
@@ -283,7 +332,8 @@ def keep_unique(blocks: list[Block], pages: np.ndarray, run: int, host_pages: in
     parts = [(b, *(next(counts) if b.kind != MAIN_TEXT else (None, None))) for b in blocks]
     sure = [(b, w, p) for b, w, p in parts if b.kind in (MAIN_TEXT, DOUBTFUL)]
     if sure:
-        made = [b.text if w is None else without(w, p > 0, run) for b, w, p in sure]
+        gone = boxes(blocks, (main_pages > 0) & (2 * main_pages >= host_pages), run) if main_pages is not None and host_pages else set()
+        made = [without(w, p > 0, run) if w is not None else "" if b.container in gone else b.text for b, w, p in sure]
         return "\n\n".join([t for t in made if t] or [b.text for b, _, _ in sure])
     parts = [x for x in parts if x[0].kind == OPEN]
     if not parts:
@@ -323,52 +373,78 @@ def extract_text(df: DataFrame, run: int = RUN, least: int = PAGES, markup: str
     get their text. A null or empty page has an empty text; pages whose url is null or has no host share the host ''.
     An empty table gives an empty result; other columns of `df`, whatever their names, are left out.
 
-    Shards are dealt by content, so a host with a third of all pages is many shards; each run's pages are summed over
-    all shards, so how shards are cut changes nothing. A task holds the streams of about SHARD_BYTES of html.
+    Blocks are shuffled once, by shard; both the suffix arrays and the texts are made from that shuffle. Pages of one
+    host share shards: a host of more than SHARD_BYTES of html has several, dealt by content. Copies that come in one
+    batch of rows travel as one. What comes to the driver are the hosts of more than SHARD_BYTES.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = df.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(markup), F.lit("")).alias("html"), host.alias("host"))
-    shards = max(1, -(-(rows.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0) // SHARD_BYTES))
-    kinds = {c: df.schema[n].dataType.simpleString() for c, n in (("key", key), ("url", url))}
-    block = "array<struct<kind:int,container:int,path:string,text:string>>"
-
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rest of every page; the text of those whose markup tells it, and all blocks of the others."""
-        form = pa.list_(pa.struct([("kind", pa.int32()), ("container", pa.int32()), ("path", pa.string()), ("text", pa.string())]))
+    sizes = rows.groupBy("host").agg(F.sum(F.octet_length("html").cast("long")).alias("size"))
+    large = F.when(F.col("size") > SHARD_BYTES, F.struct("host", F.ceil(F.col("size") / SHARD_BYTES).cast("int").alias("parts")))
+    total, hosts = sizes.agg(F.sum("size"), F.collect_list(large)).first()
+    shards = max(1, -(-(total or 0) // SHARD_BYTES))
+    several = df.sparkSession.createDataFrame([tuple(h) for h in hosts], "host string, parts int")
+    dealt = rows.join(F.broadcast(several), "host", "left").select("key", "url", "html", "host", F.coalesce("parts", F.lit(1)).alias("parts"))
+    member = f"struct<key:{df.schema[key].dataType.simpleString()},url:{df.schema[url].dataType.simpleString()}>"
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks of every page; rows of a batch with equal blocks are one."""
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                found = [blocks_of(x) for x in part.column(2).to_pylist()]
                 hosts = part.column(3).to_pylist()
-                content = [xxh64_intdigest("\n".join([h, *[b.text for b in f]]).encode()) >> 1 for h, f in zip(hosts, found, strict=True)]
-                kinds_ = [{b.kind for b in f} for f in found]
-                sure = [MAIN_TEXT in k and DOUBTFUL not in k for k in kinds_]
-                made = pa.array([stream_of(h, f).tobytes() for h, f in zip(hosts, found, strict=True)], pa.binary())
-                marks = pa.array([marks_of(h, f, run).tobytes() for h, f in zip(hosts, found, strict=True)], pa.binary())
-                text = pa.array(["\n\n".join(b.text for b in f if b.kind == MAIN_TEXT) if s else None for s, f in zip(sure, found, strict=True)], pa.string())
-                open_ = pa.array([None if s else [b._asdict() for b in f] for s, f in zip(sure, found, strict=True)], form)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(content, pa.int64()), made, marks, open_, text], names=["key", "url", "content", "stream", "marks", "blocks", "text"])
-
-    pages = written(rows.select("key", "url", "html", "host").mapInArrow(streams, f"key {kinds['key']}, url {kinds['url']}, content long, stream binary, marks binary, blocks {block}, text string"))
-    pages = pages.withColumn("shard", F.pmod("content", F.lit(shards)))
+                found = [blocks_of(x) for x in part.column(2).to_pylist()]
+                data = [packed(f) for f in found]
+                which: dict[tuple, list[int]] = {}
+                for i, same in enumerate(zip(hosts, data, strict=True)):
+                    which.setdefault(same, []).append(i)
+                firsts, order = [own[0] for own in which.values()], pa.array([i for own in which.values() for i in own])
+                ends = np.cumsum([0, *map(len, which.values())])
+                members = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([part.column(0).take(order), part.column(1).take(order)], ["key", "url"]))
+                content = [xxh64_intdigest("\n".join([hosts[i], *[b.text for b in found[i]]]).encode()) >> 1 for i in firsts]
+                yield pa.RecordBatch.from_arrays(
+                    [members, pa.array([hosts[i] for i in firsts]), part.column(4).take(pa.array(firsts)), pa.array(content, pa.int64()), pa.array([data[i] for i in firsts], pa.binary())],
+                    names=["members", "host", "parts", "content", "blocks"],
+                )
+
+    pages = dealt.mapInArrow(parse, f"members array<{member}>, host string, parts int, content long, blocks binary")
+    sub = F.pmod("content", F.col("parts"))
+    pages = pages.withColumn("shard", F.when(F.col("parts") > 1, F.xxhash64("host", sub)).otherwise(F.pmod(F.xxhash64("host"), F.lit(shards))))
 
     def count(table: pa.Table) -> pa.Table:
-        """A shard's distinct runs and whole blocks: their hashes and how many of its pages hold them."""
-        one = table.group_by("content").aggregate([("stream", "min"), ("marks", "min")])
-        parts = [np.frombuffer(s, np.uint64) for s in one.column("stream_min").to_pylist()]
-        tokens = np.concatenate(parts)
-        place, n = repeated_runs(tokens, np.repeat(np.arange(len(parts)), [len(x) for x in parts]), run)
-        hashes = run_hashes(tokens, run)[place] if len(place) else np.zeros(0, np.uint64)
-        marks, held = np.unique(np.concatenate([np.unique(np.frombuffer(m, np.uint64)) for m in one.column("marks_min").to_pylist()]), return_counts=True)
-        hashes, n = np.concatenate((hashes, marks)).view(np.int64), np.concatenate((n, held))
-        return pa.table({"shard": pa.array(np.full(len(n), table.column("shard")[0].as_py(), np.int64)), "run": pa.array(hashes), "n": pa.array(n, pa.int64())})
-
-    runs = pages.select("shard", "content", "stream", "marks").groupBy("shard").applyInArrow(count, "shard long, run long, n long")
-    runs = cut(runs)
-    repeated = runs.groupBy("run").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    found = runs.select("shard", "run").join(repeated, "run")
-
-    def finish(open_: pa.Table, hits: pa.Table) -> pa.Table:
+        """A shard's distinct runs and whole blocks that may be repeated: their hashes and how many of its pages hold them."""
+        own: dict[int, tuple] = {}
+        for host, parts, content, data in zip(*(table.column(c).to_pylist() for c in ("host", "parts", "content", "blocks")), strict=True):
+            if content not in own or data < own[content][2]:
+                own[content] = (host, parts, data)
+        tokens, rests, marks = [], [], {True: [], False: []}
+        for host, parts, data in own.values():
+            blocks = unpacked(data)
+            stream, rest = stream_of(host, blocks)
+            tokens.append(stream)
+            rests.append((rest, len(stream) - rest))
+            marks[parts > 1].append(np.unique(marks_of(host, blocks, run)))
+        parted = np.array([parts > 1 for _, parts, _ in own.values()])
+        here = Counter(host for host, *_ in own.values())
+        every = np.concatenate(tokens)
+        segment = np.repeat(np.arange(2 * len(own)), np.array(rests).ravel())  # a page's rest and its main text
+        place, n = repeated_runs(every, segment, run)
+        page, main = segment[place] // 2, segment[place] % 2 == 1
+        pages_here = np.array([here[host] for host, *_ in own.values()], np.int64)[page]
+        keep = np.where(parted[page], ~main | (SHARE * n >= pages_here) | (pages_here < FEW), n >= least)
+        hashes = [run_hashes(every, run)[place[keep]] if len(place) else np.zeros(0, np.uint64)]
+        counts = [n[keep]]
+        for several, parts in marks.items():
+            found, held = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            hashes.append(found if several else found[held >= least])
+            counts.append(held if several else held[held >= least])
+        runs = np.concatenate(hashes).view(np.int64)
+        return pa.table({"shard": pa.array(np.full(len(runs), table.column("shard")[0].as_py(), np.int64)), "run": pa.array(runs), "n": pa.array(np.concatenate(counts), pa.int64())})
+
+    runs = pages.groupBy("shard").applyInArrow(count, "shard long, run long, n long")
+    found = runs.groupBy("run").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shards")).filter(F.col("n") >= least).select("run", "n", F.explode("shards").alias("shard"))
+
+    def finish(own: pa.Table, hits: pa.Table) -> pa.Table:
         hashes, n = hits.column("run").to_numpy().astype(np.int64), hits.column("n").to_numpy()
         order = np.argsort(hashes)
         hashes, n = hashes[order], n[order]
@@ -381,13 +457,13 @@ def extract_text(df: DataFrame, run: int = RUN, least: int = PAGES, markup: str
             at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
             return np.where(hashes[at] == wanted, n[at], 0)
 
-        for page, stream, marks in zip(open_.column("blocks").to_pylist(), open_.column("stream").to_pylist(), open_.column("marks").to_pylist(), strict=True):
-            blocks = [Block(**b) for b in page]
-            tokens = np.frombuffer(stream, np.uint64)
-            own = pages_of(run_hashes(tokens, run).view(np.int64))
-            starts = np.flatnonzero(own)
-            most = covering(starts, own[starts], len(tokens), run)
-            host_pages, *whole = pages_of(np.frombuffer(marks, np.int64)).tolist()
+        for host, data in zip(own.column("host").to_pylist(), own.column("blocks").to_pylist(), strict=True):
+            blocks = unpacked(data)
+            tokens, rest = stream_of(host, blocks)
+            held = pages_of(run_hashes(tokens, run).view(np.int64))
+            starts = np.flatnonzero(held)
+            most = covering(starts, held[starts], len(tokens), run)
+            host_pages, *whole = pages_of(marks_of(host, blocks, run).view(np.int64)).tolist()
             at, short = 0, iter(whole)
             for b in blocks:
                 if b.kind != MAIN_TEXT:
@@ -395,10 +471,8 @@ def extract_text(df: DataFrame, run: int = RUN, least: int = PAGES, markup: str
                     if size < run:
                         most[at : at + size] = np.maximum(most[at : at + size], next(short))
                     at += size
-            texts.append(keep_unique(blocks, most, run, host_pages))
-        return pa.table({"key": open_.column("key"), "url": open_.column("url"), "text": pa.array(texts, pa.string())})
+            texts.append(keep_unique(blocks, most[:rest], run, host_pages, most[rest:]))
+        return pa.table({"members": own.column("members"), "text": pa.array(texts, pa.string())})
 
-    schema = f"key {kinds['key']}, url {kinds['url']}, text string"
-    open_pages = pages.filter("blocks IS NOT NULL").select("shard", "key", "url", "stream", "marks", "blocks")
-    rest = open_pages.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(finish, schema)
-    return pages.filter("text IS NOT NULL").select("key", "url", "text").unionByName(rest)
+    made = pages.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(finish, f"members array<{member}>, text string")
+    return made.select(F.explode("members").alias("m"), "text").select("m.key", "m.url", "text")

@@ -120,6 +120,29 @@ def test_hosts_decide_on_doubtful_containers(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("shard_bytes", [4 << 20, 900])
+def test_repeated_boxes_of_main_text_go_by_their_host(spark, monkeypatch, shard_bytes):
+    """Main text passes through the suffix array: a box that the host repeats inside its articles goes, though its class says
+    nothing; licence lines among the article's own text, short headings and articles that are copies stay."""
+    monkeypatch.setattr(pages, "SHARD_BYTES", shard_bytes)
+    words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    box, licence = words("join", 18), words("licence", 17)
+    story = lambda i: words(f"w{i}x", 40)
+    form = "<article><h1>Title {i}</h1><p>{story}</p><p>{licence}</p><div class='k1'><p>{box}</p></div><section><h2>Sources</h2></section></article>"
+    rows = [(i, f"http://b.example/{i}", form.format(i=i, story=story(i), licence=licence, box=box)) for i in range(6)]
+    want = {i: f"Title {i}\n\n{story(i)}\n\n{licence}\n\nSources" for i in range(6)}
+    # near copies: what they share is no furniture; a box of one page in six neither
+    rows += [(i, f"http://n.example/{i}", f"<article><p>{story(7)} v{i}</p><ul><li>{box}</ul></article>") for i in range(10, 16)]
+    want |= {i: f"{story(7)} v{i}\n\n{box}" for i in range(10, 16)}
+    rows += [(i, f"http://o.example/{i}", f"<article><p>{story(i)}</p>{f'<ul><li>{box}</ul>' if i == 20 else ''}</article>") for i in range(20, 26)]
+    want |= {i: story(i) + (f"\n\n{box}" if i == 20 else "") for i in range(20, 26)}
+    rows += [(30, "http://b.example/copy", rows[0][2]), (30, None, rows[0][2])]  # a copy, and one alone at its host
+    got = rows_of(pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["text"] == (want[r["key"]] if r["key"] != 30 else want[0] if r["url"] else want[0].replace("\n\nSources", f"\n\n{box}\n\nSources")), r["key"]
+
+
 @pytest.mark.parametrize("menu", [16, 5])
 def test_short_pages_lose_their_hosts_menu(spark, menu):
     """Pages with few words of their own, and a menu of no more than a run's words."""
