@@ -359,3 +359,39 @@ def test_bayesian_ridge_stands_at_its_fixed_point(noisy):
     assert np.isclose(fit["lambda"], (free + 2e-6) / (w @ w + 2e-6), rtol=1e-6)
     assert np.isclose(fit["alpha"], (len(y) - free + 2e-6) / (((yc - xc @ w) ** 2).sum() + 2e-6), rtol=1e-6)
     assert np.isclose(fit["intercept"], y.mean() - x.mean(axis=0) @ w) and fit["n"] == len(y)
+
+
+def test_fits_of_many_securities_are_batches(world):
+    """Per-security fits come from batches of securities, a row each, and are those of each one's rows."""
+    rows, df = world
+    refits = df.sparkSession.createDataFrame([(day(20),), (day(45),)], "refit_date date")
+    fits = linear.sliding_fits(df, COLUMNS, "label", refits, 2.0, 10**9)
+    assert "FlatMapGroupsInPandas" not in fits._jdf.queryExecution().executedPlan().toString()
+    got = {(r["ts_code"], x["refit_date"]): (x["n"], x["intercept"], x["coefficients"]) for r in fits.collect() for x in r["fits"]}
+    for at in (day(20), day(45)):
+        for k in {r[1] for r in rows}:
+            own = [r for r in whole(rows) if r[1] == k and r[2] is not None and r[2] < at]
+            if len(own) < len(COLUMNS) + 2:
+                assert (k, at) not in got
+                continue
+            n, b, w = got[k, at]
+            said = plain_fit(own, ModelSpec("ridge", {"alpha": 2.0}))
+            x = np.array([own[0][3:6]], float)
+            assert n == len(own) and b + x[0] @ np.array(w) == pytest.approx(said(x)[0], rel=1e-8)
+
+
+def test_folds_score_rows_within_tasks(world):
+    """A row isn't copied for each candidate: tasks add up errors by fold, candidate and date."""
+    rows, df = world
+    terms = linear.terms_of(COLUMNS, [])
+    fits = [(2, "p", 0.5, [0.25, 0.0, -1.0]), (9, "p", 0.5, [0.25, 0.0, -1.0])]
+    made = linear.fold_errors(df, COLUMNS, "label", terms, FOLDS, fits)
+    assert "Generate explode" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["fold"]: r["score"] for r in made.collect()}
+    for f in (FOLDS[2], FOLDS[4]):
+        daily = {}
+        for r in whole(rows):
+            if f.start <= r[0] <= f.end and (f.before is None or (r[2] is not None and r[2] < f.before)):
+                daily.setdefault(r[0], []).append((0.5 + 0.25 * r[3] - r[5] - r[6]) ** 2)
+        assert got[f.number] == pytest.approx(np.mean([np.mean(v) for v in daily.values()]), rel=1e-9)
+    assert set(got) == {2, 9}
