@@ -395,3 +395,16 @@ def test_folds_score_rows_within_tasks(world):
                 daily.setdefault(r[0], []).append((0.5 + 0.25 * r[3] - r[5] - r[6]) ** 2)
         assert got[f.number] == pytest.approx(np.mean([np.mean(v) for v in daily.values()]), rel=1e-9)
     assert set(got) == {2, 9}
+
+
+def test_quantile_passes_leave_no_copies_of_rows(spark):
+    """Counts at any number of points, nulls and NaN among the values, come from one pass within tasks."""
+    from factorlake.operators.quantiles import Columns
+
+    values = [None, float("nan"), 3.0, -0.0, 0.0, 1.0, 1.0, 2.0, float("inf")]
+    held = Columns(spark.createDataFrame([(v, 1.0) for v in values], "a double, b double").repartition(3), ["a", "b"])
+    got = held.counts({("a", p) for p in (-1.0, 0.0, 1.0, 1.5, float("inf"))} | {("b", 1.0)})
+    assert got == {("a", -1.0): (0, 0), ("a", 0.0): (0, 2), ("a", 1.0): (2, 4), ("a", 1.5): (4, 4), ("a", float("inf")): (6, 7), ("b", 1.0): (0, 9)}
+    found = held.values({("a", k) for k in range(7)}, left=1)
+    assert [found["a", k] for k in range(7)] == [0.0, 0.0, 1.0, 1.0, 2.0, 3.0, float("inf")]
+    held.release()
