@@ -5,10 +5,12 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factorlake import plans
 from factorlake.operators import asof, audit, labels, metrics, statements, universe
 from factorlake.sources import quality, shared
 
@@ -189,3 +191,29 @@ def test_domains_are_dealt_before_they_are_counted(spark):
     assert got == [("A", 2, "missing"), ("B", 1, "repeated"), ("C", 1, "extra"), ("None", 1, "extra"), ("None", 1, "missing")]
     first, _, reads = made._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].rpartition("Exchange")
     assert "HashAggregate" in first and "HashAggregate" not in reads
+
+
+def test_lineage_of_any_depth(spark, tmp_path):
+    """Customers whose numbers are powers of two: thirty steps lead to the last, and the query says what its SQL says."""
+    spark.range(31).select(F.expr("shiftleft(1L, int(id))").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = sorted(plans.queries()["knowledge_time"](spark, str(tmp_path)).collect())
+    assert [tuple(r) for r in got] == sorted(duck.execute(plans.oracles()["knowledge_time"]).fetchall()) and len(got) == 31
+    assert all(r["known_at"] is not None and r["problem"] is None for r in got)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 400 facts with a base for each, a step of two inputs in its middle, and a ring of 50 facts with one behind it."""
+    rounds = []
+    monkeypatch.setattr(asof, "cut", lambda df: rounds.append(1) or shared.cut(df))
+    chain = [(i, i - 1) for i in range(1, 400)] + [(i, 1000 + i) for i in range(400)] + [(200, 150), (200, 20)]
+    ring = [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)] + [(2050, 2000)]
+    numbers = [*range(400), *range(1000, 1400), *range(2000, 2051)]
+    got = asof.knowledge_time(facts_of(spark, numbers), spark.createDataFrame(chain + ring, "fact_id long, input_id long")).collect()
+    own = {i: max(day(i * 7 % 50), day(i * 11 % 50) if i % 3 else DAY0) for i in numbers}
+    expected = {i: (own[i], None) for i in range(1000, 1400)} | {2000 + i: (None, "cycle") for i in range(51)}
+    for i in range(400):
+        expected[i] = (max(own[i], own[1000 + i], expected[i - 1][0] if i else DAY0), None)
+    assert {r["fact_id"]: (r["known_at"], r["problem"]) for r in got} == expected and len(got) == len(expected)
+    assert len(rounds) < 25
