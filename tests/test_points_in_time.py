@@ -217,3 +217,11 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
         expected[i] = (max(own[i], own[1000 + i], expected[i - 1][0] if i else DAY0), None)
     assert {r["fact_id"]: (r["known_at"], r["problem"]) for r in got} == expected and len(got) == len(expected)
     assert len(rounds) < 25
+
+
+def test_lineage_of_two_inputs_each_is_deep(spark):
+    """Every fact needs the two before it: a round for each step, whose plans must not grow by the round."""
+    links = spark.createDataFrame([(i, i - k) for i in range(28) for k in (1, 2) if i >= k], "fact_id long, input_id long")
+    got = sorted((r["fact_id"], r["known_at"], r["problem"]) for r in asof.knowledge_time(facts_of(spark, range(28)), links).collect())
+    own = [max(day(i * 7 % 50), day(i * 11 % 50) if i % 3 else DAY0) for i in range(28)]
+    assert got == [(i, max(own[: i + 1]), None) for i in range(28)]
